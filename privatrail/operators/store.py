@@ -182,8 +182,8 @@ def checked_trackers(candidates: DataFrame, default: DataFrame, low: int = 100,
          & (F.count_if(F.coalesce(~F.col("domain").rlike("^[a-z0-9.-]+$"), F.lit(True))) == 0)).alias("ok")
     )
     flag = F.broadcast(verdict)  # one row
-    chosen = listed.join(flag, F.col("ok")).select("domain")
-    fallback = default.select("domain").join(flag, ~F.col("ok")).select("domain")
+    chosen = listed.withColumn("ok", F.lit(True)).join(flag, "ok", "left_semi").select("domain")
+    fallback = default.withColumn("ok", F.lit(False)).join(flag, "ok", "left_semi").select("domain")
     return chosen.unionByName(fallback)
 
 

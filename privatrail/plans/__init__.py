@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from privatrail.plans import history, store  # noqa: F401
+from privatrail.plans import history, store, web  # noqa: F401
 from privatrail.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

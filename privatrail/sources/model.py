@@ -510,3 +510,17 @@ def upload_chunks(t: SparkText) -> str:
       CASE WHEN event_id % 10 = 0 THEN 999 ELSE 0 END AS size_error, 1 + k % 4 AS parts
     FROM (SELECT event_id, user_id, us, k, {t.span("1 + k % 4")} AS i FROM pevents WHERE event_type = 'file_upload') x
     WHERE NOT (event_id % 8 = 0 AND i = 1)"""
+
+
+@table("pevents")
+def site_signals(t: SparkText) -> str:
+    """Requesters with the wording around them."""
+    titles = [
+        "Free PDF download now", "Online bank KYC and banking", "Patient portal of the hospital clinic", "weather app",
+        "Cooking recipe and meal ideas", "nothing in particular", "screen recorder and screen capture", "photo editor",
+        "News headlines", "shop checkout, online shop", "legal services", "plain page",
+    ]
+    hosts = ["site1.example", "www.site2.example", "site3.example.evil.test", "a.site5.example", "tool.example", "m.shop.co.uk", "example", "other.test"]
+    return f"""
+    SELECT event_id, {t.pick(hosts, "(k + user_id) % 8")} AS host, {t.pick(titles, "k % 12")} AS signal_text, purpose, purpose_confidence
+    FROM pevents"""
