@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from privatrail.operators.timeline import before
 from privatrail.dims.web import (
     EXTENSION_ACCESSES,
     PERMISSION_CATEGORIES,
@@ -118,34 +119,6 @@ def access_breadth(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def last_before(
-    df: DataFrame, group: list[str], order: list[str], values: dict[str, Column], bucket: Column
-) -> DataFrame:
-    """For every row, the last non-null of each value strictly before it within its group.
-
-    Rows are windowed per (group, time bucket); what earlier buckets leave behind is one
-    summary row per bucket, windowed separately and joined back. A group holding most of
-    the rows is thus spread over its buckets, and the result is exact.
-    """
-    df = df.withColumn("_b", bucket)
-    for name, value in values.items():
-        df = df.withColumn(f"_v_{name}", value)
-    at = F.struct(*order)
-    inside = Window.partitionBy(*group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summary = df.groupBy(*group, "_b").agg(
-        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_s_{n}") for n in values]
-    )
-    across = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(
-        *group, "_b", *[F.last(f"_s_{n}", ignorenulls=True).over(across).alias(f"_c_{n}") for n in values]
-    )
-    out = df.select("*", *[F.last(f"_v_{n}", ignorenulls=True).over(inside).alias(f"_i_{n}") for n in values])
-    out = out.join(carried, [*group, "_b"], "left")
-    for n in values:
-        out = out.withColumn(n, F.coalesce(f"_i_{n}", f"_c_{n}")).drop(f"_v_{n}", f"_i_{n}", f"_c_{n}")
-    return out.drop("_b")
-
-
 def clipboard_exposures(copies: DataFrame, focus: DataFrame, allowlist: DataFrame, bucket_us: int = 86_400_000_000) -> DataFrame:
     """Focus moving to an application that did not write the sensitive clipboard content.
 
@@ -156,7 +129,7 @@ def clipboard_exposures(copies: DataFrame, focus: DataFrame, allowlist: DataFram
         F.struct("writer_key", "categories", "cloud_sync", F.col("event_id").alias("copy_id")).alias("clip"),
     )
     f = focus.select("user_id", "us", "event_id", "requester_key", F.lit(None).cast(c.schema["clip"].dataType).alias("clip"))
-    merged = last_before(
+    merged = before(
         c.unionByName(f), ["user_id"], ["us", "event_id"],
         {"last_clip": F.col("clip"), "last_focus": F.col("requester_key")},
         F.floor(F.col("us") / bucket_us),

@@ -47,48 +47,47 @@ def curated_purpose(hosts: DataFrame, sites: DataFrame, host: str = "host") -> D
 
 def keyword_purpose(text: Column) -> Column:
     """struct<purpose, confidence, source> from the words around a page or an app."""
-    lower = F.lower(text)
+    return F.transform(F.array(F.lower(text)), _purpose_of)[0]
+
+
+def _purpose_of(lower: Column) -> Column:
     votes = [
-        F.struct(
-            F.regexp_count(lower, F.lit("(?iuUd)" + pattern)).alias("n"), F.lit(name).alias("purpose")
-        )
+        F.struct(F.regexp_count(lower, F.lit("(?iuUd)" + pattern)).alias("n"), F.lit(name).alias("purpose"))
         for name, pattern in PURPOSE_KEYWORDS.items()
     ]
 
     def decide(best: Column) -> Column:
-        named = F.get(
-            F.filter(
-                F.array(*[F.lit(p) for p in purposes()]), lambda p: F.contains(lower, F.translate(p, "_", " "))
-            ),
-            F.lit(0),
-        )
         scored = F.struct(
             best["purpose"].alias("purpose"),
             F.least(F.lit(0.9), F.lit(0.65) + best["n"] * 0.08).alias("confidence"),
             F.lit("local_signals").alias("source"),
         )
-        fallback = F.struct(
+        named = F.coalesce(*[F.when(F.contains(lower, F.lit(p.replace("_", " "))), F.lit(p)) for p in purposes()])
+        by_name = F.struct(
             F.coalesce(named, F.lit("unknown")).alias("purpose"),
             F.when(named.isNotNull(), 0.65).otherwise(0.0).alias("confidence"),
             F.when(named.isNotNull(), "category_metadata").otherwise("insufficient_signals").alias("source"),
         )
-        return F.when(best["n"] > 0, scored).otherwise(fallback)
+        return F.when(best["n"] > 0, scored).otherwise(by_name)
 
     return F.transform(F.array(F.greatest(*votes)), decide)[0]
 
 
 def infer_purpose(requesters: DataFrame, sites: DataFrame) -> DataFrame:
-    """Adds ``inferred`` to (host, signal_text): the site list first, then the wording."""
-    curated = curated_purpose(requesters, sites).select("host", F.col("purpose").alias("site_purpose"))
+    """Adds ``inferred`` to (host, signal_text): the site list first, then the wording.
+
+    Wording repeats across a site's rows, so each distinct (host, wording) is judged once.
+    """
+    once = requesters.select("host", "signal_text").distinct()
+    curated = curated_purpose(once, sites).select("host", F.col("purpose").alias("site_purpose"))
     words = keyword_purpose(F.concat_ws(" ", "signal_text", "host"))
     by_list = F.struct(
         F.col("site_purpose").alias("purpose"), F.lit(0.95).alias("confidence"), F.lit("curated_domain").alias("source")
     )
-    return (
-        requesters.join(curated, "host", "left")
-        .withColumn("inferred", F.when(F.col("site_purpose").isNotNull(), by_list).otherwise(words))
-        .drop("site_purpose")
+    judged = once.join(curated, "host", "left").select(
+        "host", "signal_text", F.when(F.col("site_purpose").isNotNull(), by_list).otherwise(words).alias("inferred")
     )
+    return requesters.join(judged, ["host", "signal_text"], "left")
 
 
 def enrich_requesters(requesters: DataFrame, sites: DataFrame) -> DataFrame:

@@ -113,15 +113,15 @@ words AS (SELECT *, CASE WHEN best.n > 0 THEN best.p ELSE coalesce(named, 'unkno
 
 @query("d04_keyword_purpose", with_model("site_signals", body="WITH " + WORDS + "SELECT event_id, w_purpose AS purpose, round(w_conf, 6) AS confidence FROM words WHERE w_source = 'local_signals'"))
 def d04(spark, sf):
-    p = D.keyword_purpose(F.concat_ws(" ", "signal_text", "host")).alias("p")
-    out = model(spark, sf, "site_signals").select("event_id", p).where("p.source = 'local_signals'")
+    no_sites = _sites(spark).where("false")
+    out = D.infer_purpose(model(spark, sf, "site_signals"), no_sites).withColumnRenamed("inferred", "p").where("p.source = 'local_signals'")
     return out.select("event_id", "p.purpose", F.round("p.confidence", 6).alias("confidence"))
 
 
 @query("d05_purpose_fallback", with_model("site_signals", body="WITH " + WORDS + "SELECT event_id, w_purpose AS purpose, round(w_conf, 6) AS confidence, w_source AS source FROM words WHERE w_source <> 'local_signals'"))
 def d05(spark, sf):
-    p = D.keyword_purpose(F.concat_ws(" ", "signal_text", "host")).alias("p")
-    out = model(spark, sf, "site_signals").select("event_id", p).where("p.source <> 'local_signals'")
+    no_sites = _sites(spark).where("false")
+    out = D.infer_purpose(model(spark, sf, "site_signals"), no_sites).withColumnRenamed("inferred", "p").where("p.source <> 'local_signals'")
     return out.select("event_id", "p.purpose", F.round("p.confidence", 6).alias("confidence"), "p.source")
 
 

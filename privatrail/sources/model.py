@@ -113,11 +113,17 @@ def _closure(names: tuple[str, ...]) -> list[str]:
     return order
 
 
+_analysed: dict[tuple[int, str, str], DataFrame] = {}
+
+
 def model(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One model table as a DataFrame over the given tables."""
-    text = SparkText(sf_dir)
-    ctes = ",\n".join(f"{n} AS ({TABLES[n][1](text)})" for n in _closure((name,)))
-    return spark.sql(f"WITH {ctes}\nSELECT * FROM {name}")
+    """One model table as a DataFrame over the given tables; parsed once per session."""
+    key = (id(spark), sf_dir, name)
+    if key not in _analysed or _analysed[key].sparkSession is not spark:
+        text = SparkText(sf_dir)
+        ctes = ",\n".join(f"{n} AS ({TABLES[n][1](text)})" for n in _closure((name,)))
+        _analysed[key] = spark.sql(f"WITH {ctes}\nSELECT * FROM {name}")
+    return _analysed[key]
 
 
 def with_model(*names: str, body: str) -> str:
