@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,10 @@ def clean_text(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("<")), F.array_join(pieces, "")).otherwise(plain)
 
 
+def fold_case_sql(text: str) -> str:
+    return f"translate(lower({text}), 'ſı', 'si')"
+
+
 def fold_case(text: Column) -> Column:
     """Lower case under the same folding the case-insensitive regexes use."""
     return F.translate(F.lower(text), "ſı", "si")
@@ -73,12 +79,23 @@ def guard_sql(
     return " AND ".join(([has_digit] if digits else []) + tests) or "true"
 
 
-def text_windows(text: Column) -> Column:
-    """array<struct<off, win>>: the text itself, or overlapping windows of a long text."""
+class Windows(NamedTuple):
+    """How long texts are cut: above ``long`` characters, into windows of at most ``size``
+    that end behind a line end where one lies past ``least``, each with some overlap."""
+
+    long: int = P.LONG_TEXT
+    size: int = P.WINDOW
+    least: int = P.WINDOW_MIN
+    overlap: int = P.OVERLAP
+
+
+def text_windows(text: Column, spec: Windows = Windows()) -> Column:  # noqa: B008
+    """array<struct<off, win, whole>>: the text itself, or overlapping windows of a long text
+    followed by the whole of it (for patterns that may exceed any overlap)."""
     cut = (
-        f"(?s).{{1,{P.WINDOW}}}\\z"
-        f"|.{{{P.WINDOW_MIN},{P.WINDOW - 1}}}\n"
-        f"|.{{1,{P.WINDOW}}}"
+        f"(?s).{{1,{spec.size}}}\\z"
+        f"|.{{{spec.least},{spec.size - 1}}}\n"
+        f"|.{{1,{spec.size}}}"
     )
     chunks = F.regexp_extract_all(text, F.lit(cut), F.lit(0))
 
@@ -94,11 +111,12 @@ def text_windows(text: Column) -> Column:
         )
 
         def window(pair: Column, i: Column) -> Column:
-            before = F.when(i > 0, F.right(F.get(parts, i - 1), F.lit(P.OVERLAP))).otherwise("")
-            after = F.coalesce(F.left(F.get(parts, i + 1), F.lit(P.OVERLAP)), F.lit(""))
+            before = F.when(i > 0, F.right(F.get(parts, i - 1), F.lit(spec.overlap))).otherwise("")
+            after = F.coalesce(F.left(F.get(parts, i + 1), F.lit(spec.overlap)), F.lit(""))
             return F.struct(
                 (pair["off"] - F.length(before)).alias("off"),
                 F.concat(before, pair["chunk"], after).alias("win"),
+                F.lit(False).alias("whole"),
             )
 
         pairs = F.zip_with(
@@ -107,8 +125,9 @@ def text_windows(text: Column) -> Column:
         return F.transform(pairs, window)
 
     long = F.transform(F.array(chunks), lay_out)[0]
-    single = F.array(F.struct(F.lit(0).alias("off"), text.alias("win")))
-    return F.when(F.length(text) > P.LONG_TEXT, long).otherwise(single)
+    whole = F.array(F.struct(F.lit(0).alias("off"), text.alias("win"), F.lit(True).alias("whole")))
+    single = F.array(F.struct(F.lit(0).alias("off"), text.alias("win"), F.lit(False).alias("whole")))
+    return F.when(F.length(text) > spec.long, F.concat(long, whole)).otherwise(single)
 
 
 def merge_spans(spans: Column) -> Column:

@@ -115,39 +115,43 @@ def _whole_text_credentials_sql(text: str = "win", folded: str = "folded") -> st
     return "concat(" + ", ".join(parts) + ")"
 
 
-def text_windows(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """One row per block to scan: (key, off, whole, win)."""
-    windows = docs.select(
-        *key, F.explode(T.text_windows(F.col(text))).alias("w"), (F.length(text) > P.LONG_TEXT).alias("is_long")
+def text_windows(
+    docs: DataFrame, key: list[str], text: str = "text", spec: T.Windows = T.Windows()  # noqa: B008
+) -> DataFrame:
+    """One row per block to scan: (key, off, win, whole)."""
+    return docs.select(*key, F.explode(T.text_windows(F.col(text), spec)).alias("w")).select(*key, "w.*")
+
+
+def _scan_sql(win: str, whole: str) -> str:
+    """Matches of one block; a long text taken whole is scanned for credentials only."""
+    body = (
+        f"CASE WHEN {whole} THEN {_whole_text_credentials_sql(win, 'fw')} "
+        f"ELSE {block_matches_sql(win, 'fw', 'hd')} END"
     )
-    return windows.select(*key, "is_long", F.col("w.off").alias("off"), F.col("w.win").alias("win"))
+    return bind(T.fold_case_sql(win), "fw", bind(f"{win} RLIKE {quoted(r'(?U)\d')}", "hd", body))
 
 
 def find_matches(
-    docs: DataFrame, key: list[str] | None = None, text: str = "text", dedupe_windows: bool = False
+    docs: DataFrame, key: list[str] | None = None, text: str = "text", dedupe_windows: bool = False,
+    spec: T.Windows = T.Windows(),  # noqa: B008
 ) -> DataFrame:
     """Every match of every pattern: (key, category, start, end, value, confidence, validated).
 
-    Map-only up to the final merge, which moves only matches. ``dedupe_windows`` scans each
-    distinct block once and joins the result back; worth it where boilerplate repeats.
+    Long texts are cut into windows that are scanned in parallel. The scan itself is map-only;
+    only matches are shuffled, to merge those that several patterns or windows report.
+    ``dedupe_windows`` scans each distinct block once and joins the result back.
     """
     key = key or ["doc_id"]
-    docs = docs.where(F.col(text).isNotNull())
-    windows = text_windows(docs, key, text)
+    clean = docs.where(F.col(text).isNotNull()).select(*key, T.clean_text(F.col(text)).alias("text"))
+    windows = text_windows(clean, key, "text", spec)
+    scan = F.expr(_scan_sql("win", "whole"))
     if dedupe_windows:
         keyed = windows.withColumn("digest", F.sha2("win", 256))
-        once = keyed.groupBy("digest").agg(F.first("win").alias("win"))
-        scanned = _scan(once, ["digest"]).groupBy("digest").agg(F.collect_list("hit").alias("hits"))
-        hits = keyed.drop("win").join(scanned, "digest").select(*key, "off", F.explode("hits").alias("hit"))
+        once = keyed.groupBy("digest", "whole").agg(F.first("win").alias("win"))
+        hits = keyed.drop("win").join(once.select("digest", "whole", scan.alias("hits")), ["digest", "whole"])
     else:
-        hits = _scan(windows, [*key, "off"])
-    long_docs = docs.where(F.length(text) > P.LONG_TEXT).select(*key, F.col(text).alias("win"))
-    cleaned = long_docs.withColumn("folded", T.fold_case(F.col("win")))
-    whole = cleaned.select(
-        *key, F.lit(0).alias("off"),
-        F.explode(F.expr(_whole_text_credentials_sql())).alias("hit"),
-    )
-    everything = hits.select(*key, "off", "hit").unionByName(whole)
+        hits = windows.select(*key, "off", scan.alias("hits"))
+    everything = hits.select(*key, "off", F.explode("hits").alias("hit"))
     best = F.max_by(
         F.struct(F.col("hit.confidence").alias("confidence"), F.col("hit.validated").alias("validated"),
                  F.col("hit.v").alias("value")),
@@ -165,15 +169,6 @@ def find_matches(
     )
 
 
-def _scan(blocks: DataFrame, key: list[str]) -> DataFrame:
-    prepared = blocks.select(
-        *key, T.clean_text(F.col("win")).alias("win")
-    ).select(
-        *key, "win", T.fold_case(F.col("win")).alias("folded"), F.col("win").rlike(r"(?U)\d").alias("has_digit")
-    )
-    return prepared.select(*key, F.explode(F.expr(block_matches_sql())).alias("hit"))
-
-
 def findings(matches: DataFrame, salt: str, key: list[str] | None = None) -> DataFrame:
     """Matches without their values: span, confidence, and a keyed category-separated hash."""
     key = key or ["doc_id"]
@@ -189,44 +184,48 @@ def detect(docs: DataFrame, salt: str, key: list[str] | None = None) -> DataFram
     return findings(find_matches(docs, key), salt, key)
 
 
-def redact(
-    docs: DataFrame, categories: list[str] | None = None, key: list[str] | None = None, text: str = "text"
-) -> DataFrame:
-    """Replace matched spans by placeholders: adds ``redacted`` and ``n_spans``."""
-    key = key or ["doc_id"]
-    matches = find_matches(docs, key, text)
-    if categories is not None:
-        matches = matches.where(F.col("category").isin(categories))
+def _islands(spans: Column) -> Column:
+    """Merge unsorted spans (s, e, category) of one text."""
     ordered = F.sort_array(
-        F.collect_list(F.struct("start", (-F.col("end")).alias("neg"), "category", "end"))
+        F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("n"), x["category"].alias("category")))
     )
-    spans = F.transform(
-        ordered, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["category"].alias("category"))
+    return T.merge_spans(
+        F.transform(ordered, lambda x: F.struct(x["s"].alias("s"), (-x["n"]).alias("e"), x["category"].alias("category")))
+    )
+
+
+def _row_hits(docs: DataFrame, text: str, categories: list[str] | None, spec: T.Windows) -> DataFrame:
+    """Adds ``_hits``: all spans of the row's text, found without leaving the row."""
+    columns = [c for c in docs.columns if c not in ("_hits", "_w")]
+    windows = T.text_windows(T.clean_text(F.coalesce(text, F.lit(""))), spec)
+    shifted = "named_struct('s', z.s + w.off, 'e', z.e + w.off, 'category', z.category, 'validated', z.validated)"
+    keep = "true" if categories is None else "z.category IN (" + ", ".join(quoted(c) for c in categories) + ")"
+    scan = _scan_sql("w.win", "w.whole")
+    hits = f"flatten(transform(_w, w -> transform(filter({scan}, z -> {keep}), z -> {shifted})))"
+    return docs.select(*columns, windows.alias("_w")).select(*columns, F.expr(hits).alias("_hits"))
+
+
+def redact(
+    docs: DataFrame, categories: list[str] | None = None, key: list[str] | None = None, text: str = "text",
+    spec: T.Windows = T.Windows(),  # noqa: B008
+) -> DataFrame:
+    """Replace matched spans by placeholders: adds ``redacted`` and ``n_spans``. Map-only."""
+    columns = docs.columns
+    found = _row_hits(docs, text, categories, spec).select(*columns, _islands(F.col("_hits")).alias("_islands"))
+    return found.select(
+        *columns, T.replace_spans(F.col(text), F.col("_islands")).alias("redacted"), F.size("_islands").alias("n_spans")
     )
-    islands = matches.groupBy(*key).agg(T.merge_spans(spans).alias("islands"))
-    none = F.array().cast("array<struct<s:int,e:int,category:string>>")
-    joined = docs.join(islands, key, "left").withColumn("islands", F.coalesce("islands", none))
-    return joined.withColumn(
-        "redacted", T.replace_spans(F.col(text), F.col("islands"))
-    ).withColumn("n_spans", F.size("islands")).drop("islands")
 
 
 def verify_redaction(
-    redacted: DataFrame, categories: list[str] | None = None, key: list[str] | None = None
+    redacted: DataFrame, categories: list[str] | None = None, spec: T.Windows = T.Windows()  # noqa: B008
 ) -> DataFrame:
     """Adds ``verified``: a rescan finds none of the selected categories and the source was
-    whole. Unverified rows must not be released."""
-    key = key or ["doc_id"]
-    left = find_matches(redacted.select(*key, F.col("redacted").alias("text")), key)
-    if categories is not None:
-        left = left.where(F.col("category").isin(categories))
-    dirty = left.select(*key).distinct().withColumn("dirty", F.lit(True))
-    partial = F.col("partial") if "partial" in redacted.columns else F.lit(False)
-    return (
-        redacted.join(dirty, key, "left")
-        .withColumn("verified", F.col("dirty").isNull() & ~partial)
-        .drop("dirty")
-    )
+    whole. Unverified rows must not be released. Map-only."""
+    columns = redacted.columns
+    partial = F.col("partial") if "partial" in columns else F.lit(False)
+    rescanned = _row_hits(redacted, "redacted", categories, spec)
+    return rescanned.select(*columns, ((F.size("_hits") == 0) & ~partial).alias("verified"))
 
 
 def document_type(text: Column, suffix: Column | None = None) -> Column:
@@ -363,3 +362,38 @@ def corpus_profile(found: DataFrame, docs: DataFrame, key: str = "doc_id") -> Da
         F.sum("n").alias("findings"),
         F.countDistinct(key).alias("docs_affected"),
     )
+
+
+def _normalise(batches):
+    """NFKC (Spark has no such function), batch by batch."""
+    import unicodedata
+
+    for pdf in batches:
+        pdf["text"] = pdf["text"].map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+        yield pdf
+
+
+def outbound_text(text: Column) -> Column:
+    """Invisible characters out, dashes unified, URL encoding undone up to three times."""
+    # fixed values: dashes that read as a hyphen
+    value = F.translate(F.regexp_replace(text, r"\p{Cf}", ""), "‐‑‒–—−", "------")
+    def decoded(v: Column) -> Column:
+        # a percent sign that starts no escape, and a plus sign, stand for themselves
+        plain = F.regexp_replace(F.regexp_replace(v, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+        return F.when(F.contains(v, F.lit("%")), F.coalesce(F.try_url_decode(plain), v)).otherwise(v)
+
+    for _ in range(3):
+        value = F.transform(F.array(value), decoded)[0]
+    return value
+
+
+def sanitize_outbound(docs: DataFrame, key: list[str], max_chars: int = 2_000_000) -> DataFrame:
+    """Adds ``clean`` and ``refused``: a row in which a checksum-validated identifier survives
+    redaction, or that is too long, is refused whole."""
+    slim = docs.select(*key, "text")
+    folded = slim.mapInPandas(_normalise, slim.schema).withColumn("text", outbound_text(F.col("text")))
+    step = redact(folded, key=key).select(*key, F.col("redacted").alias("clean"))
+    left = _row_hits(step, "clean", None, T.Windows())
+    return left.select(
+        *key, "clean", (F.exists("_hits", lambda z: z["validated"]) | (F.length("clean") > max_chars)).alias("refused")
+    )

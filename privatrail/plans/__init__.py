@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from privatrail.plans import decisions, history, store, web  # noqa: F401
+from privatrail.plans import text, store, web, history, decisions  # noqa: F401, I001
 from privatrail.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -530,3 +530,18 @@ def site_signals(t: SparkText) -> str:
     return f"""
     SELECT event_id, {t.pick(hosts, "(k + user_id) % 8")} AS host, {t.pick(titles, "k % 12")} AS signal_text, purpose, purpose_confidence
     FROM pevents"""
+
+
+@table("notes")
+def texts(t: SparkText) -> str:
+    """Documents and notes as one corpus."""
+    return f"""SELECT doc_id, text, source FROM {t.table("documents")}
+    UNION ALL SELECT doc_id + 100000000 AS doc_id, text, source FROM notes"""
+
+
+@table("numbers")
+def cards(t: SparkText) -> str:
+    """Texts with a bare twelve-digit number, on a card or on an invoice, and an IBAN in prose."""
+    return """SELECT id AS doc_id, twelve, iban, CASE WHEN id % 3 = 0 THEN 'Aadhaar' WHEN id % 3 = 1 THEN 'Government of India' ELSE 'Invoice' END
+      || ' ref ' || substr(twelve, 1, 4) || ' ' || substr(twelve, 5, 4) || ' ' || substr(twelve, 9, 4) || ' end' AS text,
+      'Transfer to ' || iban || ' today please' AS iban_text FROM numbers"""
