@@ -68,7 +68,7 @@ def _all(table: str, pattern: str, group: int) -> str:
 
 def _doubled(table: str) -> str:
     """Two numbers may share the character between them: give each its own."""
-    return rf"(SELECT doc_id, regexp_replace(text, '([^{W} -])', '\1\1', 'g') AS text FROM {table}) dbl"
+    return "(SELECT doc_id, regexp_replace(text, '([0-9]{16}) ', '\\1  ', 'g') AS text FROM " + table + ") dbl"
 
 
 EMAIL = rf"(?i)(^|[^{W}.+-])([A-Z0-9.!#$%&''*+/=?^_`{{|}}~-]+@[A-Z0-9](?:[A-Z0-9-]{{0,61}}[A-Z0-9])?(?:\.[A-Z0-9](?:[A-Z0-9-]{{0,61}}[A-Z0-9])?)+)"
