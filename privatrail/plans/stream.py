@@ -39,7 +39,7 @@ _islands = lambda part, gap: f"SELECT *, sum(CASE WHEN us >= prev_end THEN 1 ELS
 )
 def w03(spark, sf):
     ev = _signed(spark, sf).withColumn("level", (F.col("k") + 1) % 3).withColumn("answered", F.col("event_id") % 3 != 0)
-    return N.coalesced_batch(ev)
+    return N.coalesced(N.with_event_time(ev))
 
 
 @query(

@@ -1,6 +1,6 @@
 """Streams: coalescing, timeouts, liveness, late results, windowed counts.
 
-Functions named ``*_batch`` are the same semantics over a finished log.
+The functions run on finished logs too, so a batch run states what a stream must give.
 """
 
 from __future__ import annotations
@@ -23,13 +23,16 @@ def read_events(spark, path: str, schema, files_per_trigger: int | None = None)
     return with_event_time(reader.parquet(path))
 
 
-def coalesced_batch(events: DataFrame) -> DataFrame:
+def coalesced(events: DataFrame, watermark: str | None = None) -> DataFrame:
     """Notices of (session_id, signature): repeats fold onto the first; the level never falls.
 
-    A notice stays open for an hour after its last event, ten minutes once answered.
+    A notice stays open for an hour after its last event, ten minutes once answered. With a
+    watermark this runs on a stream and emits a notice when it has closed.
     """
     gap = F.when(F.col("answered"), f"{RESOLVED_SECONDS} seconds").otherwise(f"{UNANSWERED_SECONDS} seconds")
-    open_ = with_event_time(events.where("signature IS NOT NULL"))
+    open_ = events.where("signature IS NOT NULL")
+    if watermark:
+        open_ = open_.withWatermark("ts", watermark)
     return open_.groupBy("session_id", "signature", F.session_window("ts", gap).alias("w")).agg(
         F.min_by("event_id", F.struct("us", "event_id")).alias("notice_id"),
         F.count("*").alias("events"),
@@ -40,17 +43,6 @@ def coalesced_batch(events: DataFrame) -> DataFrame:
     ).drop("w")
 
 
-def coalesced_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """The streaming twin: a notice is emitted when it has closed."""
-    gap = F.when(F.col("answered"), f"{RESOLVED_SECONDS} seconds").otherwise(f"{UNANSWERED_SECONDS} seconds")
-    open_ = events.where("signature IS NOT NULL").withWatermark("ts", watermark)
-    return open_.groupBy("session_id", "signature", F.session_window("ts", gap).alias("w")).agg(
-        F.min_by("event_id", F.struct("us", "event_id")).alias("notice_id"), F.count("*").alias("events"),
-        F.max("level").alias("level"), F.bool_or("answered").alias("answered"),
-        F.min("us").alias("first_us"), F.max("us").alias("last_us"),
-    ).drop("w")
-
-
 def timed_out(pending: DataFrame, responses: DataFrame, seconds: int = DEFAULT_AFTER_SECONDS) -> DataFrame:
     """Held events nobody answered in time take their default action."""
     first = responses.groupBy("event_id").agg(F.min("us").alias("answered_us"))
