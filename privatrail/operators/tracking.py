@@ -105,14 +105,31 @@ def cname_cloaking(requests: DataFrame, trackers: DataFrame) -> DataFrame:
 def analyze_tracking(
     requests: DataFrame, cookies: DataFrame, api_calls: DataFrame, storage_ids: DataFrame, trackers: DataFrame
 ) -> DataFrame:
-    """One row per site: signals, companies (not hosts), confidence."""
-    known = known_trackers(requests, trackers)
-    pixels = tracking_pixels(requests)
-    pixel_owner = pixels.join(tracker_hosts(pixels, trackers), "host").select("site", "host", "owner")
-    lasting = persistent_cookies(cookies, trackers)
-    hosts = known.unionByName(pixel_owner).unionByName(lasting).distinct()
-    per_site = hosts.groupBy("site").agg(
-        F.count("*").alias("n_hosts"), F.sort_array(F.collect_set("owner")).alias("tracker_domains")
+    """One row per site: signals, companies (not hosts), confidence.
+
+    All hosts a site meets become one (site, host) table with flags for how they were met, so
+    the suffix match and the roll-up to sites each happen once.
+    """
+    def met(df: DataFrame, how: str) -> DataFrame:
+        flags = [F.lit(how == name).alias(name) for name in ("request", "alias", "pixel", "cookie")]
+        return df.select("site", U.clean_host(F.col("host")).alias("host"), *flags)
+
+    lasting = cookies.where(F.col("third_party") & (F.col("lifetime_days") >= W.MIN_COOKIE_DAYS))
+    pairs = (
+        met(_hosts(requests), "request")
+        .unionByName(met(requests.where("cname IS NOT NULL").select("site", F.col("cname").alias("host")), "alias"))
+        .unionByName(met(tracking_pixels(requests), "pixel"))
+        .unionByName(met(lasting.select("site", F.col("domain").alias("host")), "cookie"))
+        .groupBy("site", "host")
+        .agg(*[F.bool_or(c).alias(c) for c in ("request", "alias", "pixel", "cookie")])
+    )
+    named = pairs.join(tracker_hosts(pairs, trackers), "host")
+    hit = F.col("is_tracker") | F.col("pixel")
+    per_site = named.groupBy("site").agg(
+        F.count_if(hit).alias("n_hosts"),
+        F.sort_array(F.collect_set(F.when(hit, F.col("owner")))).alias("tracker_domains"),
+        F.bool_or(F.col("cookie") & F.col("is_tracker")).alias("lasting"),
+        F.bool_or(F.col("alias") & F.col("is_tracker")).alias("cloaked"),
     )
     sites = (
         requests.select("site").unionByName(cookies.select("site")).unionByName(api_calls.select("site"))
@@ -120,11 +137,9 @@ def analyze_tracking(
     )
     joined = (
         sites.join(per_site, "site", "left")
-        .join(lasting.select("site").distinct().withColumn("lasting", F.lit(True)), "site", "left")
         .join(url_signals(requests), "site", "left")
         .join(fingerprinting(api_calls).select("site", "fingerprinting"), "site", "left")
         .join(shared_storage(storage_ids).withColumnRenamed("origin", "site"), "site", "left")
-        .join(cname_cloaking(requests, trackers).withColumn("cloaked", F.lit(True)), "site", "left")
     )
     has = F.coalesce(F.col("n_hosts"), F.lit(0)) > 0
     signals = F.array_compact(

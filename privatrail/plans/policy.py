@@ -8,7 +8,7 @@ from privatrail.operators import decisions as D
 from privatrail.operators import policy as L
 from privatrail.plans.registry import query
 from privatrail.sources.model import model, with_model
-from privatrail.sources.tables import read_table
+from privatrail.sources.tables import read_table, spread
 
 
 def _q(s: str) -> str:
@@ -40,7 +40,7 @@ def _sql(body: str) -> str:
 
 
 def _docs(spark, sf):
-    return model(spark, sf, "policy_texts")
+    return spread(model(spark, sf, "policy_texts"))
 
 
 def _sents(spark, sf):

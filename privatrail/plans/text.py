@@ -9,7 +9,7 @@ from privatrail.operators import pii as P
 from privatrail.operators import store as S
 from privatrail.plans.registry import query
 from privatrail.sources.model import model, with_model
-from privatrail.sources.tables import documents, read_table
+from privatrail.sources.tables import documents, read_table, spread
 
 SALT = "job-salt"
 W = r"\p{L}\p{N}_"
@@ -110,7 +110,7 @@ def _phones(table: str) -> str:
 
 
 def _hits(spark, sf):
-    return P.find_matches(model(spark, sf, "texts").select("doc_id", "text"))
+    return P.find_matches(spread(model(spark, sf, "texts").select("doc_id", "text")))
 
 
 def _listed(df):

@@ -10,8 +10,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain scan that has fewer splits than the cluster has cores.
+
+    Scanning text is CPU-bound, so a small table in few row groups is worth one shuffle. A
+    large table has more splits than cores and is left as it is.
+    """
+    parallelism = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.isStreaming or scan.rdd.getNumPartitions() >= 4 * parallelism:
+        return scan
+    return scan.repartition(2 * parallelism)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
