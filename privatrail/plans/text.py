@@ -335,7 +335,7 @@ def p23(spark, sf):
 
 @query("p24_outbound_guard")
 def p24(spark, sf):
-    """Conversations made safe to send; refused rows stay out. Checked against brute force in tests."""
+    """Conversations made safe to send; refused rows stay out. Checked on fixtures in tests."""
     conv = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
     return P.sanitize_outbound(conv, ["conv_id", "turn"])
 

@@ -71,3 +71,15 @@ def test_evidence_sums_to_its_softmax(spark, sf):
     df = O.classify_forms(O.describe(O.label_fields(model(spark, sf, "form_fields"))))
     bad = df.where(~F.col("intent_confidence").between(0, 1) | (F.size("scores") != 15)).count()
     assert bad == 0
+
+
+def test_worst_verdicts_and_remedies(spark):
+    items = [
+        ("Phone", "text", "tel", False, True), ("Date of birth", "date", "bday", False, True),
+        ("Home address", "text", "street-address", True, True), ("Email", "email", "", True, True), ("Full name", "text", "name", False, True),
+    ]
+    judged = O.assess_forms(fields(spark, [("free_download", items)]))
+    worst = {r.category: r.verdict for r in O.worst_verdicts(judged).collect()}
+    assert worst["phone"] == "unnecessary" and worst["email"] == "required" and worst["full_name"] == "reasonable"
+    got = {r.field_id: (r.can_clear, r.can_redact) for r in O.remedies(judged).collect()}
+    assert got == {"f0": (True, True), "f1": (True, False), "f2": (False, True)}
