@@ -35,6 +35,7 @@ def add_columns(
     fields: dict[str, str],
     work: Callable[[], Callable[[list], Sequence[list]]],
     keep: Sequence[str],
+    rows: int = 2048,
 ) -> DataFrame:
     """Map-only: `work()` makes, once a task, a function from the values of column `source` to one list for each of
     `fields` (name -> SQL type). The columns `keep` pass through; a field of the same name takes their place."""
@@ -46,10 +47,12 @@ def add_columns(
         made = work()
         for batch in batches:
             at = batch.schema.names.index("__source")
-            values = made(batch.column(at).to_pylist())
-            columns = [batch.column(batch.schema.names.index(c)) for c in keep]
-            columns += [pa.array(v, types[t]) for v, t in zip(values, fields.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *fields])
+            for a in range(0, batch.num_rows, rows):  # small batches bound the memory of both sides
+                part = batch.slice(a, rows)
+                values = made(part.column(at).to_pylist())
+                columns = [part.column(part.schema.names.index(c)) for c in keep]
+                columns += [pa.array(v, types[t]) for v, t in zip(values, fields.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *fields])
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("__source")).mapInArrow(run, schema)
 

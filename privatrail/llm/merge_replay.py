@@ -23,6 +23,8 @@ from privatrail.llm.common import add_columns
 NONE = 1 << 40
 #: Pieces whose ids a worker keeps before it starts anew (their number bounds its memory, not the result).
 PIECES_KEPT = 800_000
+#: Texts split at a time.
+GROUP = 64
 
 
 def read_ranks(path: str) -> bytes:
@@ -212,42 +214,45 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.pieces) > PIECES_KEPT:
             self.pieces = {}
-        split = [(t or "").split(" ") for t in texts]
-        seen: set[str] = set()
-        for parts in split:
-            seen.update(parts[1:])
-        new = list(seen - self.pieces.keys())
+        new: set[str] = set()
+        heads: set[str] = set()
+        for a in range(0, len(texts), GROUP):
+            seen: set[str] = set()
+            for text in texts[a : a + GROUP]:
+                parts = (text or "").split(" ")
+                heads.add(parts[0])
+                seen.update(parts[1:])
+            new |= seen.difference(self.pieces)
         self.pieces.update(dict.fromkeys(new))
         matched = {p: self._matches(p) for p in new if p and not p[0].isspace() and not p[-1].isspace()}
-        out: list = []
-        for parts, text in zip(split, texts, strict=True):
-            if len(parts) > 1 and parts[0][-1:].isspace():
-                out.append(self.pattern.findall(text))
-                continue
-            codes = list(map(self.pieces.__getitem__, parts[1:]))
-            if None not in codes:
-                out.append((self.pattern.findall(parts[0]), codes, None))
-            elif all(c is not None or p in matched for c, p in zip(codes, parts[1:], strict=True)):
-                out.append((self.pattern.findall(parts[0]), None, parts))
-            else:
-                out.append(self.pattern.findall(text))
         words: dict[str, bytes] = {}
         for found in matched.values():
             words.update(dict.fromkeys(found))
-        for found in out:
-            words.update(dict.fromkeys(found if isinstance(found, list) else found[0]))
-        listed = list(words)
-        words = dict(zip(listed, self.replay.encode([w.encode() for w in listed]), strict=True))
+        for head in heads:
+            words.update(dict.fromkeys(self.pattern.findall(head)))
+        self._learn(words)
         for piece, found in matched.items():
             self.pieces[piece] = words[found[0]] if len(found) == 1 else b"".join(map(words.__getitem__, found))
-        for k, found in enumerate(out):
-            if isinstance(found, list):
-                out[k] = b"".join(map(words.__getitem__, found))
-            else:
-                first, codes, parts = found
-                codes = map(self.pieces.__getitem__, parts[1:]) if codes is None else codes
-                out[k] = b"".join(map(words.__getitem__, first)) + b"".join(codes)
-        return out
+        return [self._text(text or "", words) for text in texts]
+
+    def _learn(self, words: dict[str, bytes]) -> None:
+        listed = list(words)
+        words.update(zip(listed, self.replay.encode([w.encode() for w in listed]), strict=True))
+
+    def _text(self, text: str, words: dict[str, bytes]) -> bytes:
+        parts = text.split(" ")
+        try:
+            if len(parts) > 1 and parts[0][-1:].isspace():
+                raise TypeError
+            rest = b"".join(map(self.pieces.__getitem__, parts[1:]))
+            found = self.pattern.findall(parts[0])
+        except TypeError:  # a piece without ids of its own
+            rest = b""
+            found = self.pattern.findall(text)
+        if missing := {w: b"" for w in found if w not in words}:
+            self._learn(missing)
+            words.update(missing)
+        return b"".join(map(words.__getitem__, found)) + rest
 
 
 @functools.lru_cache(maxsize=2)
