@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privatrail.llm import merge_replay
+from privatrail.llm import chunk_fingerprints, line_runs, merge_replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,3 +37,19 @@ def op4_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_replay.decode(coded, ranks, ["doc_id", "n_tokens", "ids_sha256"]).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op1_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text, and their likeness to it and to the next document."""
+    return chunk_fingerprints.compare_neighbours(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every whole text that three or more documents share stay in the last of them alone."""
+    kept = line_runs.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE["op8_line_runs"] = line_runs.ORACLE
