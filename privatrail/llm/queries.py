@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privatrail.llm import chunk_fingerprints, line_runs, merge_replay
+from privatrail.llm import chunk_fingerprints, line_runs, merge_replay, packing, simhash_trie, splitters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,3 +53,34 @@ def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op8_line_runs"] = line_runs.ORACLE
+
+
+@query
+def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of every whole text: fingerprints of 3-word shingles that differ in 2 bits or fewer."""
+    near = simhash_trie.near_duplicates(_read(spark, sf_dir, "documents"))
+    return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+SHARDS = 24
+
+
+@query
+def op2_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, ranges of the text's hash between sampled splitters."""
+    placed = splitters.shard_documents(_read(spark, sf_dir, "documents"), SHARDS)
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    pieces = packing.token_pieces(
+        _read(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
