@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privatrail.llm import chunk_fingerprints, line_runs, merge_replay, packing, simhash_trie, splitters
+from privatrail.llm import chunk_fingerprints, language, line_runs, merge_replay, packing, simhash_trie, splitters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN,
     )
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the labelled documents that are not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    apart = language.held_out(F.col("doc_id"))
+    model = language.train(docs.where(~apart))
+    return language.identify(docs.select("doc_id", "text", apart.alias("held_out")), model, ["doc_id", "held_out"])
