@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -20,12 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, sweep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there, and a lost executor costs
-    one task of the following stage, not the whole history."""
+    one task of the following stage, not the whole history. sweep: let the driver collect its garbage, so that the
+    shuffle files of earlier steps go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if sweep:
+        gc.collect()
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
