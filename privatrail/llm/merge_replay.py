@@ -22,7 +22,7 @@ from privatrail.llm.common import add_columns
 
 NONE = 1 << 40
 #: Pieces whose ids a worker keeps before it starts anew (their number bounds its memory, not the result).
-PIECES_KEPT = 800_000
+PIECES_KEPT = 250_000
 #: Texts split at a time.
 GROUP = 64
 
