@@ -15,7 +15,8 @@ Copies inside a task are settled there, so a passage of a third of all documents
 more than CROWD dictionary entries send single windows, which meet by their own hash instead of by trigger.
 
 Defined cases: a null text is empty; texts shorter than `length` lose nothing; a null id is before all others; rows that
-repeat an id are one document, in which equal starts do not precede each other. Further columns pass through.
+repeat an id are one document, in which equal starts do not precede each other. Further columns pass through, but the
+text gives way to what is kept of it.
 """
 
 from __future__ import annotations
@@ -271,9 +272,9 @@ def _remove(length: int, rest: list[str]) -> Callable:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
-    """docs with `kept` (the remaining bytes), `n_removed` and `n_spans`: every byte goes that is covered by a string of
+    """docs with `kept` (the remaining bytes) in place of the text, `n_removed` and `n_spans`: every byte goes that is covered by a string of
     `length` bytes which also starts earlier, in a document of smaller id or before in the same."""
-    rest = [c for c in docs.columns if c not in ("kept", "n_removed", "n_spans")]
+    rest = [c for c in docs.columns if c not in (text, "kept", "n_removed", "n_spans")]
     own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
     n = docs.count()
     groups, parts = max(16, n // GROUP_DOCS), max(16, n // PART_DOCS)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privatrail.llm import chunk_fingerprints, language, line_runs, merge_replay, packing, simhash_trie, splitters
+from privatrail.llm import chunk_fingerprints, language, line_runs, merge_replay, packing, prefix_free, simhash_trie, splitters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +93,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = language.held_out(F.col("doc_id"))
     model = language.train(docs.where(~apart))
     return language.identify(docs.select("doc_id", "text", apart.alias("held_out")), model, ["doc_id", "held_out"])
+
+
+@query
+def op7_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the bytes of 100-byte strings that start earlier in the corpus."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    kept = prefix_free.remove_repeats(docs)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
