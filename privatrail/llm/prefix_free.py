@@ -145,23 +145,27 @@ def _parse(length: int, groups: int) -> Callable:
     return run
 
 
-def _compare(table: pa.Table) -> pa.Table:
+def _compare(crowded: int) -> Callable:
     """One group of triggers. kind 0: repeats, whole; 1: first occurrences whose windows must be compared, 2: the same
     for a crowded trigger."""
-    trigger, phrase, doc, start, windows, kind = (table.column(c).to_numpy() for c in ("trigger", "phrase", "doc", "start", "windows", "kind"))
-    settled = kind == 0
-    open_ = np.flatnonzero(~settled)
-    order, new, late = _firsts([trigger[open_], phrase[open_]], doc[open_], start[open_])
-    order = open_[order]
-    heads = order[new]
-    tops = trigger[heads]
-    bounds = np.flatnonzero(np.concatenate([[True], tops[1:] != tops[:-1]])) if len(tops) else np.zeros(0, np.int64)
-    entries = np.repeat(np.diff(np.append(bounds, len(tops))), np.diff(np.append(bounds, len(tops))))
-    shared = heads[entries > 1]
-    crowd = entries[entries > 1] > CROWD
-    at = np.concatenate([np.flatnonzero(settled), order[late], shared])
-    kinds = np.concatenate([np.zeros(settled.sum() + late.sum(), np.int32), np.where(crowd, 2, 1).astype(np.int32)])
-    return pa.table({"trigger": trigger[at], "doc": doc[at], "start": start[at], "windows": windows[at], "phrase": phrase[at], "kind": kinds})
+
+    def run(table: pa.Table) -> pa.Table:
+        trigger, phrase, doc, start, windows, kind = (table.column(c).to_numpy() for c in ("trigger", "phrase", "doc", "start", "windows", "kind"))
+        settled = kind == 0
+        open_ = np.flatnonzero(~settled)
+        order, new, late = _firsts([trigger[open_], phrase[open_]], doc[open_], start[open_])
+        order = open_[order]
+        heads = order[new]
+        tops = trigger[heads]
+        bounds = np.flatnonzero(np.concatenate([[True], tops[1:] != tops[:-1]])) if len(tops) else np.zeros(0, np.int64)
+        entries = np.repeat(np.diff(np.append(bounds, len(tops))), np.diff(np.append(bounds, len(tops))))
+        shared = heads[entries > 1]
+        crowd = entries[entries > 1] > crowded
+        at = np.concatenate([np.flatnonzero(settled), order[late], shared])
+        kinds = np.concatenate([np.zeros(settled.sum() + late.sum(), np.int32), np.where(crowd, 2, 1).astype(np.int32)])
+        return pa.table({"trigger": trigger[at], "doc": doc[at], "start": start[at], "windows": windows[at], "phrase": phrase[at], "kind": kinds})
+
+    return run
 
 
 def _fetch(length: int, groups: int) -> Callable:
@@ -271,7 +275,7 @@ def _remove(length: int, rest: list[str]) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, crowd: int = CROWD) -> DataFrame:
     """docs with `kept` (the remaining bytes) in place of the text, `n_removed` and `n_spans`: every byte goes that is covered by a string of
     `length` bytes which also starts earlier, in a document of smaller id or before in the same."""
     rest = [c for c in docs.columns if c not in (text, "kept", "n_removed", "n_spans")]
@@ -279,7 +283,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     n = docs.count()
     groups, parts = max(16, n // GROUP_DOCS), max(16, n // PART_DOCS)
     parsed = own.mapInArrow(_parse(length, groups), "group long, trigger long, phrase long, doc long, start long, windows int, kind int")
-    answers = cut(parsed.groupBy("group").applyInArrow(_compare, f"trigger long, {SPAN_TYPE}"), sweep=True)
+    answers = cut(parsed.groupBy("group").applyInArrow(_compare(crowd), f"trigger long, {SPAN_TYPE}"), sweep=True)
     part = F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("part")
     asked = answers.where("kind > 0").select(part, "trigger", *SPAN_NAMES)
     wanted = own.join(asked.select("doc").distinct(), "doc", "left_semi")

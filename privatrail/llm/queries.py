@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privatrail.llm import chunk_fingerprints, language, line_runs, merge_replay, packing, prefix_free, simhash_trie, splitters
+from privatrail.llm import chunk_fingerprints, cover_tree, language, line_runs, merge_replay, packing, prefix_free, simhash_trie, splitters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +101,9 @@ def op7_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     kept = prefix_free.remove_repeats(docs)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors at a cosine of 0.9 or more, and the groups they make."""
+    return cover_tree.link(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
