@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privatrail.llm import chunk_fingerprints, cover_tree, language, line_runs, merge_replay, packing, prefix_free, simhash_trie, splitters
+from privatrail.llm import chunk_fingerprints, cover_tree, host_suffix, language, line_runs, merge_replay, packing, prefix_free, simhash_trie, splitters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,3 +107,10 @@ def op7_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all vectors at a cosine of 0.9 or more, and the groups they make."""
     return cover_tree.link(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op6_host_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = host_suffix.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
