@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privatrail.llm.common import cut
+from privatrail.llm.common import add_columns, cut
 
 GRAM = 32
 #: Bytes parsed at a time, which bounds memory for very long texts.
@@ -301,3 +301,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
 
 SPAN_NAMES = ["doc", "start", "windows", "phrase", "kind"]
+
+
+def as_text(kept: DataFrame, source: str, text: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` and `text`: the kept bytes as a string, without the halves of characters that were cut."""
+
+    def work():
+        return lambda values: [[(v or b"").decode("utf-8", "ignore") for v in values]]
+
+    return add_columns(kept, source, {text: "string"}, work, keep)
