@@ -54,7 +54,7 @@ def features(text: str | None) -> np.ndarray | None:
         any_letter = any_letter or bool(is_letter.any())
         points = np.where(is_letter, points, 32).astype(np.uint64)
         breaks = points == 32
-        points = points[~(breaks & np.concatenate([[a == 0], breaks[:-1]]))]  # one break for a run of them
+        points = points[~(breaks & np.concatenate([[a == 0 or held[-1:].tolist() == [32]], breaks[:-1]]))]  # one break for a run of them
         line = np.concatenate([held, points])
         skip = len(held)
         for n in (1, 2, 3):
