@@ -221,11 +221,6 @@ CARD_CONFIDENCE = 0.95
 PHONE_PATTERN = r"(?<!\w)(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
 PHONE_CONFIDENCE = 0.7
 PHONE_BLOCKERS = ("financial.card_number", "financial.iban", "government_id.ssn")
-# fixed values: long texts are cut into windows
-LONG_TEXT = 65_536
-WINDOW = 16_384
-WINDOW_MIN = 8_192
-OVERLAP = 512
 # fixed values: legal IBAN length by country
 IBAN_LENGTHS = {
     "AL": 28, "AD": 24, "AT": 20, "AZ": 28, "BH": 22, "BE": 16, "BA": 20, "BR": 29, "BG": 22,
@@ -294,5 +289,4 @@ ABOVE_ADDRESS = (
     r"\b(?:male|female|transgender|dob|d\.o\.b|born|year\s+of\s+birth)\b|पुरुष|महिला|जन्म"
     r"|(?<![\dX*])[\dX*]{4}\s*[\dX*]{4}\s*[\dX*]{4}(?![\dX*])|\b[CSDW]/O\b"
 )
-MAX_BLOCK_LINES = 40
 # --- end of fixed values ------------------------------------------------------------------------

@@ -27,8 +27,6 @@ ENUMERATION = [
     "navigator.plugins", "navigator.hardwareConcurrency", "navigator.deviceMemory", "WebGL.renderer", "font.enumeration",
 ]
 MIN_COOKIE_DAYS = 30
-MAX_SNAPSHOT_HOSTS = 2000
-MAX_SNAPSHOT_URLS = 200
 
 # consent platforms: name, banner selectors
 CMP_SELECTORS = [
@@ -44,19 +42,6 @@ CMP_SELECTORS = [
     ("complianz", [".cmplz-cookiebanner"]),
     ("cookieyes", [".cky-consent-container"]),
 ]
-CMP_ACTIONS = {
-    "onetrust": ("#onetrust-reject-all-handler", "#onetrust-pc-btn-handler"),
-    "cookiebot": ("#CybotCookiebotDialogBodyButtonDecline", "#CybotCookiebotDialogBodyLevelButtonCustomize"),
-    "quantcast": ("button[mode='secondary']", ".qc-cmp2-summary-buttons button:first-child"),
-    "trustarc": ("#truste-consent-required", "#truste-consent-button"),
-    "didomi": ("#didomi-notice-disagree-button", "#didomi-notice-learn-more-button"),
-    "sourcepoint": ("[title='Reject All']", "[title='Manage preferences']"),
-    "usercentrics": ("[data-testid='uc-deny-all-button']", "[data-testid='uc-more-button']"),
-    "osano": (".osano-cm-denyAll", ".osano-cm-manage"),
-    "klaro": (".cm-btn-decline", ".cm-btn-info"),
-    "complianz": (".cmplz-deny", ".cmplz-view-preferences"),
-    "cookieyes": (".cky-btn-reject", ".cky-btn-customize"),
-}
 TCF_PURPOSES = [
     ("1", "necessary"), ("2", "advertising"), ("3", "profiling"), ("4", "advertising"), ("5", "profiling"),
     ("6", "profiling"), ("7", "analytics"), ("8", "analytics"), ("9", "analytics"), ("10", "analytics"),
@@ -133,9 +118,9 @@ SYSTEM_IDENTITIES = [
     "microsoft.lockapp", "microsoft.accountscontrol",
 ]
 # bundles under the system prefix that a person launches
-USER_FACING_BUNDLES = (
-    "safari mail photos mobilesms facetime maps music tv podcasts notes ical addressbook reminders freeform preview "
-    "quicktimeplayerx terminal ibooksx news shortcuts automator scripteditor2 iwork.pages iwork.numbers iwork.keynote "
-    "imovieapp dt.xcode"
-)
+USER_FACING_BUNDLES = [
+    "safari", "mail", "photos", "mobilesms", "facetime", "maps", "music", "tv", "podcasts", "notes", "ical", "addressbook",
+    "reminders", "freeform", "preview", "quicktimeplayerx", "terminal", "ibooksx", "news", "shortcuts", "automator",
+    "scripteditor2", "iwork.pages", "iwork.numbers", "iwork.keynote", "imovieapp", "dt.xcode",
+]
 # --- end of fixed values ----------------------------------------------------------------------

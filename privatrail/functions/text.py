@@ -1,13 +1,10 @@
-"""Column functions on text: exact match spans, windows, guards, redaction."""
+"""Column functions on text: exact match spans, guards, redaction."""
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from privatrail.dims import patterns as P
 from privatrail.dims.categories import CATEGORIES
 from privatrail.functions.validators import bind, quoted
 
@@ -79,57 +76,6 @@ def guard_sql(
     return " AND ".join(([has_digit] if digits else []) + tests) or "true"
 
 
-class Windows(NamedTuple):
-    """How long texts are cut: above ``long`` characters, into windows of at most ``size``
-    that end behind a line end where one lies past ``least``, each with some overlap."""
-
-    long: int = P.LONG_TEXT
-    size: int = P.WINDOW
-    least: int = P.WINDOW_MIN
-    overlap: int = P.OVERLAP
-
-
-def text_windows(text: Column, spec: Windows = Windows()) -> Column:  # noqa: B008
-    """array<struct<off, win, whole>>: the text itself, or overlapping windows of a long text
-    followed by the whole of it (for patterns that may exceed any overlap)."""
-    cut = (
-        f"(?s).{{1,{spec.size}}}\\z"
-        f"|.{{{spec.least},{spec.size - 1}}}\n"
-        f"|.{{1,{spec.size}}}"
-    )
-    chunks = F.regexp_extract_all(text, F.lit(cut), F.lit(0))
-
-    def lay_out(parts: Column) -> Column:
-        offsets = F.aggregate(
-            parts,
-            F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("offs")),
-            lambda s, x: F.struct(
-                (s["pos"] + F.length(x)).alias("pos"),
-                F.concat(s["offs"], F.array(s["pos"])).alias("offs"),
-            ),
-            lambda s: s["offs"],
-        )
-
-        def window(pair: Column, i: Column) -> Column:
-            before = F.when(i > 0, F.right(F.get(parts, i - 1), F.lit(spec.overlap))).otherwise("")
-            after = F.coalesce(F.left(F.get(parts, i + 1), F.lit(spec.overlap)), F.lit(""))
-            return F.struct(
-                (pair["off"] - F.length(before)).alias("off"),
-                F.concat(before, pair["chunk"], after).alias("win"),
-                F.lit(False).alias("whole"),
-            )
-
-        pairs = F.zip_with(
-            offsets, parts, lambda off, chunk: F.struct(off.alias("off"), chunk.alias("chunk"))
-        )
-        return F.transform(pairs, window)
-
-    long = F.transform(F.array(chunks), lay_out)[0]
-    whole = F.array(F.struct(F.lit(0).alias("off"), text.alias("win"), F.lit(True).alias("whole")))
-    single = F.array(F.struct(F.lit(0).alias("off"), text.alias("win"), F.lit(False).alias("whole")))
-    return F.when(F.length(text) > spec.long, F.concat(long, whole)).otherwise(single)
-
-
 def merge_spans(spans: Column) -> Column:
     """Gaps and islands over spans sorted by (s, -e, category): touching or overlapping
     spans become one, named after the first. In and out: array<struct<s, e, category>>."""

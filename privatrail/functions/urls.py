@@ -56,12 +56,12 @@ def registrable_domain(host: Column) -> Column:
 
 
 def safe_origin(value: Column, fallback: Column | None = None) -> Column:
-    """Scheme, host and port of a web address; anything else falls back (redacted text)."""
+    """Scheme, host and port of a web address; anything else falls back to the caller's redacted text, or to a hash."""
     scheme = F.lower(F.regexp_extract(value, r"^(?i)(https?)://", 1))
     host = host_of(value)
     port = F.regexp_extract(value, r"^[A-Za-z]+://(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^/?#:]*)(:[0-9]+)", 1)
     port = F.when(port.rlike("^:0+$"), "").otherwise(port)
-    other = F.substring(value if fallback is None else fallback, 1, 256)
+    other = F.concat(F.lit("text:"), F.substring(F.sha2(value, 256), 1, 24)) if fallback is None else fallback
     return F.when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host, port)).otherwise(other)
 
 

@@ -58,7 +58,7 @@ def is_system_component(bundle_id: Column, exe_path: Column) -> Column:
     """Part of the operating system: nobody can explain or revoke it app by app."""
     identity = F.lower(F.trim(bundle_id))
     path = F.regexp_replace(F.lower(F.trim(exe_path)), r"\\", "/")
-    facing = [SYSTEM_BUNDLE_PREFIX + name for name in USER_FACING_BUNDLES.split()]
+    facing = [SYSTEM_BUNDLE_PREFIX + name for name in USER_FACING_BUNDLES]
     known = F.lit(False)
     for prefix in SYSTEM_IDENTITIES:
         known = known | F.startswith(identity, F.lit(prefix))

@@ -42,7 +42,9 @@ def tracker_hosts(hosts: DataFrame, trackers: DataFrame, host: str = "host") ->
 def curated_purpose(hosts: DataFrame, sites: DataFrame, host: str = "host") -> DataFrame:
     """(host, purpose) from a site list; a bare top-level label never matches."""
     found = longest_listed_suffix(hosts, sites, host, keep_tld=False)
-    return found.join(sites, "domain").select("host", "purpose", "domain")
+    # a domain listed twice keeps its least purpose, so that no host is multiplied
+    named = sites.groupBy("domain").agg(F.min("purpose").alias("purpose"))
+    return found.join(named, "domain").select("host", "purpose", "domain")
 
 
 def keyword_purpose(text: Column) -> Column:
@@ -76,18 +78,16 @@ def _purpose_of(lower: Column) -> Column:
 def infer_purpose(requesters: DataFrame, sites: DataFrame) -> DataFrame:
     """Adds ``inferred`` to (host, signal_text): the site list first, then the wording.
 
-    Wording repeats across a site's rows, so each distinct (host, wording) is judged once.
+    The wording is judged in its row; only the distinct hosts are matched with the list and joined back. A missing
+    host or wording counts as empty.
     """
-    once = requesters.select("host", "signal_text").distinct()
-    curated = curated_purpose(once, sites).select("host", F.col("purpose").alias("site_purpose"))
+    curated = curated_purpose(requesters.select("host").distinct(), sites).select("host", F.col("purpose").alias("site_purpose"))
     words = keyword_purpose(F.concat_ws(" ", "signal_text", "host"))
     by_list = F.struct(
         F.col("site_purpose").alias("purpose"), F.lit(0.95).alias("confidence"), F.lit("curated_domain").alias("source")
     )
-    judged = once.join(curated, "host", "left").select(
-        "host", "signal_text", F.when(F.col("site_purpose").isNotNull(), by_list).otherwise(words).alias("inferred")
-    )
-    return requesters.join(judged, ["host", "signal_text"], "left")
+    inferred = F.when(F.col("site_purpose").isNotNull(), by_list).otherwise(words)
+    return requesters.join(curated, "host", "left").withColumn("inferred", inferred).drop("site_purpose")
 
 
 def enrich_requesters(requesters: DataFrame, sites: DataFrame) -> DataFrame:

@@ -11,19 +11,19 @@ from privatrail.functions.validators import bind, quoted
 from privatrail.operators.decisions import _SENSITIVITY
 
 
-def _list(words: str) -> str:
-    return "array(" + ", ".join(quoted(w) for w in words.split()) + ")"
+def _list(words: list[str]) -> str:
+    return "array(" + ", ".join(quoted(w) for w in words) + ")"
 
 
-def _in(words: str) -> str:
-    return "(" + ", ".join(quoted(w) for w in words.split()) + ")"
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join(quoted(w) for w in words) + ")"
 
 
 def _map(table: dict[str, str]) -> str:
     return "map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items()) + ")"
 
 
-def _lists(table: dict[str, str]) -> str:
+def _lists(table: dict[str, list[str]]) -> str:
     return "map(" + ", ".join(f"{quoted(k)}, {_list(v)}" for k, v in table.items()) + ")"
 
 
@@ -123,7 +123,7 @@ def classify_forms(structure: DataFrame, semantic: DataFrame | None = None) -> D
     ``semantic`` (form_id, semantic map<intent, score>) is optional sentence evidence.
     """
     prior = "map(" + ", ".join(
-        f"{quoted(p)}, map(" + ", ".join(f"{quoted(x.split('=')[0])}, {x.split('=')[1]}e0" for x in v.split()) + ")" for p, v in D.PRIOR.items()
+        f"{quoted(p)}, map(" + ", ".join(f"{quoted(intent)}, {weight}e0" for intent, weight in v.items()) + ")" for p, v in D.PRIOR.items()
     ) + ")"
     rows = []
     for order, intent in enumerate(D.INTENTS):
@@ -166,7 +166,7 @@ def judge_fields(labelled: DataFrame, forms: DataFrame) -> DataFrame:
         f"root IN {_in(D.SENSITIVE_ROOTS)} AS sensitive",
     )
 
-    def member(table: dict[str, str]) -> str:
+    def member(table: dict[str, list[str]]) -> str:
         return f"coalesce(exists(try_element_at({_lists(table)}, goal), g -> g = category OR g = root), false)"
 
     watched = "sensitive AND (root <> 'credentials' OR NOT credential_expected)"
@@ -238,14 +238,22 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
     return whole.selectExpr(label, f"transform(v, e -> e.m / {norm}) AS centroid")
 
 
-def semantic_evidence(vectors: DataFrame, centers: DataFrame, label: str = "label") -> DataFrame:
+def semantic_evidence(vectors: DataFrame, centers: DataFrame, label: str = "label", max_labels: int = 64) -> DataFrame:
     """Adds ``evidence``: array<struct<score, label>> of centred, clipped similarities.
 
-    The centroids are one row of a few vectors (one per label), broadcast to every task.
+    One centroid per intent: their number is checked against ``max_labels`` and they become constants of the plan,
+    so nothing is joined or broadcast. More labels than that are an error, never cut.
     """
-    packed = centers.groupBy(F.lit(1).alias("k")).agg(F.sort_array(F.collect_list(F.struct(label, "centroid"))).alias("centers"))
-    sims = f"transform(centers, c -> named_struct('s', aggregate(zip_with(embedding, c.centroid, (a, b) -> a * b), 0e0, (a, x) -> a + x), 'l', c.{label}))"
-    out = vectors.withColumn("k", F.lit(1)).join(F.broadcast(packed), "k").drop("k").selectExpr("*", f"{sims} AS sims")
+    rows = centers.select(label, "centroid").limit(max_labels + 1).collect()
+    if len(rows) > max_labels:
+        raise ValueError(f"more than {max_labels} centroids")
+    kind = centers.schema[label].dataType.simpleString()
+    parts = []
+    for row in sorted(rows, key=lambda r: r[0]):
+        name = quoted(row[0]) if isinstance(row[0], str) else str(row[0])
+        vector = "array(" + ", ".join(f"{x!r}D" for x in row[1]) + ")"
+        parts.append(f"named_struct('s', aggregate(zip_with(embedding, {vector}, (a, b) -> a * b), 0e0, (a, x) -> a + x), 'l', CAST({name} AS {kind}))")
+    out = vectors.selectExpr("*", f"array({', '.join(parts)}) AS sims")
     mean = "aggregate(sims, 0e0, (a, s) -> a + s.s) / size(sims)"
     score = f"{D.EMBED_WEIGHT}e0 * greatest(-{D.EMBED_CLIP}e0, least({D.EMBED_CLIP}e0, (s.s - {mean}) / {D.EMBED_TEMPERATURE}e0))"
-    return out.selectExpr("* EXCEPT (centers, sims)", f"transform(sims, s -> named_struct('score', {score}, 'label', s.l)) AS evidence")
+    return out.selectExpr("* EXCEPT (sims)", f"transform(sims, s -> named_struct('score', {score}, 'label', s.l)) AS evidence")

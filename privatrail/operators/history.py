@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from privatrail.dims.decisions import HISTORY_MAX
 
 
 def latest(log: DataFrame, key: str, order: str = "seq") -> DataFrame:
@@ -26,16 +25,17 @@ def event_history(events: DataFrame, decisions: DataFrame, responses: DataFrame)
 
 
 def history(
-    events: DataFrame, decisions: DataFrame, responses: DataFrame, limit: int = 100,
+    events: DataFrame, decisions: DataFrame, responses: DataFrame, limit: int | None = None,
     requester: str | None = None, outcome: str | None = None,
 ) -> DataFrame:
-    """The newest events first, at most ``limit`` (1..10,000)."""
+    """The newest events first: all of them, or ``limit`` where the caller gives one."""
     if requester:
         events = events.where(F.col("requester_key") == requester)
     joined = event_history(events, decisions, responses)
     if outcome:
         joined = joined.where(F.col("outcome") == outcome)
-    return joined.orderBy(F.col("us").desc(), F.col("event_id").desc()).limit(min(max(limit, 1), HISTORY_MAX))
+    ordered = joined.orderBy(F.col("us").desc(), F.col("event_id").desc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def outcome_counts(decisions: DataFrame) -> DataFrame:

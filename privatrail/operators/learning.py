@@ -59,16 +59,16 @@ def suggestions(responses: DataFrame, closed: DataFrame | None = None) -> DataFr
     """
     sites = _automatable(responses)
     counted = sites.groupBy("user_id", "action").agg(
-        F.least(F.count("*"), F.lit(KEEP_SITES)).alias("sites")
+        F.count("*").alias("sites")
     ).where(F.col("sites") >= SUGGEST_AFTER_SITES)
     return counted if closed is None else counted.join(closed, ["user_id", "action"], "left_anti")
 
 
-def remembered_sites(responses: DataFrame) -> DataFrame:
-    """The last 50 sites per user and action, by first sight (the feature's own bound)."""
+def remembered_sites(responses: DataFrame, most: int = KEEP_SITES) -> DataFrame:
+    """The last ``most`` sites per user and action, by first sight."""
     w = Window.partitionBy("user_id", "action").orderBy(F.col("first_seen").desc())
     return _automatable(responses).withColumn("rank", F.row_number().over(w)).where(
-        F.col("rank") <= KEEP_SITES
+        F.col("rank") <= most
     ).select("user_id", "action", "requester_key", "rank")
 
 

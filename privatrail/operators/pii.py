@@ -60,9 +60,19 @@ _LABELLED_CHECK = {
 _MARKER_WORDS = ("aadha", "आधार", "uidai", "unique", "government", "भारत", "vid", "vtc")
 
 
-def block_matches_sql(text: str = "win", folded: str = "folded", has_digit: str = "has_digit") -> str:
-    """SQL text for all matches inside one block of text, as one array."""
+def block_matches_sql(
+    text: str = "win", folded: str = "folded", has_digit: str = "has_digit", categories: list[str] | None = None
+) -> str:
+    """SQL text for all matches inside one text, as one array.
+
+    Only the patterns of ``categories`` are built (all without it), and for phones those that keep a phone from starting
+    inside them.
+    """
     none = f"CAST(array() AS {_MATCH})"
+    wanted = None if categories is None else {*categories, *(P.PHONE_BLOCKERS if "phone" in categories else ())}
+
+    def asked(category: str) -> bool:
+        return wanted is None or category in wanted
 
     def when(rule: P.TextRule, spans: str) -> str:
         return f"CASE WHEN {T.guard_sql(folded, has_digit, rule.guard, rule.digits, rule.colon)} THEN {spans} ELSE {none} END"
@@ -70,22 +80,24 @@ def block_matches_sql(text: str = "win", folded: str = "folded", has_digit: str
     found: list[tuple[str, str]] = []
     order = 0
     for rule in P.STANDALONE:
+        order += 1
+        if not asked(rule.category):
+            continue
         spans = T.match_spans_sql(text, rule.pattern)
         if rule.category == "financial.iban":
             spans = _trim_iban(spans)
-        tagged = _tag(spans, rule.category, rule.confidence, order, _STANDALONE_CHECK.get(rule.category))
+        tagged = _tag(spans, rule.category, rule.confidence, order - 1, _STANDALONE_CHECK.get(rule.category))
         found.append((rule.category, when(rule, tagged)))
-        order += 1
     for rule in P.LABELLED:
+        order += 1
+        if not asked(rule.category):
+            continue
         spans = f"filter({T.match_spans_sql(text, rule.pattern, labelled=True)}, x -> NOT startswith(trim(x.v), '\\u0000'))"
-        tagged = _tag(spans, rule.category, rule.confidence, order, _LABELLED_CHECK.get(rule.category))
+        tagged = _tag(spans, rule.category, rule.confidence, order - 1, _LABELLED_CHECK.get(rule.category))
         found.append((rule.category, when(rule, tagged)))
-        order += 1
-    on_card = (
-        f"{has_digit} AND {T.guard_sql(folded, has_digit, _MARKER_WORDS, False)} "
-        f"AND {text} RLIKE {quoted(T.FLAGS + P.CARD_MARKERS)}"
-    )
-    for pattern, rule_sql in ((P.CARD_BARE_12, V.national12_sql), (P.CARD_BARE_16, V.national16_sql)):
+    on_card = f"{has_digit} AND {card_named_sql(text, folded)}"
+    cards = ((P.CARD_BARE_12, V.national12_sql), (P.CARD_BARE_16, V.national16_sql)) if asked("government_id.national_id") else ()
+    for pattern, rule_sql in cards:
         spans = f"filter({T.match_spans_sql(text, pattern, labelled=True)}, x -> {rule_sql('x.v')})"
         tagged = _tag(spans, "government_id.national_id", P.CARD_CONFIDENCE, order, lambda x: "true")
         found.append(("government_id.national_id", f"CASE WHEN {on_card} THEN {tagged} ELSE {none} END"))
@@ -93,65 +105,45 @@ def block_matches_sql(text: str = "win", folded: str = "folded", has_digit: str
     phones = _tag(T.match_spans_sql(text, P.PHONE_PATTERN), "phone", P.PHONE_CONFIDENCE, order)
     phones = f"CASE WHEN {has_digit} THEN {phones} ELSE {none} END"
     # a phone number does not start inside a card, IBAN or security number
-    others = "concat(" + ", ".join(sql for _, sql in found) + ")"
+    others = "concat(" + ", ".join([sql for _, sql in found] or [none]) + ")"
+    if categories is not None and "phone" not in categories:
+        return others
     blocker = "b.category IN (" + ", ".join(f"'{c}'" for c in P.PHONE_BLOCKERS) + ")"
     free = f"filter({phones}, p -> NOT exists(o, b -> {blocker} AND b.s <= p.s AND p.s < b.e))"
     return bind(others, "o", f"concat(o, {free})")
 
 
-def _whole_text_credentials_sql(text: str = "win", folded: str = "folded") -> str:
-    """Credentials may be longer than a window's overlap: scan a long text whole for them."""
-    none = f"CAST(array() AS {_MATCH})"
-    parts, order = [], 1000
-    for rules, labelled in ((P.STANDALONE, False), (P.LABELLED, True)):
-        for rule in rules:
-            if rule.category.startswith("credentials."):
-                tagged = _tag(
-                    T.match_spans_sql(text, rule.pattern, labelled), rule.category, rule.confidence, order
-                )
-                guard = T.guard_sql(folded, "true", rule.guard, False)
-                parts.append(f"CASE WHEN {guard} THEN {tagged} ELSE {none} END")
-                order += 1
-    return "concat(" + ", ".join(parts) + ")"
-
-
-def text_windows(
-    docs: DataFrame, key: list[str], text: str = "text", spec: T.Windows = T.Windows()  # noqa: B008
-) -> DataFrame:
-    """One row per block to scan: (key, off, win, whole)."""
-    return docs.select(*key, F.explode(T.text_windows(F.col(text), spec)).alias("w")).select(*key, "w.*")
+def card_named_sql(text: str, folded: str) -> str:
+    """Does the text name an identity card, so that bare numbers in it count?"""
+    return f"({T.guard_sql(folded, 'true', _MARKER_WORDS, False)} AND {text} RLIKE {quoted(T.FLAGS + P.CARD_MARKERS)})"
 
 
-def _scan_sql(win: str, whole: str) -> str:
-    """Matches of one block; a long text taken whole is scanned for credentials only."""
-    body = (
-        f"CASE WHEN {whole} THEN {_whole_text_credentials_sql(win, 'fw')} "
-        f"ELSE {block_matches_sql(win, 'fw', 'hd')} END"
-    )
-    return bind(T.fold_case_sql(win), "fw", bind(f"{win} RLIKE {quoted(r'(?U)\d')}", "hd", body))
+def _scan_sql(text: str, categories: list[str] | None = None) -> str:
+    """Matches of one whole text; a result never depends on how texts are cut, as they are not."""
+    body = block_matches_sql(text, "fw", "hd", categories)
+    return bind(T.fold_case_sql(text), "fw", bind(f"{text} RLIKE {quoted(r'(?U)\d')}", "hd", body))
 
 
 def find_matches(
-    docs: DataFrame, key: list[str] | None = None, text: str = "text", dedupe_windows: bool = False,
-    spec: T.Windows = T.Windows(),  # noqa: B008
+    docs: DataFrame, key: list[str] | None = None, text: str = "text", categories: list[str] | None = None, distinct_texts: bool = False
 ) -> DataFrame:
     """Every match of every pattern: (key, category, start, end, value, confidence, validated).
 
-    Long texts are cut into windows that are scanned in parallel. The scan itself is map-only;
-    only matches are shuffled, to merge those that several patterns or windows report.
-    ``dedupe_windows`` scans each distinct block once and joins the result back.
+    The scan is map-only; only matches are shuffled, to merge those that several patterns report. ``categories`` builds
+    the patterns of these alone. ``distinct_texts`` scans each distinct text once and joins the result back.
     """
     key = key or ["doc_id"]
     clean = docs.where(F.col(text).isNotNull()).select(*key, T.clean_text(F.col(text)).alias("text"))
-    windows = text_windows(clean, key, "text", spec)
-    scan = F.expr(_scan_sql("win", "whole"))
-    if dedupe_windows:
-        keyed = windows.withColumn("digest", F.sha2("win", 256))
-        once = keyed.groupBy("digest", "whole").agg(F.first("win").alias("win"))
-        hits = keyed.drop("win").join(once.select("digest", "whole", scan.alias("hits")), ["digest", "whole"])
+    scan = F.expr(_scan_sql("text", categories))
+    if distinct_texts:
+        keyed = clean.withColumn("digest", F.sha2("text", 256))
+        once = keyed.groupBy("digest").agg(F.first("text").alias("text"))
+        hits = keyed.drop("text").join(once.select("digest", scan.alias("hits")), "digest")
     else:
-        hits = windows.select(*key, "off", scan.alias("hits"))
-    everything = hits.select(*key, "off", F.explode("hits").alias("hit"))
+        hits = clean.select(*key, scan.alias("hits"))
+    if categories is not None:
+        hits = hits.withColumn("hits", F.filter("hits", lambda h: h["category"].isin(categories)))
+    everything = hits.select(*key, F.explode("hits").alias("hit"))
     best = F.max_by(
         F.struct(F.col("hit.confidence").alias("confidence"), F.col("hit.validated").alias("validated"),
                  F.col("hit.v").alias("value")),
@@ -161,8 +153,8 @@ def find_matches(
         everything.groupBy(
             *key,
             F.col("hit.category").alias("category"),
-            (F.col("hit.s") + F.col("off")).alias("start"),
-            (F.col("hit.e") + F.col("off")).alias("end"),
+            F.col("hit.s").alias("start"),
+            F.col("hit.e").alias("end"),
         )
         .agg(best.alias("b"))
         .select(*key, "category", "start", "end", "b.value", "b.confidence", "b.validated")
@@ -194,37 +186,30 @@ def _islands(spans: Column) -> Column:
     )
 
 
-def _row_hits(docs: DataFrame, text: str, categories: list[str] | None, spec: T.Windows) -> DataFrame:
+def _row_hits(docs: DataFrame, text: str, categories: list[str] | None) -> DataFrame:
     """Adds ``_hits``: all spans of the row's text, found without leaving the row."""
-    columns = [c for c in docs.columns if c not in ("_hits", "_w")]
-    windows = T.text_windows(T.clean_text(F.coalesce(text, F.lit(""))), spec)
-    shifted = "named_struct('s', z.s + w.off, 'e', z.e + w.off, 'category', z.category, 'validated', z.validated)"
+    columns = [c for c in docs.columns if c not in ("_hits", "_t")]
     keep = "true" if categories is None else "z.category IN (" + ", ".join(quoted(c) for c in categories) + ")"
-    scan = _scan_sql("w.win", "w.whole")
-    hits = f"flatten(transform(_w, w -> transform(filter({scan}, z -> {keep}), z -> {shifted})))"
-    return docs.select(*columns, windows.alias("_w")).select(*columns, F.expr(hits).alias("_hits"))
+    slim = "named_struct('s', z.s, 'e', z.e, 'category', z.category, 'validated', z.validated)"
+    hits = f"transform(filter({_scan_sql('_t', categories)}, z -> {keep}), z -> {slim})"
+    return docs.select(*columns, T.clean_text(F.coalesce(text, F.lit(""))).alias("_t")).select(*columns, F.expr(hits).alias("_hits"))
 
 
-def redact(
-    docs: DataFrame, categories: list[str] | None = None, key: list[str] | None = None, text: str = "text",
-    spec: T.Windows = T.Windows(),  # noqa: B008
-) -> DataFrame:
+def redact(docs: DataFrame, categories: list[str] | None = None, key: list[str] | None = None, text: str = "text") -> DataFrame:
     """Replace matched spans by placeholders: adds ``redacted`` and ``n_spans``. Map-only."""
     columns = docs.columns
-    found = _row_hits(docs, text, categories, spec).select(*columns, _islands(F.col("_hits")).alias("_islands"))
+    found = _row_hits(docs, text, categories).select(*columns, _islands(F.col("_hits")).alias("_islands"))
     return found.select(
         *columns, T.replace_spans(F.col(text), F.col("_islands")).alias("redacted"), F.size("_islands").alias("n_spans")
     )
 
 
-def verify_redaction(
-    redacted: DataFrame, categories: list[str] | None = None, spec: T.Windows = T.Windows()  # noqa: B008
-) -> DataFrame:
+def verify_redaction(redacted: DataFrame, categories: list[str] | None = None) -> DataFrame:
     """Adds ``verified``: a rescan finds none of the selected categories and the source was
     whole. Unverified rows must not be released. Map-only."""
     columns = redacted.columns
     partial = F.col("partial") if "partial" in columns else F.lit(False)
-    rescanned = _row_hits(redacted, "redacted", categories, spec)
+    rescanned = _row_hits(redacted, "redacted", categories)
     return rescanned.select(*columns, ((F.size("_hits") == 0) & ~partial).alias("verified"))
 
 
@@ -277,8 +262,8 @@ def mask_values(matches: DataFrame, document_kind: Column, scheme: Column) -> Da
 
 
 def address_blocks(docs: DataFrame, spans: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """Address blocks by shape: from a line with an uncovered six-digit code back over at
-    most 40 lines, stopping below a line that stays readable.
+    """Address blocks by shape: from a line with an uncovered six-digit code back to below
+    the nearest line that stays readable, or to the text's beginning.
 
     ``spans`` (key, start, end, covered) marks covered and kept spans on the text. Lines and
     spans of one document meet inside that document's row, so nothing is paired across rows.
@@ -308,14 +293,12 @@ def address_blocks(docs: DataFrame, spans: DataFrame | None = None, key: str = "
     covered = F.exists(
         "spans", lambda s: s["covered"] & (s["start"] <= pin_end - 6) & (pin_end <= s["end"])
     )
-    back = w.rowsBetween(-P.MAX_BLOCK_LINES, -1)
+    back = w.rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("stop_line", F.when(stops, F.col("line_no"))).withColumn(
         "is_pin", (head != "") & ~covered
     ).withColumn("pin_end", pin_end)
     lines = lines.withColumn("stop_at", F.last("stop_line", ignorenulls=True).over(back))
-    first = F.greatest(
-        F.coalesce(F.col("stop_at") + 1, F.lit(0)), F.col("line_no") - P.MAX_BLOCK_LINES, F.lit(0)
-    )
+    first = F.coalesce(F.col("stop_at") + 1, F.lit(0))
     pins = lines.where("is_pin").withColumn("first_line", first).where("first_line < line_no")
     starts = lines.select(key, F.col("line_no").alias("first_line"), F.col("at").alias("block_start"))
     return pins.join(starts, [key, "first_line"]).select(
@@ -346,7 +329,7 @@ def evidence(found: DataFrame, key: str = "doc_id") -> DataFrame:
     parts = F.array_compact(
         F.array(
             F.when((n > 0) & (F.col("doc_pages") > 1), page_text),
-            F.when(F.col("meta"), F.lit("Recorded in the file's own metadata")),
+            F.when(F.col("meta"), F.lit("in the metadata")),
         )
     )
     return joined.select(key, "category", F.array_join(parts, " · ").alias("detail")).where("detail <> ''")
@@ -369,7 +352,7 @@ def _normalise(batches):
     import unicodedata
 
     for pdf in batches:
-        pdf["text"] = pdf["text"].map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+        pdf["text"] = pdf["text"].map(lambda t: unicodedata.normalize("NFKC", t))
         yield pdf
 
 
@@ -387,13 +370,14 @@ def outbound_text(text: Column) -> Column:
     return value
 
 
-def sanitize_outbound(docs: DataFrame, key: list[str], max_chars: int = 2_000_000) -> DataFrame:
-    """Adds ``clean`` and ``refused``: a row in which a checksum-validated identifier survives
-    redaction, or that is too long, is refused whole."""
+def sanitize_outbound(docs: DataFrame, key: list[str], passes: int = 3) -> DataFrame:
+    """Adds ``clean`` and ``refused``: texts are redacted again and again, up to ``passes`` times, and a row in which a
+    checksum-validated identifier still stands is refused whole. Only texts outside ASCII pass through Python."""
     slim = docs.select(*key, "text")
-    folded = slim.mapInPandas(_normalise, slim.schema).withColumn("text", outbound_text(F.col("text")))
-    step = redact(folded, key=key).select(*key, F.col("redacted").alias("clean"))
-    left = _row_hits(step, "clean", None, T.Windows())
-    return left.select(
-        *key, "clean", (F.exists("_hits", lambda z: z["validated"]) | (F.length("clean") > max_chars)).alias("refused")
-    )
+    foreign = F.coalesce(F.col("text").rlike(r"[^\x00-\x7F]"), F.lit(False))
+    step = slim.where(~foreign).unionByName(slim.where(foreign).mapInPandas(_normalise, slim.schema))
+    step = step.select(*key, outbound_text(F.col("text")).alias("clean"))
+    for _ in range(passes):
+        step = redact(step, key=key, text="clean").select(*key, F.col("redacted").alias("clean"))
+    left = _row_hits(step, "clean", None)
+    return left.select(*key, "clean", F.exists("_hits", lambda z: z["validated"]).alias("refused"))

@@ -17,24 +17,39 @@ def any_of(patterns: list[str]) -> str:
     return FLAGS + "|".join(f"(?:{p})" for p in patterns)
 
 
+def _trimmed(line: Column) -> Column:
+    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+
+
+def _is_heading(p: Column) -> Column:
+    words = F.size(F.split(p, r"(?U)\s+"))
+    return (F.length(p) < 90) & ~p.rlike("[.!?;]") & (F.endswith(p, F.lit(":")) | (words <= 5))
+
+
 def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos, sentence, heading): line-aware, with the running heading of each sentence.
+    """(key, pos, sentence, heading): the sentences of whole texts, line by line, each with its running heading.
 
-    Lines of one document are put in order inside that document; documents are bounded.
+    Map-only: a text's lines are divided into sections at its headings inside the row, and the sections exploded.
+    ``pos`` is the line times 2^32 plus the place in it, so it orders any text.
     """
-    text = F.left("text", F.lit(D.MAX_POLICY_CHARS))
-    lines = docs.select(key, F.posexplode(F.split(text, "\n+")).alias("line", "raw"))
-    lines = lines.withColumn("p", F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")).where("p <> ''").drop("raw")
-    words = F.size(F.split("p", r"(?U)\s+"))
-    is_heading = (F.length("p") < 90) & ~F.col("p").rlike("[.!?;]") & (F.endswith(F.col("p"), F.lit(":")) | (words <= 5))
-    w = Window.partitionBy(key).orderBy("line")
-    heading = F.last(F.when(is_heading, F.regexp_replace("p", ":+$", "")), ignorenulls=True).over(w)
-    lines = lines.withColumn("heading", F.coalesce(heading, F.lit("")))
-    cut = F.regexp_replace("p", r"([.!?])\s+", "$1" + CUT)
+    lines = F.filter(
+        F.transform(F.split("text", "\n+"), lambda x, i: F.struct(i.alias("line"), _trimmed(x).alias("p"))), lambda s: s["p"] != ""
+    )
+    heads = F.filter(F.transform("_lines", lambda s, i: F.when((i == 0) | _is_heading(s["p"]), i)), lambda i: i.isNotNull())
+    section = F.transform(
+        "_heads",
+        lambda a, k: F.struct(
+            F.when(_is_heading(F.get("_lines", a)["p"]), F.regexp_replace(F.get("_lines", a)["p"], ":+$", "")).otherwise("").alias("heading"),
+            F.slice("_lines", a + 1, F.coalesce(F.get("_heads", k + 1), F.size("_lines")) - a).alias("lines"),
+        ),
+    )
+    out = docs.select(key, lines.alias("_lines")).select(key, "_lines", heads.alias("_heads"))
+    out = out.select(key, F.explode(section).alias("s")).select(key, "s.heading", F.explode("s.lines").alias("l"))
+    cut = F.regexp_replace("l.p", r"([.!?])\s+", "$1" + CUT)
     cut = F.regexp_replace(cut, r";\s*|\s+(?:but|however|nevertheless)\s+", CUT)
     parts = F.filter(F.transform(F.split(cut, CUT), lambda s: F.trim(s)), lambda s: s != "")
-    out = lines.select(key, "line", "heading", F.posexplode(parts).alias("part", "sentence"))
-    return out.select(key, (F.col("line") * 10000 + F.col("part")).alias("pos"), "sentence", "heading")
+    out = out.select(key, "heading", F.col("l.line").alias("line"), F.posexplode(parts).alias("part", "sentence"))
+    return out.select(key, (F.shiftleft(F.col("line").cast("long"), 32) + F.col("part")).alias("pos"), "sentence", "heading")
 
 
 def clause_claims(sents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -64,18 +79,18 @@ def best_clauses(claims: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def with_citations(clauses: DataFrame) -> DataFrame:
-    """Quoted sentence and section, free of identifiers and cut to size."""
-    quoted_ = redact(clauses, text="sentence").withColumn("citation", F.left("redacted", F.lit(2000))).drop("redacted", "n_spans")
-    named = redact(quoted_, text="heading").withColumn("section", F.left("redacted", F.lit(150))).drop("redacted", "n_spans")
+    """Quoted sentence and section, whole and free of identifiers."""
+    quoted_ = redact(clauses, text="sentence").withColumn("citation", F.col("redacted")).drop("redacted", "n_spans")
+    named = redact(quoted_, text="heading").withColumn("section", F.col("redacted")).drop("redacted", "n_spans")
     return named.drop("sentence", "heading")
 
 
 def terms_summary(docs: DataFrame, clauses: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per document: digest, missing and partial flags, clause names, what is ordinary."""
+    """Per document: digest, whether it is missing, clause names, what is ordinary."""
     names = clauses.groupBy(key).agg(F.sort_array(F.collect_set("clause")).alias("clauses"))
     none = F.array().cast("array<string>")
     out = docs.select(
-        key, F.sha2("text", 256).alias("digest"), (F.trim("text") == "").alias("missing"), (F.length("text") > D.MAX_POLICY_CHARS).alias("partial")
+        key, F.sha2("text", 256).alias("digest"), (F.trim("text") == "").alias("missing")
     ).join(names, key, "left").withColumn("clauses", F.coalesce("clauses", none))
 
     def has(*names_: str) -> Column:
@@ -103,6 +118,12 @@ def stated_labels(sents: DataFrame, rules: dict[str, str], key: str = "doc_id")
     return sents.select(key, F.explode(F.expr(f"array_compact(array({', '.join(tests)}))")).alias("label")).distinct()
 
 
+def used_purposes(sents: DataFrame, claims: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, label): purposes a text states; a clause on training adds its own."""
+    trained = claims.where("clause = 'training_on_user_content'").select(key, F.lit("ai_training").alias("label"))
+    return stated_labels(sents, D.PURPOSES, key).unionByName(trained).distinct()
+
+
 def sharing_sentences(sents: DataFrame) -> DataFrame:
     return sents.where(F.col("sentence").rlike(FLAGS + D.SHARING_SENTENCE) | F.col("heading").rlike(FLAGS + D.SHARING_HEADING))
 
@@ -138,7 +159,7 @@ def collected(sents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def rights_and_contacts(sents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per document: user rights, the last sentence on children, the last contact sentence."""
+    """Per document: user rights, the last sentence on children, the last contact sentence, both redacted."""
     low = F.lower("sentence")
     flags = [F.bool_or(low.rlike("(?Ud)" + p)).alias(n) for n, p in D.RIGHTS.items()]
 
@@ -148,7 +169,10 @@ def rights_and_contacts(sents: DataFrame, key: str = "doc_id") -> DataFrame:
 
     g = sents.groupBy(key).agg(*flags, last(D.CHILDREN).alias("children"), last(D.CONTACT).alias("contact"))
     rights = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in D.RIGHTS]))
-    return g.select(key, F.sort_array(rights).alias("rights"), "children", "contact")
+    out = g.select(key, F.sort_array(rights).alias("rights"), "children", "contact")
+    for name in ("children", "contact"):
+        out = redact(out, text=name).withColumn(name, F.col("redacted")).drop("redacted", "n_spans")
+    return out
 
 
 def retention(sents: DataFrame, clauses: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -170,7 +194,7 @@ def retention(sents: DataFrame, clauses: DataFrame, key: str = "doc_id") -> Data
 def over_collected(found: DataFrame, purposes: DataFrame, necessity: DataFrame, key: str = "doc_id") -> DataFrame:
     """Collected categories the site's purpose has no evident use for."""
     wanted = necessity.where(F.col("verdict").isin("unnecessary", "red_flag")).select(F.col("purpose").alias("site_purpose"), "category")
-    return found.join(purposes.select(key, "site_purpose"), key).join(F.broadcast(wanted), ["site_purpose", "category"], "left_semi")
+    return found.join(purposes.select(key, "site_purpose"), key).join(wanted, ["site_purpose", "category"], "left_semi")
 
 
 def merge_site_profiles(clauses_by_site: DataFrame) -> DataFrame:

@@ -27,16 +27,16 @@ def site_findings(tracking: DataFrame, consent: DataFrame, clauses: DataFrame) -
     once = clauses.groupBy("site", "clause").agg(F.min("kind").alias("kind"))
     said = once.join(F.broadcast(dim), "clause").withColumn("severity", F.lit("INFORM"))
     return (
-        followed.select("site", *row("tracking", "INFORM", "warn", "Advertising profile"))
-        .unionByName(weighted.select("site", *row("consent", "INTERVENE", "warn", "Cookie choices are weighted against you")))
+        followed.select("site", *row("tracking", "INFORM", "warn", "visits are followed across sites"))
+        .unionByName(weighted.select("site", *row("consent", "INTERVENE", "warn", "the cookie choice is not even-handed")))
         .unionByName(said.select(*_COLUMNS))
     )
 
 
 def desktop_findings(events: DataFrame, decisions: DataFrame, asof_us: int, seconds: int = 300) -> DataFrame:
-    """Recent clipboard and screen events that were worth saying, once per event."""
+    """Recent clipboard and screen events whose latest decision was worth saying, once per event."""
     recent = events.where(F.col("event_type").isin("clipboard_read", "screen_capture") & F.col("us").between(asof_us - seconds * 1_000_000, asof_us))
-    told = decisions.where("outcome <> 'IGNORE'").groupBy("event_id").agg(F.max("outcome").alias("outcome"))
+    told = decisions.groupBy("event_id").agg(F.max_by("outcome", "seq").alias("outcome")).where("outcome <> 'IGNORE'")
     return recent.join(told, "event_id").select("event_id", "requester_key", F.col("event_type").alias("kind"), F.col("outcome").alias("severity"))
 
 

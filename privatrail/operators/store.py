@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from privatrail.dims.decisions import (
     FIELD_KEYS,
-    MESSAGE_MAX_BYTES,
     RETENTION_DAYS,
-    UPLOAD_FULL_SIZE,
-    UPLOAD_SAMPLE,
     UPLOAD_TTL_SECONDS,
 )
 from privatrail.dims.patterns import DROPPED_KEYS, HASH_KEYS, ID_KEYS, STORE_PATTERNS
@@ -23,7 +20,9 @@ DAY_US = 86_400_000_000
 def stored_events(events: DataFrame) -> DataFrame:
     """What may be kept of an event: no payload, fields, context or path; public identity only."""
     dropped = [c for c in ("payload_ref", "fields", "context", "exe_path", "text") if c in events.columns]
-    return events.drop(*dropped).withColumn("requester_key", U.public_identity(F.col("requester_key")))
+    return events.drop(*dropped).withColumn(
+        "requester_key", U.public_identity(F.col("requester_key"), redact_for_store(F.col("requester_key")))
+    )
 
 
 def upsert_on_read(log: DataFrame, key: str = "event_id", order: str = "seq", keep_first: str = "status") -> DataFrame:
@@ -105,8 +104,9 @@ def diagnostics(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def sample_long(docs: DataFrame, limit: int = UPLOAD_FULL_SIZE, keep: int = UPLOAD_SAMPLE) -> DataFrame:
-    """Documents over the size limit keep their first and last part and are marked partial."""
+def sample_long(docs: DataFrame, limit: int, keep: int) -> DataFrame:
+    """For callers that want samples only: documents over ``limit`` characters keep their first and last ``keep`` and are
+    marked partial. No other operator calls this; analyses read whole texts."""
     long = F.length("text") > limit
     cut = F.concat(F.left("text", F.lit(keep)), F.lit("\n"), F.right("text", F.lit(keep)))
     return docs.withColumn("partial", long).withColumn("text", F.when(long, cut).otherwise(F.col("text")))
@@ -126,10 +126,11 @@ EVENT_TYPES = [
 ]
 
 
-def validate_messages(raw: DataFrame, body: str = "body", max_bytes: int = MESSAGE_MAX_BYTES) -> DataFrame:
+def validate_messages(raw: DataFrame, body: str = "body", max_bytes: int | None = None) -> DataFrame:
     """Parse JSON messages against the closed schema; adds ``reasons`` (empty when valid).
 
-    Rows with reasons belong in quarantine, the others go on.
+    Rows with reasons belong in quarantine, the others go on. ``max_bytes`` adds a limit of the receiving channel
+    (MESSAGE_MAX_BYTES for the host bridge); without it any size is read.
     """
     allowed = F.array(*[F.lit(f.name) for f in MESSAGE.fields if f.name != "_corrupt"])
     parsed = raw.withColumn(
@@ -144,7 +145,7 @@ def validate_messages(raw: DataFrame, body: str = "body", max_bytes: int = MESSA
 
     malformed = F.col("keys").isNull() | m["_corrupt"].isNotNull()
     checks = [
-        reason(F.octet_length(body) > max_bytes, "too_large"),
+        reason(F.octet_length(body) > max_bytes if max_bytes else F.lit(False), "too_large"),
         reason(malformed, "malformed"),
         reason(~malformed & extra, "unknown_key"),
         reason(~malformed & fields, "field_key"),
@@ -168,44 +169,46 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(out, "<[^>]+>", " ")
 
 
-def public_text(pages: DataFrame, html: str = "html", max_chars: int = 2_000_000) -> DataFrame:
-    """Adds ``text`` and ``partial`` (the page was longer than the size limit)."""
-    cut = F.left(html, F.lit(max_chars))
-    return pages.withColumn("text", html_text(cut)).withColumn("partial", F.length(html) > max_chars)
+def public_text(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Adds ``text``, the visible text of the whole page."""
+    return pages.withColumn("text", html_text(F.col(html)))
 
 
-def checked_trackers(candidates: DataFrame, default: DataFrame, low: int = 100, high: int = 100_000) -> DataFrame:
-    """A supplied tracker list if it is well formed (row count and spelling), else the default."""
-    listed = candidates.select("domain").distinct()
-    verdict = listed.agg(
-        ((F.count("*") >= low) & (F.count("*") <= high)
-         & (F.count_if(F.coalesce(~F.col("domain").rlike("^[a-z0-9.-]+$"), F.lit(True))) == 0)).alias("ok")
-    )
-    flag = F.broadcast(verdict)  # one row
-    chosen = listed.withColumn("ok", F.lit(True)).join(flag, "ok", "left_semi").select("domain")
-    fallback = default.withColumn("ok", F.lit(False)).join(flag, "ok", "left_semi").select("domain")
-    return chosen.unionByName(fallback)
+def checked_trackers(candidates: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+    """One row on a supplied tracker list: ``n`` distinct entries, ``malformed`` ones, ``ok`` and the ``reason`` why not.
+    The list itself is never changed or exchanged; bounds are the caller's."""
+    bad = F.coalesce(~F.col("domain").rlike("^[a-z0-9.-]+$"), F.lit(True))
+    counted = candidates.select("domain").distinct().agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("malformed"))
+    reason = F.when(F.col("malformed") > 0, "malformed")
+    if low is not None:
+        reason = reason.when(F.col("n") < low, "too_short")
+    if high is not None:
+        reason = reason.when(F.col("n") > high, "too_long")
+    reason = F.coalesce(reason, F.lit(""))
+    return counted.withColumn("ok", reason == "").withColumn("reason", reason)
 
 
 def reassemble_uploads(chunks: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Chunks to whole uploads: contiguous from 0, right size, no gap above the time limit.
+    """Chunks to whole uploads: contiguous from 0, right size, no pause between two chunks above the time limit.
 
-    An upload is bounded by its sender's chunk and size limits. Totals are checked with a
-    hash aggregate first; only uploads that pass are put together, in order.
+    Totals are checked first; only the parts of uploads that pass are put together.
     """
-    quiet = F.max("us") - F.min("us") <= UPLOAD_TTL_SECONDS * 1_000_000 * F.greatest(F.count("*") - 1, F.lit(1))
-    totals = chunks.groupBy("upload_id").agg(
+    order = Window.partitionBy("upload_id").orderBy("seq", "us")
+    pause = F.col("us") - F.lag("us").over(order)
+    totals = chunks.select("upload_id", "seq", F.length("data").alias("length"), pause.alias("pause")).groupBy("upload_id").agg(
         (F.count("*") == F.max("seq") + 1).alias("contiguous"),
-        F.sum(F.length("data")).alias("received"),
-        quiet.alias("in_time"),
-        F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("parts"),
+        F.sum("length").alias("received"),
+        (F.coalesce(F.max("pause"), F.lit(0)) <= UPLOAD_TTL_SECONDS * 1_000_000).alias("in_time"),
+    )
+    good = F.coalesce(F.col("contiguous") & (F.col("received") == F.col("size")) & F.col("in_time"), F.lit(False))
+    judged = sizes.join(totals, "upload_id", "left").select("upload_id", good.alias("good"))
+    parts = chunks.join(judged.where("good").select("upload_id"), "upload_id", "left_semi").groupBy("upload_id").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("parts")
     )
-    joined = sizes.join(totals, "upload_id", "left")
-    good = F.col("contiguous") & (F.col("received") == F.col("size")) & F.col("in_time")
-    return joined.select(
+    return judged.join(parts, "upload_id", "left").select(
         "upload_id",
-        F.when(F.coalesce(good, F.lit(False)), "complete").otherwise("aborted").alias("status"),
-        F.when(good, F.array_join(F.transform("parts", lambda p: p["data"]), "")).alias("content"),
+        F.when(F.col("good"), "complete").otherwise("aborted").alias("status"),
+        F.array_join(F.transform("parts", lambda p: p["data"]), "").alias("content"),
     )
 
 

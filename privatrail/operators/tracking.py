@@ -14,19 +14,22 @@ from privatrail.functions import urls as U
 from privatrail.operators.domains import tracker_hosts
 
 
-def snapshot_hosts(requests: DataFrame, max_hosts: int = W.MAX_SNAPSHOT_HOSTS) -> DataFrame:
-    """Distinct hosts per site, the most recently first seen kept (a snapshot's own bound)."""
-    w = Window.partitionBy("site").orderBy(F.col("first_id").desc())
-    seen = requests.groupBy("site", "host").agg(F.min("event_id").alias("first_id"))
-    kept = seen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_hosts)
-    return kept.groupBy("site").agg(F.sort_array(F.collect_set("host")).alias("hosts"))
-
-
-def snapshot_urls(requests: DataFrame, max_urls: int = W.MAX_SNAPSHOT_URLS) -> DataFrame:
-    """The first URLs per site in order of arrival (a snapshot's own bound)."""
-    w = Window.partitionBy("site").orderBy("first_id")
-    first = requests.groupBy("site", F.left("url", F.lit(2000)).alias("url")).agg(F.min("event_id").alias("first_id"))
-    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_urls).select("site", "url", "rank")
+def _first(seen: DataFrame, most: int | None, newest: bool) -> DataFrame:
+    """All rows, or a site's first or newest ``most`` where the caller asks for that."""
+    if most is None:
+        return seen
+    order = F.col("first_id").desc() if newest else F.col("first_id")
+    return seen.withColumn("_rank", F.row_number().over(Window.partitionBy("site").orderBy(order))).where(F.col("_rank") <= most).drop("_rank")
+
+
+def snapshot_hosts(requests: DataFrame, most: int | None = None) -> DataFrame:
+    """(site, host, first_id): the distinct hosts of each site."""
+    return _first(requests.groupBy("site", "host").agg(F.min("event_id").alias("first_id")), most, newest=True)
+
+
+def snapshot_urls(requests: DataFrame, most: int | None = None) -> DataFrame:
+    """(site, url, first_id): the distinct addresses of each site."""
+    return _first(requests.groupBy("site", "url").agg(F.min("event_id").alias("first_id")), most, newest=False)
 
 
 def _hosts(requests: DataFrame) -> DataFrame:

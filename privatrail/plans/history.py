@@ -214,7 +214,7 @@ def _folded(spark, sf):
 
 @query(
     "g03_suggestions",
-    with_model("responses", body=FOLDED + """SELECT user_id, action, least(count(*), 50) AS sites FROM s
+    with_model("responses", body=FOLDED + """SELECT user_id, action, count(*) AS sites FROM s
     WHERE NOT (user_id = 1 AND action = 'block') GROUP BY user_id, action HAVING count(*) >= 5"""),
 )
 def g03(spark, sf):

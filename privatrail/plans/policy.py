@@ -25,7 +25,7 @@ lp AS (SELECT doc_id, line, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS p FROM
 lh AS (SELECT *, coalesce(last_value(CASE WHEN length(p) < 90 AND NOT regexp_matches(p, '[.!?;]') AND (ends_with(p, ':') OR len(regexp_split_to_array(p, '\s+')) <= 5)
    THEN rtrim(p, ':') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line), '') AS heading FROM lp),
 sp AS (SELECT doc_id, line, heading, list_filter(list_transform(string_split(regexp_replace(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), ';\s*|\s+(?:but|however|nevertheless)\s+', chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS parts FROM lh),
-sent AS (SELECT doc_id, line * 10000 + generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS sentence, heading FROM sp)
+sent AS (SELECT doc_id, line * 4294967296 + generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS sentence, heading FROM sp)
 """
 _conf = lambda r: "CASE WHEN " + " OR ".join(f"contains(lower(heading), '{w.lower()}')" for w in r.scope) + " THEN 0.96e0 ELSE 0.9e0 END"
 CLAIMS = SENT + ",\nclaims AS (" + " UNION ALL ".join(
@@ -91,7 +91,7 @@ def l05(spark, sf):
 @query("l06_purposes_and_recipients")
 def l06(spark, sf):
     s = _sents(spark, sf)
-    used = L.stated_labels(s, K.PURPOSES).withColumn("kind", F.lit("purpose"))
+    used = L.used_purposes(s, L.clause_claims(s)).withColumn("kind", F.lit("purpose"))
     return used.unionByName(L.stated_labels(L.sharing_sentences(s), K.RECIPIENTS).withColumn("kind", F.lit("recipient")))
 
 

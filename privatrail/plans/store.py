@@ -182,28 +182,26 @@ def s12(spark, sf):
 @query(
     "s13_tracker_list",
     """WITH h AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS domain FROM pages),
-    v AS (SELECT count(*) >= 10 AND count(*) <= 100000 AND count(CASE WHEN NOT regexp_full_match(domain, '[a-z0-9.-]+') THEN 1 END) = 0 AS ok FROM h)
-    SELECT domain FROM h, v WHERE ok UNION ALL SELECT 'trackone.example' FROM v WHERE NOT ok""",
+    v AS (SELECT count(*) AS n, count(CASE WHEN NOT regexp_full_match(domain, '[a-z0-9.-]+') THEN 1 END) AS malformed FROM h)
+    SELECT n, malformed, malformed = 0 AND n >= 10 AS ok, CASE WHEN malformed > 0 THEN 'malformed' WHEN n < 10 THEN 'too_short' ELSE '' END AS reason FROM v""",
 )
 def s13(spark, sf):
-    from privatrail.dims import dimension
     from privatrail.functions.urls import host_of
 
     listed = read_table(spark, sf, "pages").select(host_of(F.col("url")).alias("domain"))
-    default = dimension(spark, [("trackone.example",)], "domain")
-    return S.checked_trackers(listed, default, low=10)
+    return S.checked_trackers(listed, low=10)
 
 
 @query(
     "s15_html_text",
-    r"""SELECT page_id, length(html) > 3000 AS partial, length(t) AS n, sha256(t) AS digest FROM (
-      SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html[1:3000],
+    r"""SELECT page_id, length(t) AS n, sha256(t) AS digest FROM (
+      SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
         '(?is)<script[\s\S]*?</script>', ' ', 'g'), '(?is)<style[\s\S]*?</style>', ' ', 'g'),
         '(?is)<noscript[\s\S]*?</noscript>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages) x""",
 )
 def s15(spark, sf):
-    out = S.public_text(read_table(spark, sf, "pages"), max_chars=3000)
-    return out.select("page_id", "partial", F.length("text").alias("n"), F.sha2("text", 256).alias("digest"))
+    out = S.public_text(read_table(spark, sf, "pages"))
+    return out.select("page_id", F.length("text").alias("n"), F.sha2("text", 256).alias("digest"))
 
 
 @query(
@@ -235,8 +233,9 @@ def s16(spark, sf):
 @query(
     "s17_reassembled_uploads",
     with_model("upload_chunks", body="""WITH s AS (SELECT upload_id, CAST(max(parts * 5 + size_error) AS BIGINT) AS nominal FROM upload_chunks GROUP BY upload_id),
-    g AS (SELECT upload_id, count(*) = max(seq) + 1 AS contiguous, sum(length(data)) AS received, max(us) - min(us) <= 120000000 * greatest(count(*) - 1, 1) AS in_time,
-      string_agg(data, '' ORDER BY seq) AS content, CAST(max(size_error) + sum(length(data)) AS BIGINT) AS size FROM upload_chunks GROUP BY upload_id)
+    p AS (SELECT a.upload_id, max(b.us - a.us) AS pause FROM upload_chunks a JOIN upload_chunks b ON a.upload_id = b.upload_id AND b.seq = a.seq + 1 GROUP BY a.upload_id),
+    g AS (SELECT upload_id, count(*) = max(seq) + 1 AS contiguous, sum(length(data)) AS received, coalesce((SELECT pause FROM p WHERE p.upload_id = c.upload_id), 0) <= 120000000 AS in_time,
+      string_agg(data, '' ORDER BY seq) AS content, CAST(max(size_error) + sum(length(data)) AS BIGINT) AS size FROM upload_chunks c GROUP BY upload_id)
     SELECT upload_id, CASE WHEN contiguous AND received = size AND in_time THEN 'complete' ELSE 'aborted' END AS status,
       CASE WHEN contiguous AND received = size AND in_time THEN content END AS content FROM g"""),
 )
@@ -253,7 +252,7 @@ def s17(spark, sf):
       WHEN 2 THEN 'https://user@Host' || c_custkey || '.example:8443/p?q=1' ELSE 'com.vendor.App' || c_custkey END FROM customer)
     SELECT id, CASE WHEN regexp_matches(value, '^(/|\\\\|[A-Za-z]:[\\/])') THEN 'app:' || left(sha256(lower(replace(value, '\', '/'))), 24)
       WHEN regexp_matches(value, '^https?://') THEN regexp_extract(value, '^(https?)://', 1) || '://' || lower(regexp_extract(value, '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1))
-        || regexp_extract(value, '^https?://(?:[^/?#@]*@)?[^/?#:]*(:[0-9]+)', 1) ELSE left(value, 256) END AS identity FROM u""",
+        || regexp_extract(value, '^https?://(?:[^/?#@]*@)?[^/?#:]*(:[0-9]+)', 1) ELSE value END AS identity FROM u""",
 )
 def p22(spark, sf):
     from privatrail.functions.urls import public_identity
@@ -266,7 +265,7 @@ def p22(spark, sf):
     )
     other = read_table(spark, sf, "customer").select((n + 100000).alias("id"), value.alias("value"))
     both = read_table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("value")).unionByName(other)
-    return both.select("id", public_identity(F.col("value")).alias("identity"))
+    return both.select("id", public_identity(F.col("value"), S.redact_for_store(F.col("value"))).alias("identity"))
 
 
 @query(

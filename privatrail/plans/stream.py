@@ -64,11 +64,12 @@ def w07(spark, sf):
 
 @query(
     "w08_late_results",
-    with_model("responses", body="SELECT event_id, seq, CASE WHEN r.us - (r.us - (event_id % 600) * 1000000) > 300000000 THEN 'aborted' ELSE 'complete' END AS status FROM responses r WHERE seq = 1"),
+    with_model("responses", body="SELECT event_id, seq, CASE WHEN event_id % 600 > 300 OR event_id % 7 = 3 THEN 'aborted' ELSE 'complete' END AS status FROM responses"),
 )
 def w08(spark, sf):
-    r = model(spark, sf, "responses").where("seq = 1").withColumnRenamed("us", "result_us")
-    r = r.withColumn("us", F.col("result_us") - (F.col("event_id") % 600) * 1_000_000)
+    r = model(spark, sf, "responses").withColumnRenamed("us", "result_us")
+    # every seventh result came without the time it belongs to
+    r = r.withColumn("us", F.when(F.col("event_id") % 7 != 3, F.col("result_us") - (F.col("event_id") % 600) * 1_000_000))
     kept, late = N.split_late(r, 300_000_000)
     return kept.withColumn("status", F.lit("complete")).unionByName(late).select("event_id", "seq", "status")
 
@@ -93,8 +94,8 @@ def w10(spark, sf):
 DIM = values_sql([(c.name, c.title, "warn" if c.material else "info") for c in CLAUSES], "clause, summary, tone")
 FOUND = f"""
 WITH cl AS (SELECT requester_key AS site, CASE WHEN n % 2 = 0 THEN 'policy' ELSE 'terms' END AS kind, unnest(clauses) AS clause FROM profiles),
-fi AS (SELECT DISTINCT requester_key AS site, 'tracking' AS kind, 'INFORM' AS severity, 'warn' AS tone, 'Advertising profile' AS summary FROM pevents WHERE event_type = 'tracking' AND (len(tracker_domains) > 0 OR fingerprinting)
-  UNION ALL SELECT DISTINCT requester_key, 'consent', 'INTERVENE', 'warn', 'Cookie choices are weighted against you' FROM pevents WHERE len(dark_patterns) > 0
+fi AS (SELECT DISTINCT requester_key AS site, 'tracking' AS kind, 'INFORM' AS severity, 'warn' AS tone, 'visits are followed across sites' AS summary FROM pevents WHERE event_type = 'tracking' AND (len(tracker_domains) > 0 OR fingerprinting)
+  UNION ALL SELECT DISTINCT requester_key, 'consent', 'INTERVENE', 'warn', 'the cookie choice is not even-handed' FROM pevents WHERE len(dark_patterns) > 0
   UNION ALL SELECT site, min(kind), 'INFORM', tone, summary FROM cl JOIN ({DIM}) d USING (clause) GROUP BY site, clause, tone, summary)
 """
 
@@ -117,8 +118,8 @@ KASOF = 1704067200000000 + 20 * 86_400_000_000
 
 @query(
     "k02_desktop_findings",
-    with_model("pevents", "decision_log", body=f"""SELECT e.event_id, requester_key, event_type AS kind, d.o AS severity FROM pevents e JOIN (SELECT event_id, max(outcome) AS o FROM decision_log WHERE outcome <> 'IGNORE' GROUP BY event_id) d USING (event_id)
-    WHERE event_type IN ('clipboard_read', 'screen_capture') AND us BETWEEN {KASOF} - 432000 * CAST(1000000 AS BIGINT) AND {KASOF}"""),
+    with_model("pevents", "decision_log", body=f"""SELECT e.event_id, requester_key, event_type AS kind, d.o AS severity FROM pevents e JOIN (SELECT event_id, arg_max(outcome, seq) AS o FROM decision_log GROUP BY event_id) d USING (event_id)
+    WHERE o <> 'IGNORE' AND event_type IN ('clipboard_read', 'screen_capture') AND us BETWEEN {KASOF} - 432000 * CAST(1000000 AS BIGINT) AND {KASOF}"""),
 )
 def k02(spark, sf):
     return R.desktop_findings(model(spark, sf, "pevents"), model(spark, sf, "decision_log"), KASOF, 432_000)

@@ -139,7 +139,7 @@ def d06(spark, sf):
     return out.select("event_id", "purpose", F.round("purpose_confidence", 6).alias("purpose_confidence"))
 
 
-FACING = _in([W.SYSTEM_BUNDLE_PREFIX + n for n in W.USER_FACING_BUNDLES.split()])
+FACING = _in([W.SYSTEM_BUNDLE_PREFIX + n for n in W.USER_FACING_BUNDLES])
 
 
 @query(
@@ -159,14 +159,13 @@ def d07(spark, sf):
 # ---- tracking -----------------------------------------------------------------------------
 @query(
     "t01_snapshots",
-    _sql("""SELECT u.site, u.n_urls, h.hosts FROM (SELECT site, least(count(DISTINCT url), 200) AS n_urls FROM requests GROUP BY site) u JOIN
-    (SELECT site, array_to_string(list_sort(list(host)), ',') AS hosts FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY f DESC) rn FROM
-      (SELECT site, host, min(event_id) AS f FROM requests GROUP BY site, host) a) b WHERE rn <= 2000 GROUP BY site) h USING (site)"""),
+    _sql("""SELECT site, 'host' AS kind, host AS value, min(event_id) AS first_id FROM requests GROUP BY site, host
+    UNION ALL SELECT site, 'url', url, min(event_id) FROM requests GROUP BY site, url"""),
 )
 def t01(spark, sf):
     r = _req(spark, sf)
-    urls = T.snapshot_urls(r).groupBy("site").agg(F.count("*").alias("n_urls"))
-    return urls.join(T.snapshot_hosts(r), "site").select("site", "n_urls", F.array_join("hosts", ",").alias("hosts"))
+    hosts = T.snapshot_hosts(r).select("site", F.lit("host").alias("kind"), F.col("host").alias("value"), "first_id")
+    return hosts.unionByName(T.snapshot_urls(r).select("site", F.lit("url").alias("kind"), F.col("url").alias("value"), "first_id"))
 
 
 @query("t02_known_trackers", _sql("SELECT site, host, owner FROM known"))

@@ -365,10 +365,10 @@ def banners(t: SparkText) -> str:
     texts = [
         "We use necessary and analytics cookies. 120 partners.",
         "Cookie consent for personalised advertising, shared with 87 vendors.",
-        "No thanks, I prefer bad recommendations. Cookies help.",
+        "No thanks, show me the wrong things. Cookies help.",
         "Privacy preferences: measurement and profiling",
         "Welcome to our site",
-        "Essential cookies only; I don't care about relevance",
+        "Essential cookies only; I don't want a good offer",
         "Reject and you may lose features. We set a cookie for statistics.",
         "Marketing cookie notice across cross-site networks",
     ]
@@ -413,8 +413,8 @@ def banner_tcf(t: SparkText) -> str:
 def form_fields(t: SparkText) -> str:
     labels = [
         "Email address", "Full name", "Phone number", "Home address", "Date of birth", "Password", "Passport number",
-        "Credit card number", "IBAN", "Age", "Gender", "Job title", "What was the name of your first pet?",
-        "Search", "Verification code", "Username", "Mobile Number or Email", "Religion", "Diagnosis", "Comments",
+        "Credit card number", "IBAN", "Age", "Gender", "Job title", "Which animal did you keep as a child?",
+        "Search", "Verification code", "Username", "Telephone or E-mail", "Religion", "Diagnosis", "Comments",
         "Bank account number", "Social Security Number", "Anschrift", "Average score",
     ]
     tokens = ["", "", "", "email", "tel", "billing street-address", "cc-number", "new-password", "current-password", "one-time-code", "shipping postal-code", "bday", "off name"]

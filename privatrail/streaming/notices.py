@@ -61,7 +61,8 @@ def sessions(beats: DataFrame, gap: str = "5 seconds") -> DataFrame:
 
 def split_late(results: DataFrame, limit_us: int) -> tuple[DataFrame, DataFrame]:
     """Results in time, and late ones to be kept as aborted; nothing is lost silently."""
-    late = F.col("result_us") - F.col("us") > limit_us
+    # a result without a time is not known to be in time
+    late = F.coalesce(F.col("result_us") - F.col("us") > limit_us, F.lit(True))
     return results.where(~late), results.where(late).withColumn("status", F.lit("aborted"))
 
 

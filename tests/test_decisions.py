@@ -38,7 +38,7 @@ def fields(spark, forms):
 
 def test_form_cases(spark):
     forms = [
-        ("social", [("Mobile Number or Email", "text", "", True, False), ("Full Name", "text", "", True, False), ("Username", "text", "", True, False), ("Password", "password", "new-password", True, False)]),
+        ("social", [("Telephone or E-mail", "text", "", True, False), ("Full Name", "text", "", True, False), ("Username", "text", "", True, False), ("Password", "password", "new-password", True, False)]),
         ("image_tool", [("Passport number", "text", "", True, False)]),
         ("banking", [("Social Security Number", "text", "", True, False), ("Date of birth", "text", "bday", True, False), ("Home address", "text", "street-address", True, False)]),
         ("free_download", [("n", "text", "name", False, True), ("e", "email", "", False, True), ("p", "text", "tel", False, True), ("d", "text", "bday", False, True), ("a", "text", "street-address", False, True)]),
@@ -60,7 +60,7 @@ def test_form_cases(spark):
 def test_field_labels(spark):
     cases = [
         ("Date de naissance", "dob"), ("Reisepassnummer", "government_id.passport"), ("Email address", "email"),
-        ("Home address", "postal_address"), ("What was the name of your first pet?", None), ("Dirección postal", "postal_address"),
+        ("Home address", "postal_address"), ("Which animal did you keep as a child?", None), ("Dirección postal", "postal_address"),
     ]
     df = fields(spark, [("unknown", [(c, "text", "", False, False) for c, _ in cases])])
     got = {r.label: r.category for r in O.label_fields(df).collect()}
