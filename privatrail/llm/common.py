@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -29,9 +30,23 @@ def cut(df: DataFrame, sweep: bool = False) -> DataFrame:
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if sweep:
-        gc.collect()
-        spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+        del df
+        for _ in range(2):  # the second time for what the first has let go
+            gc.collect()
+            spark._jvm.System.gc()
+            time.sleep(0.5)
+    out = spark.read.parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `cut` wrote, once no result still to be computed reads it."""
+    for table in tables:
+        path = getattr(table, "scratch", None)
+        if path:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def add_columns(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privatrail.llm.common import cut
+from privatrail.llm.common import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        discard(edges, large)
         # done when every node points once, at a root
         edges = after
         inner = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from privatrail.llm.common import cut
+from privatrail.llm.common import cut, discard
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,7 +42,9 @@ def _merged(runs: list[DataFrame]) -> DataFrame:
     table = runs[0]
     for run in runs[1:]:
         table = table.unionByName(run)
-    return cut(table.groupBy(*KEY).agg(F.sum("__docs").alias("__docs"), F.max("__holder").alias("__holder")).sortWithinPartitions(*KEY))
+    merged = cut(table.groupBy(*KEY).agg(F.sum("__docs").alias("__docs"), F.max("__holder").alias("__holder")).sortWithinPartitions(*KEY))
+    discard(*runs)
+    return merged
 
 
 def build_runs(lines: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -68,6 +70,8 @@ def build_runs(lines: DataFrame, batches: int = BATCHES) -> DataFrame:
             fresh = fresh.withColumn("__new", F.lit(True)).select(*KEY, "__new")
             mine = again.join(fresh, KEY, "left").select(*KEY, "__docs", F.when(F.col("__new"), F.col("__holder")).alias("__holder"))
         levels[0].append(cut(mine.sortWithinPartitions(*KEY)))
+        if earlier:
+            discard(again)
         for depth in range(len(levels)):
             if len(levels[depth]) >= LEVEL_RUNS:
                 if depth + 1 == len(levels):

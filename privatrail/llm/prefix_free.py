@@ -286,9 +286,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     answers = cut(parsed.groupBy("group").applyInArrow(_compare(crowd), f"trigger long, {SPAN_TYPE}"), sweep=True)
     part = F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("part")
     asked = answers.where("kind > 0").select(part, "trigger", *SPAN_NAMES)
-    wanted = own.join(asked.select("doc").distinct(), "doc", "left_semi")
     fetched = (
-        wanted.select(part, "doc", "text").groupBy("part").cogroup(asked.groupBy("part"))
+        own.select(part, "doc", "text").groupBy("part").cogroup(asked.groupBy("part"))
         .applyInArrow(_fetch(length, groups), "group long, trigger long, doc long, start long, windows int, bytes binary")
     )
     late = cut(fetched.groupBy("group").applyInArrow(_order(length), SPAN_TYPE), sweep=True)

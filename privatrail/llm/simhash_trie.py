@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privatrail.llm.common import add_columns, cut
+from privatrail.llm.common import add_columns, cut, discard
 from privatrail.llm.components import components
 
 BITS = 64
