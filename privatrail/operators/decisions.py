@@ -89,10 +89,10 @@ def with_context(
     events: DataFrame, necessity: DataFrame, profiles: DataFrame, users: DataFrame, requesters: DataFrame,
     form_verdicts: DataFrame | None = None,
 ) -> DataFrame:
-    """Join what the rules need; no step multiplies rows. The matrix is broadcast (46 rows)."""
+    """Join what the rules need; no step multiplies rows. The matrix has a row per purpose; the planner sizes it."""
     p = consequence_factor(profiles).select("requester_key", "factor", "boost", "clauses", "policy_missing")
     out = (
-        events.join(F.broadcast(necessity_by_purpose(necessity)), "purpose", "left")
+        events.join(necessity_by_purpose(necessity), "purpose", "left")
         .join(p, "requester_key", "left")
         .join(users, "user_id", "left")
         .join(requesters, ["user_id", "requester_key"], "left")
@@ -150,13 +150,14 @@ def rate_limited(events: DataFrame, responses: DataFrame, hours: int = RATE_LIMI
     cat_key = F.array_join(F.sort_array("categories"), ",")
     signals = F.when(F.col("event_type") == "consent_banner", F.col("dark_patterns")).when(
         F.col("event_type") == "tracking", F.col("signals")
-    ).otherwise(F.expr(_NONE))
+    ).when(F.col("event_type") == "policy_document", F.coalesce("clauses", F.expr(_NONE))).otherwise(F.expr(_NONE))
+    # only tracking weighs its confidence; for all others it is no part of the kind
+    confidence = F.when(F.col("event_type") == "tracking", F.col("confidence")).otherwise(0.0)
     base = events.where("event_type <> 'form_observed'").select(
         "event_id", "user_id", "us", "event_type", "high_impact",
-        F.xxhash64("requester_key", "event_type", cat_key).alias("h"),
         F.concat_ws("\u001f", "requester_key", "event_type", cat_key).alias("like"),
-        F.sort_array(signals).alias("sig"), F.sort_array("red_flags").alias("flags"), F.col("confidence").alias("conf"),
-    ).drop("h")
+        F.sort_array(signals).alias("sig"), F.sort_array("red_flags").alias("flags"), confidence.alias("conf"),
+    )
     key = ["user_id", "like"]
     first_answer = responses.groupBy("event_id").agg(F.min("us").alias("answered_us"))
     observed = base.join(first_answer, "event_id")

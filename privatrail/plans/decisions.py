@@ -37,7 +37,7 @@ ag AS (SELECT event_id, max(crisk) AS r, max(sensitivity) AS s, bool_and(prefere
 base AS (SELECT e.*, len(e.categories) AS n_cats, coalesce(r, 0e0) AS scored_risk, coalesce(s, 0e0) AS severity_prior, coalesce(au, TRUE) AS all_usual, coalesce(ar, TRUE) AS all_ruled,
     coalesce(hi, FALSE) AS high_impact, coalesce(un, FALSE) AS any_unneeded, coalesce(rf, CAST([] AS VARCHAR[])) AS red_flags, coalesce(ux, 0e0) AS unexpectedness, coalesce(mn, 0) AS minimum,
     p.clauses, p.policy_missing, u.reject_optional_cookies, u.auto_reject, u.auto_block, o.action AS override, x.expected, c.user_id IS NOT NULL AS clip_allowed,
-    CASE e.event_type WHEN 'consent_banner' THEN e.dark_patterns WHEN 'tracking' THEN e.signals ELSE CAST([] AS VARCHAR[]) END AS sig
+    CASE e.event_type WHEN 'consent_banner' THEN e.dark_patterns WHEN 'tracking' THEN e.signals WHEN 'policy_document' THEN coalesce(p.clauses, CAST([] AS VARCHAR[])) ELSE CAST([] AS VARCHAR[]) END AS sig
   FROM pevents e LEFT JOIN ag USING (event_id) LEFT JOIN prof p ON p.requester_key = e.requester_key LEFT JOIN users u ON u.user_id = e.user_id
   LEFT JOIN pref_override o ON o.user_id = e.user_id AND o.requester_key = e.requester_key
   LEFT JOIN (SELECT user_id, requester_key, list(category) AS expected FROM pref_expected GROUP BY ALL) x ON x.user_id = e.user_id AND x.requester_key = e.requester_key
