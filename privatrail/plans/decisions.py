@@ -8,6 +8,7 @@ from privatrail.operators import decisions as D
 from privatrail.operators import learning as G
 from privatrail.plans.history import PROTECTED, RULES
 from privatrail.plans.registry import query
+from privatrail.sources.tables import materialised
 from privatrail.sources.model import model, with_model
 
 NEED = (
@@ -99,7 +100,8 @@ def judged(spark, sf):
 
 
 def decided(spark, sf):
-    j = judged(spark, sf)
+    # judged events are read four times: by the rules, and three times by the rate limit
+    j = materialised(judged(spark, sf))
     return D.with_urgency(D.decide_events(j, D.rate_limited(j, model(spark, sf, "responses"))))
 
 
@@ -176,7 +178,7 @@ def r14(spark, sf):
 
 @query("r15_rate_limit", with_model(*NEED, body=SCORED + LIMITED + "SELECT event_id FROM limited"))
 def r15(spark, sf):
-    return D.rate_limited(judged(spark, sf), model(spark, sf, "responses"))
+    return D.rate_limited(materialised(judged(spark, sf)), model(spark, sf, "responses"))
 
 
 _step("r16_partial_floor", "16", ["file_upload", "redacted_document"])
