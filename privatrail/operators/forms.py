@@ -116,6 +116,15 @@ def _evidence() -> dict[str, list[tuple[str, float]]]:
     }
 
 
+def structural_evidence(structure: DataFrame) -> DataFrame:
+    """(form_id, intent, score): what a form's shape alone says for each intent."""
+    rows = []
+    for intent in D.INTENTS:
+        parts = [f"CASE WHEN {test} THEN {value}e0 ELSE 0e0 END" for test, value in _evidence()[intent]] or ["0e0"]
+        rows.append(f"named_struct('intent', {quoted(intent)}, 'score', {' + '.join(parts)})")
+    return structure.selectExpr("form_id", f"inline(array({', '.join(rows)}))")
+
+
 def classify_forms(structure: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
     """Adds ``intent``, ``intent_confidence`` and ``runner_up`` by softmax over all evidence.
 
