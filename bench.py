@@ -20,6 +20,9 @@ HEADLINE = [
     "g01_rule_state",
     "r04_risk",
     "l03_best_clauses",
+    "l05_collected_categories",
+    "r15_rate_limit",
+    "r20_decisions",
     "f07_form_intent",
 ]
 
