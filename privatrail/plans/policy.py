@@ -39,6 +39,41 @@ def _sql(body: str) -> str:
     return with_model("policy_texts", body=CLAIMS + body)
 
 
+def _some_match(text: str, pattern: str, bad: str) -> str:
+    """Is there a match for which ``bad`` does not hold? In ``bad``, {at} is where it begins and {end} where it ends."""
+    rx = _q("(?i)" + pattern)
+    pieces, found = f"regexp_split_to_array({text}, {rx})", f"regexp_extract_all({text}, {rx})"
+    size = "coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0)"
+    at = f"({size.format(f'({pieces})[1:k]')} + CASE WHEN k > 1 THEN {size.format(f'({found})[1:k - 1]')} ELSE 0 END)"
+    end = f"({at} + length(({found})[k]))"
+    return f"len(list_filter(range(1, len({found}) + 1), lambda k: NOT ({bad.replace('{at}', at).replace('{end}', end)}))) > 0"
+
+
+_NEGATED = f"regexp_matches(left(sentence, CAST({{at}} AS INT)), {_q('(?i)' + K.NEGATION)})"
+_stated = lambda rules: " UNION ALL ".join(f"SELECT doc_id, '{n}' AS label FROM src WHERE {_some_match('sentence', p, _NEGATED)}" for n, p in rules.items())
+
+
+def _collects() -> str:
+    parts = []
+    for name, pattern in K.COLLECTS.items():
+        bad = _NEGATED.replace("{at}", "body_at + {at}")
+        if name in K.NOT_ABOUT_YOU:
+            around = "substr(sentence, CAST(greatest(body_at + {at} - 40, 0) + 1 AS INT), CAST(body_at + {end} + 40 - greatest(body_at + {at} - 40, 0) AS INT))"
+            bad += f" OR regexp_matches({around}, {_q('(?i)' + K.NOT_ABOUT_YOU[name])})"
+        parts.append(f"SELECT doc_id, '{name}' AS category FROM cb WHERE {_some_match('body', pattern, bad)}")
+    return f""",
+cv AS (SELECT *, regexp_matches(heading, {_q('(?i)' + K.COLLECTION_HEADING)}) AS headed, length(regexp_extract(sentence, {_q('(?is)^.*?(?:' + K.COLLECTION_VERB + ')')})) AS verb,
+    length(regexp_extract(sentence, {_q('(?is)^.*?(?:' + K.HANDLING_VERB + ')')})) AS handling FROM sent),
+ce AS (SELECT *, CASE WHEN verb > 0 THEN verb ELSE handling END AS after FROM cv),
+cl AS (SELECT *, length(regexp_extract(substr(sentence, CAST(after + 1 AS INT)), {_q('(?is)^.*' + K.ENUMERATION)})) AS listed FROM ce WHERE headed OR after > 0),
+cb AS (SELECT *, substr(sentence, CAST(body_at + 1 AS INT)) AS body FROM (SELECT *, CASE WHEN headed THEN 0 ELSE after + listed END AS body_at FROM cl WHERE headed OR verb > 0 OR listed > 0) x),
+col AS (SELECT DISTINCT doc_id, category FROM ({" UNION ALL ".join(parts)}) y)
+"""
+
+
+COLLECTED = _collects()
+
+
 def _docs(spark, sf):
     return spread(model(spark, sf, "policy_texts"))
 
@@ -83,12 +118,16 @@ def l04(spark, sf):
     return out.select("doc_id", "digest", "missing", F.array_join("clauses", ",").alias("clauses"), F.array_join("ordinary", ",").alias("ordinary"))
 
 
-@query("l05_collected_categories")
+@query("l05_collected_categories", _sql(COLLECTED + "SELECT doc_id, category FROM col"))
 def l05(spark, sf):
     return L.collected(_sents(spark, sf))
 
 
-@query("l06_purposes_and_recipients")
+@query(
+    "l06_purposes_and_recipients",
+    _sql(f"""SELECT DISTINCT doc_id, label, 'purpose' AS kind FROM (WITH src AS (SELECT * FROM sent) {_stated(K.PURPOSES)} UNION ALL SELECT doc_id, 'ai_training' FROM claims WHERE clause = 'training_on_user_content') x
+    UNION ALL SELECT DISTINCT doc_id, label, 'recipient' FROM (WITH src AS (SELECT * FROM sent WHERE regexp_matches(sentence, {_q('(?i)' + K.SHARING_SENTENCE)}) OR regexp_matches(heading, {_q('(?i)' + K.SHARING_HEADING)})) {_stated(K.RECIPIENTS)}) y"""),
+)
 def l06(spark, sf):
     s = _sents(spark, sf)
     used = L.used_purposes(s, L.clause_claims(s)).withColumn("kind", F.lit("purpose"))
@@ -119,7 +158,11 @@ def l08(spark, sf):
     return L.retention(_sents(spark, sf), _best(spark, sf))
 
 
-@query("l09_over_collection")
+@query(
+    "l09_over_collection",
+    with_model("policy_texts", "dim_necessity", body=CLAIMS + COLLECTED + """SELECT site_purpose, category, doc_id FROM col JOIN (SELECT doc_id, site_purpose FROM policy_texts) p USING (doc_id)
+    WHERE EXISTS (SELECT 1 FROM dim_necessity n WHERE n.purpose = site_purpose AND n.category = col.category AND n.verdict IN ('unnecessary', 'red_flag'))"""),
+)
 def l09(spark, sf):
     return L.over_collected(L.collected(_sents(spark, sf)), _docs(spark, sf), D.default_necessity(spark))
 
