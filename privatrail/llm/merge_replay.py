@@ -261,24 +261,45 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
     return Encoder(data, pattern)
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, keep: list[str], text: str = "text", ids: str = "ids") -> DataFrame:
-    """The columns `keep` and `ids`: the packed ids of the whole text (empty for null or empty texts)."""
+class Decoder:
+    """Bytes of packed ids."""
+
+    def __init__(self, data: bytes):
+        found = _ranks(data)
+        self.bytes_of = [b""] * (max(found.values()) + 1)
+        for token, rank in found.items():
+            self.bytes_of[rank] = token
+
+    def decode(self, packed: bytes | None) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))
+
+
+def encode(
+    df: DataFrame, ranks: bytes, pattern: str, keep: list[str], text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """The columns `keep` and `ids`: the packed ids of the whole text (empty for null or empty texts). With `decoded`
+    also the bytes that these ids stand for, decoded by the same worker."""
 
     def work():
         coder = _encoder(ranks, pattern)
-        return lambda texts: [coder.encode(texts)]
+        if decoded is None:
+            return lambda texts: [coder.encode(texts)]
+        back = Decoder(ranks)
+
+        def both(texts: list) -> list[list[bytes]]:
+            packed = coder.encode(texts)
+            return [packed, [back.decode(p) for p in packed]]
 
-    return add_columns(df, text, {ids: "binary"}, work, keep)
+        return both
+
+    return add_columns(df, text, {ids: "binary"} | ({decoded: "binary"} if decoded else {}), work, keep, rows=1024)
 
 
 def decode(df: DataFrame, ranks: bytes, keep: list[str], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The columns `keep` and `out`: the bytes that the packed ids stand for (null ids: empty)."""
 
     def work():
-        found = _ranks(ranks)
-        bytes_of = [b""] * (max(found.values()) + 1)
-        for token, rank in found.items():
-            bytes_of[rank] = token
-        return lambda packed: [[b"".join(map(bytes_of.__getitem__, np.frombuffer(p or b"", "<u4").tolist())) for p in packed]]
+        back = Decoder(ranks)
+        return lambda packed: [[back.decode(p) for p in packed]]
 
     return add_columns(df, ids, {out: "binary"}, work, keep)

@@ -27,15 +27,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op4_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text by the multilingual ranks, and what they decode to."""
     ranks = merge_replay.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = merge_replay.encode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"])
-    coded = coded.select(
+    coded = merge_replay.encode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"], decoded="decoded")
+    return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        "ids",
-    )
-    return merge_replay.decode(coded, ranks, ["doc_id", "n_tokens", "ids_sha256"]).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

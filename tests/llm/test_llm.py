@@ -182,7 +182,8 @@ def test_merge_replay_equals_the_public_library(spark, sf):
     coder = merge_replay.Encoder(data, public_tokenizers.PATTERN)
     for (_, t), ids in zip(rows, coder.encode([t for _, t in rows]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t or "")
-    coded = merge_replay.encode(frame(spark, rows[:70]), data, public_tokenizers.PATTERN, ["doc_id", "text"])
+    coded = merge_replay.encode(frame(spark, rows[:70]), data, public_tokenizers.PATTERN, ["doc_id", "text"], decoded="bytes")
+    assert all(bytes(r.bytes).decode() == (r.text or "") for r in coded.collect())
     for r in merge_replay.decode(coded, data, ["text", "ids"]).collect():
         assert bytes(r.decoded).decode() == (r.text or "")
     assert merge_replay.encode(empty(spark), data, public_tokenizers.PATTERN, ["doc_id"]).count() == 0
