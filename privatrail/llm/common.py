@@ -55,7 +55,7 @@ def add_columns(
     fields: dict[str, str],
     work: Callable[[], Callable[[list], Sequence[list]]],
     keep: Sequence[str],
-    rows: int = 2048,
+    rows: int = 1024,
 ) -> DataFrame:
     """Map-only: `work()` makes, once a task, a function from the values of column `source` to one list for each of
     `fields` (name -> SQL type). The columns `keep` pass through; a field of the same name takes their place."""

@@ -11,7 +11,7 @@ the phrases of each document in order. As no window leaves its phrase, corpus or
    of equal windows all but the one of earliest occurrence repeat.
 3. The covered bytes of each document go.
 
-Copies inside a task are settled there, so a passage of a third of all documents sends one row a task. Triggers shared by
+Copies inside a batch are settled there, so a passage of a third of all documents sends one row a batch. Triggers shared by
 more than CROWD dictionary entries send single windows, which meet by their own hash instead of by trigger.
 
 Defined cases: a null text is empty; texts shorter than `length` lose nothing; a null id is before all others; rows that
@@ -34,6 +34,8 @@ from privatrail.llm.common import add_columns, cut
 GRAM = 32
 #: Bytes parsed at a time, which bounds memory for very long texts.
 BLOCK = 1 << 20
+#: Documents parsed together, whose copies are settled on the spot.
+BATCH_DOCS = 2048
 CROWD = 4096
 NO_ID = -(1 << 63)
 #: Documents whose phrases make a group of the second step, and documents of a group in the last, about.
@@ -113,11 +115,16 @@ def _firsts(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple
     return order, new, late
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, BATCH_DOCS):
+        yield batch.slice(a, BATCH_DOCS)
+
+
 def _parse(length: int, groups: int) -> Callable:
     """Phrases of a batch of documents. kind 0: a repeat, settled; 1: to be compared with other tasks' phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             trigger, start, windows, digests, doc = [], [], [], [], []
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = (value.as_py() or "").encode()
