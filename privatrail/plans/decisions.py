@@ -8,8 +8,9 @@ from privatrail.operators import decisions as D
 from privatrail.operators import learning as G
 from privatrail.plans.history import PROTECTED, RULES
 from privatrail.plans.registry import query
-from privatrail.sources.tables import materialised
 from privatrail.sources.model import model, with_model
+from privatrail.sources.tables import materialised
+from privatrail.streaming import decisions as DS
 
 NEED = (
     "pevents", "responses", "profiles", "users", "pref_category", "pref_override", "pref_expected", "clip_allowlist",
@@ -210,6 +211,20 @@ def r19(spark, sf):
     return decided(spark, sf).select("event_id", "outcome", "urgency")
 
 
+@query(
+    "w01_decision_stream",
+    with_model(*NEED, body=DECIDED.replace("LEFT JOIN limited l USING (event_id)", "LEFT JOIN (SELECT event_id FROM limited WHERE FALSE) l USING (event_id)")
+    + "SELECT event_id, round(risk_16, 6) AS risk, outcome, default_action, auto_action, urgency FROM dec"),
+)
+def w01(spark, sf):
+    """Decisions without the rate limit: what the stream of ``decide`` gives (a test compares the two)."""
+    rules = G.active_rules(G.rule_state(model(spark, sf, "responses")))
+    users = D.user_context(model(spark, sf, "users"), model(spark, sf, "pref_category"), rules)
+    requesters = D.requester_context(model(spark, sf, "pref_expected"), model(spark, sf, "pref_override"), model(spark, sf, "clip_allowlist"))
+    out = DS.decide(model(spark, sf, "pevents"), D.default_necessity(spark), model(spark, sf, "profiles"), users, requesters)
+    return out.select("event_id", F.round("risk", 6).alias("risk"), "outcome", "default_action", "auto_action", "urgency")
+
+
 @query("r20_decisions", _decided("SELECT event_id, event_type, round(risk_16, 6) AS risk, outcome, array_to_string(actions, ',') AS actions, default_action, auto_action, urgency FROM dec"))
 def r20(spark, sf):
     return decided(spark, sf).select(

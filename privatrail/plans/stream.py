@@ -42,6 +42,35 @@ def w03(spark, sf):
     return N.coalesced(N.with_event_time(ev))
 
 
+def _noticed(spark, sf):
+    return _signed(spark, sf).withColumn("level", ((F.col("k") + 1) % 3).cast("int")).withColumn("answered", F.col("event_id") % 3 != 0)
+
+
+@query(
+    "w03_event_notices",
+    with_model("pevents", body=SIG + f""", src AS (SELECT *, (k + 1) % 3 AS level, event_id % 3 <> 0 AS answered, CASE WHEN event_id % 3 <> 0 THEN 600000000 ELSE 3600000000 END AS gap FROM sg WHERE signature IS NOT NULL),
+    isl AS ({_islands("session_id, signature", "gap")})
+    SELECT a.event_id, min_by(b.event_id, (b.us, b.event_id)) AS notice_id, CAST(max(b.level) AS INT) AS level, bool_or(b.answered AND b.event_id <> a.event_id) AS ignored
+    FROM isl a JOIN isl b ON a.session_id = b.session_id AND a.signature = b.signature AND a.island = b.island AND (b.us, b.event_id) <= (a.us, a.event_id) GROUP BY a.event_id
+    UNION ALL SELECT event_id, event_id, CAST((k + 1) % 3 AS INT), FALSE FROM sg WHERE signature IS NULL"""),
+)
+def w03_events(spark, sf):
+    return N.fold_events(_noticed(spark, sf))
+
+
+WASOF = 1704067200000000 + 20 * 86_400_000_000
+
+
+@query(
+    "w04_notice_expiry",
+    with_model("pevents", body=SIG + f""", src AS (SELECT *, event_id % 3 <> 0 AS answered, CASE WHEN event_id % 3 <> 0 THEN 600000000 ELSE 3600000000 END AS gap FROM sg WHERE signature IS NOT NULL),
+    isl AS ({_islands("session_id, signature", "gap")}), nt AS (SELECT min_by(event_id, (us, event_id)) AS notice_id, min(us) AS f, max(us) + CASE WHEN bool_or(answered) THEN 600000000 ELSE 3600000000 END AS closes_us FROM isl GROUP BY session_id, signature, island)
+    SELECT notice_id, closes_us, f <= {WASOF} AND closes_us > {WASOF} AS is_open FROM nt"""),
+)
+def w04(spark, sf):
+    return N.expiry(N.coalesced(N.with_event_time(_noticed(spark, sf))), WASOF)
+
+
 @query(
     "w05_timed_out_defaults",
     with_model("pevents", "responses", body="""SELECT e.event_id, CASE event_type """ + " ".join(f"WHEN '{c}' THEN '{d}'" for c, (_, d) in ACTIONS.items()) + """ END AS default_action, e.us + 60000000 AS taken_us
@@ -62,6 +91,19 @@ def w07(spark, sf):
     return N.sessions(N.with_event_time(model(spark, sf, "pevents")), "30 minutes")
 
 
+@query(
+    "w07_session_end",
+    with_model("pevents", "responses", body=f"""WITH src AS (SELECT * FROM pevents), isl AS ({_islands("session_id", "1800000000")}), en AS (SELECT session_id, island, max(us) + 1800000000 AS over_us FROM isl GROUP BY ALL)
+    SELECT i.event_id, 'aborted' AS status, CASE event_type """ + " ".join(f"WHEN '{c}' THEN '{d}'" for c, (_, d) in ACTIONS.items()) + """ END AS default_action, over_us AS taken_us
+    FROM isl i JOIN en USING (session_id, island) LEFT JOIN (SELECT event_id, min(us) AS a FROM responses GROUP BY event_id) r USING (event_id) WHERE k % 3 = 1 AND (a IS NULL OR a > over_us)"""),
+)
+def w07_end(spark, sf):
+    default = F.create_map(*[F.lit(x) for c, (_, d) in ACTIONS.items() for x in (c, d)])
+    ev = model(spark, sf, "pevents")
+    held = ev.where("k % 3 = 1").withColumn("default_action", F.try_element_at(default, F.col("event_type")))
+    return N.ended(held, N.sessions(N.with_event_time(ev), "30 minutes"), model(spark, sf, "responses"), 1_800_000_000)
+
+
 @query(
     "w08_late_results",
     with_model("responses", body="SELECT event_id, seq, CASE WHEN event_id % 600 > 300 OR event_id % 7 = 3 THEN 'aborted' ELSE 'complete' END AS status FROM responses"),

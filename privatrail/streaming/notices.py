@@ -5,8 +5,12 @@ The functions run on finished logs too, so a batch run states what a stream must
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from privatrail.dims.decisions import DEFAULT_AFTER_SECONDS, RESOLVED_SECONDS, UNANSWERED_SECONDS
 
@@ -43,6 +47,69 @@ def coalesced(events: DataFrame, watermark: str | None = None) -> DataFrame:
     ).drop("w")
 
 
+def fold_events(events: DataFrame) -> DataFrame:
+    """What each event gets: the notice it belongs to, the notice's level so far, and whether it is ignored because the
+    notice was answered before. events: session_id, signature, us, event_id, level, answered. Batch twin of
+    ``fold_events_stream``; unsigned events are notices of their own."""
+    gap = F.when(F.col("answered"), RESOLVED_SECONDS).otherwise(UNANSWERED_SECONDS).cast("long") * 1_000_000
+    own = Window.partitionBy("session_id", "signature").orderBy("us", "event_id")
+    open_ = events.where("signature IS NOT NULL").withColumn("until", F.col("us") + gap)
+    earlier = F.coalesce(F.max("until").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    islands = open_.withColumn("fresh", (F.col("us") >= earlier).cast("int")).withColumn("island", F.sum("fresh").over(own))
+    notice = Window.partitionBy("session_id", "signature", "island").orderBy("us", "event_id")
+    before = notice.rowsBetween(Window.unboundedPreceding, -1)
+    folded = islands.select(
+        "event_id",
+        F.first("event_id").over(notice).alias("notice_id"),
+        F.max("level").over(notice).alias("level"),
+        F.coalesce(F.max(F.col("answered").cast("int")).over(before) == 1, F.lit(False)).alias("ignored"),
+    )
+    alone = events.where("signature IS NULL").select("event_id", F.col("event_id").alias("notice_id"), "level", F.lit(False).alias("ignored"))
+    return folded.unionByName(alone)
+
+
+def fold_events_stream(events: DataFrame) -> DataFrame:
+    """``fold_events`` on a stream: the state of a (session, signature) is its open notice. Micro-batches are taken in
+    order of time."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        notice, level, until, answered = state.get if state.exists else (None, 0, 0, False)
+        out = []
+        for r in pd.concat(list(frames)).sort_values(["us", "event_id"]).itertuples():
+            if notice is None or r.us >= until:
+                notice, level, until, answered = int(r.event_id), 0, 0, False
+            level = max(level, int(r.level))
+            out.append((int(r.event_id), notice, level, answered))
+            answered = answered or bool(r.answered)
+            until = max(until, int(r.us) + (RESOLVED_SECONDS if r.answered else UNANSWERED_SECONDS) * 1_000_000)
+        state.update((notice, level, until, answered))
+        yield pd.DataFrame(out, columns=["event_id", "notice_id", "level", "ignored"])
+
+    signed = events.where("signature IS NOT NULL").select("session_id", "signature", "us", "event_id", "level", "answered")
+    return signed.groupBy("session_id", "signature").applyInPandasWithState(
+        step, "event_id long, notice_id long, level int, ignored boolean", "notice long, level int, until long, answered boolean", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def expiry(notices: DataFrame, asof_us: int) -> DataFrame:
+    """When each notice closes, and whether it is open at a time: an hour after its last event, ten minutes once
+    answered."""
+    seconds = F.when(F.col("answered"), RESOLVED_SECONDS).otherwise(UNANSWERED_SECONDS).cast("long")
+    closes = F.col("last_us") + seconds * 1_000_000
+    return notices.select("notice_id", closes.alias("closes_us"), ((F.col("first_us") <= asof_us) & (closes > asof_us)).alias("is_open"))
+
+
+def ended(pending: DataFrame, live: DataFrame, responses: DataFrame, gap_us: int) -> DataFrame:
+    """Pending events whose session fell silent before anyone answered: they are aborted, and take their default when
+    the session is known to be over. pending: event_id, session_id, us, default_action; live: what ``sessions`` gives."""
+    first = responses.groupBy("event_id").agg(F.min("us").alias("answered_us"))
+    spans = live.select("session_id", "opened_us", "last_us", (F.col("last_us") + gap_us).alias("over_us"))
+    inside = F.col("us").between(F.col("opened_us"), F.col("last_us"))
+    met = pending.join(spans, "session_id").where(inside).join(first, "event_id", "left")
+    late = F.col("answered_us").isNull() | (F.col("answered_us") > F.col("over_us"))
+    return met.where(late).select("event_id", F.lit("aborted").alias("status"), "default_action", F.col("over_us").alias("taken_us"))
+
+
 def timed_out(pending: DataFrame, responses: DataFrame, seconds: int = DEFAULT_AFTER_SECONDS) -> DataFrame:
     """Held events nobody answered in time take their default action."""
     first = responses.groupBy("event_id").agg(F.min("us").alias("answered_us"))
@@ -52,8 +119,11 @@ def timed_out(pending: DataFrame, responses: DataFrame, seconds: int = DEFAULT_A
     )
 
 
-def sessions(beats: DataFrame, gap: str = "5 seconds") -> DataFrame:
-    """Live stretches of each session; a longer silence closes it. Works on streams and logs."""
+def sessions(beats: DataFrame, gap: str = "5 seconds", watermark: str | None = None) -> DataFrame:
+    """Live stretches of each session; a longer silence closes it. With a watermark this runs on a stream and emits a
+    stretch when it is over."""
+    if watermark:
+        beats = beats.withWatermark("ts", watermark)
     return beats.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(
         F.count("*").alias("beats"), F.min("us").alias("opened_us"), F.max("us").alias("last_us")
     ).drop("w")

@@ -108,3 +108,75 @@ def test_text_files_and_log(spark, tmp_path):
     log = spark.createDataFrame([(1, 0), (2, 86_400_000_000)], "event_id long, us long")
     S.append_log(log, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).select("day").distinct().count() == 2
+
+
+def _streamed(spark, tmp_path, parts, build, key):
+    """Rows of a streaming query over Parquet parts that arrive one after the other."""
+    base = tmp_path / ("t" + uuid.uuid4().hex[:8])
+    rows = []
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(base / "in"))
+        stream = spark.readStream.schema(part.schema).parquet(str(base / "in"))
+        q = (
+            build(stream).writeStream.format("parquet").option("checkpointLocation", str(base / "cp")).outputMode("append")
+            .trigger(availableNow=True).start(str(base / "out"))
+        )
+        q.awaitTermination()
+    rows = spark.read.parquet(str(base / "out")).collect()
+    return {r[key]: tuple(r) for r in rows}
+
+
+def test_event_notices_stream_equals_batch(spark, tmp_path):
+    second = 1_000_000
+    rows = [(1, 10 + 100 * i, i, ("a", "b", None)[i % 3], (i * 7) % 3, i % 4 == 1) for i in range(40)] + [(2, 5000 * i, 100 + i, "a", i % 3, i == 2) for i in range(6)]
+    df = spark.createDataFrame([(s, us * second, e, g, lv, a) for s, us, e, g, lv, a in rows], "session_id long, us long, event_id long, signature string, level int, answered boolean")
+    want = {r.event_id: (r.event_id, r.notice_id, r.level, r.ignored) for r in N.fold_events(df).collect() if r.event_id}
+    got = _streamed(spark, tmp_path, [df.where("us < 1500000000"), df.where("us >= 1500000000")], N.fold_events_stream, "event_id")
+    signed = {r.event_id for r in df.where("signature IS NOT NULL").collect()}
+    assert got == {k: v for k, v in want.items() if k in signed} | ({} if 0 not in signed else {0: got[0]})
+    assert any(v[3] for v in got.values()) and not all(v[3] for v in got.values())
+
+
+def test_rate_limit_stream_equals_batch(spark, sf, tmp_path):
+    from privatrail.operators import decisions as D
+    from privatrail.plans.decisions import judged
+    from privatrail.sources.model import model
+    from privatrail.streaming import decisions as DS
+
+    j = judged(spark, sf).select("event_id", "user_id", "us", "event_type", "requester_key", "categories", "dark_patterns", "signals", "clauses", "confidence", "red_flags", "high_impact").persist()
+    answers = model(spark, sf, "responses").select("event_id", "user_id", "us", "seq", "action")
+    want = {r.event_id for r in D.rate_limited(j, answers).collect()}
+    log = DS.observations(j, answers)
+    middle = log.agg({"us": "avg"}).first()[0]
+    got = _streamed(spark, tmp_path, [log.where(f"us < {middle}"), log.where(f"us >= {middle}")], DS.rate_limited_stream, "event_id")
+    assert {k for k, v in got.items() if v[1]} == want and want
+    j.unpersist()
+
+
+def test_decision_stream_equals_batch(spark, sf, tmp_path):
+    from privatrail.operators import decisions as D
+    from privatrail.operators import learning as G
+    from privatrail.plans import QUERIES
+    from privatrail.sources.model import model
+    from privatrail.streaming import decisions as DS
+
+    rules = G.active_rules(G.rule_state(model(spark, sf, "responses")))
+    users = D.user_context(model(spark, sf, "users"), model(spark, sf, "pref_category"), rules)
+    requesters = D.requester_context(model(spark, sf, "pref_expected"), model(spark, sf, "pref_override"), model(spark, sf, "clip_allowlist"))
+    profiles, necessity = model(spark, sf, "profiles"), D.default_necessity(spark)
+    events = model(spark, sf, "pevents")
+    want = {r.event_id: tuple(r) for r in QUERIES["w01_decision_stream"](spark, sf).collect()}
+
+    def build(stream):
+        out = DS.decide(stream, necessity, profiles, users, requesters)
+        return out.selectExpr("event_id", "round(risk, 6) AS risk", "outcome", "default_action", "auto_action", "urgency")
+
+    assert _streamed(spark, tmp_path, [events], build, "event_id") == want
+
+
+def test_session_end_takes_defaults(spark):
+    pending = spark.createDataFrame([(1, 7, 100, "cancel"), (2, 7, 200, "block"), (3, 8, 50, "cancel")], "event_id long, session_id long, us long, default_action string")
+    live = spark.createDataFrame([(7, 90, 300), (8, 40, 60)], "session_id long, opened_us long, last_us long")
+    answers = spark.createDataFrame([(1, 150), (3, 999)], "event_id long, us long")
+    got = {tuple(r) for r in N.ended(pending, live, answers, 100).collect()}
+    assert got == {(2, "aborted", "block", 400), (3, "aborted", "cancel", 160)}
