@@ -238,6 +238,14 @@ def remedies(judged: DataFrame) -> DataFrame:
     return hit.selectExpr("form_id", "field_id", "NOT required AND NOT asserted_required AS can_clear", f"input_type NOT IN {_in(D.UNREDACTABLE)} AS can_redact")
 
 
+def form_context(judged: DataFrame) -> DataFrame:
+    """(form_id, form_verdicts, can_clear, can_redact): what a form's judgement says to the decision on its event. The
+    map has one entry per category of the form."""
+    worst = worst_verdicts(judged).groupBy("form_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "verdict")))).alias("form_verdicts"))
+    means = remedies(judged).groupBy("form_id").agg(F.bool_or("can_clear").alias("can_clear"), F.bool_or("can_redact").alias("can_redact"))
+    return worst.join(means, "form_id", "left")
+
+
 def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
     """Mean vector per label, scaled to length one: (label, centroid)."""
     long = vectors.select(label, F.posexplode("embedding").alias("dim", "x"))

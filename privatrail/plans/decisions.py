@@ -4,8 +4,11 @@ from pyspark.sql import functions as F
 
 from privatrail.dims.categories import CONSEQUENCES, VERDICT_WEIGHTS
 from privatrail.dims.decisions import ACTIONS
+from privatrail.dims.forms import UNREDACTABLE
 from privatrail.operators import decisions as D
+from privatrail.operators import forms as O
 from privatrail.operators import learning as G
+from privatrail.plans.forms import JUDGED, LABELLED
 from privatrail.plans.history import PROTECTED, RULES
 from privatrail.plans.registry import query
 from privatrail.sources.model import model, with_model
@@ -92,11 +95,11 @@ dec AS (SELECT *, CASE WHEN outcome = 'INTERVENE' THEN CASE WHEN risk_16 >= 0.75
 """
 
 
-def judged(spark, sf):
+def judged(spark, sf, forms=None):
     rules = G.active_rules(G.rule_state(model(spark, sf, "responses")))
     users = D.user_context(model(spark, sf, "users"), model(spark, sf, "pref_category"), rules)
     requesters = D.requester_context(model(spark, sf, "pref_expected"), model(spark, sf, "pref_override"), model(spark, sf, "clip_allowlist"))
-    ctx = D.with_context(model(spark, sf, "pevents"), D.default_necessity(spark), model(spark, sf, "profiles"), users, requesters)
+    ctx = D.with_context(model(spark, sf, "pevents"), D.default_necessity(spark), model(spark, sf, "profiles"), users, requesters, forms)
     return D.judge_categories(ctx)
 
 
@@ -232,6 +235,45 @@ def r20(spark, sf):
     )
 
 
+_matrix = "CASE WHEN n.verdict IS NULL OR e.purpose_confidence < 0.35e0 THEN 'reasonable' ELSE n.verdict END AS verdict"
+_rank = "['required', 'reasonable', 'unnecessary', 'red_flag']"
+FORM_DECIDED = (
+    LABELLED + JUDGED
+    + f""",
+fw AS (SELECT form_id, category, ({_rank})[max(list_position({_rank}, verdict))] AS verdict FROM jd WHERE category IS NOT NULL GROUP BY form_id, category),
+fr AS (SELECT form_id, bool_or(NOT required AND NOT asserted_required) AS can_clear, bool_or(input_type NOT IN ({", ".join(f"'{x}'" for x in UNREDACTABLE)})) AS can_redact
+    FROM jd j WHERE filled AND EXISTS (SELECT 1 FROM jd k WHERE k.form_id = j.form_id AND k.category = j.category AND k.flag) GROUP BY form_id),
+"""
+    + DECIDED.strip()[5:].replace(_matrix, "coalesce(fw.verdict, " + _matrix.replace(" AS verdict", ") AS verdict")).replace(
+        "LEFT JOIN prof p ON p.requester_key = e.requester_key\n  LEFT JOIN pref_category p1",
+        "LEFT JOIN prof p ON p.requester_key = e.requester_key LEFT JOIN fw ON fw.form_id = e.event_id AND fw.category = e.c\n  LEFT JOIN pref_category p1",
+    )
+)
+
+
+@query(
+    "r22_form_decisions",
+    with_model(*NEED, "form_fields", body=FORM_DECIDED + """SELECT event_id, event_type, round(risk_16, 6) AS risk, outcome, array_to_string(CASE event_type
+      WHEN 'form_submit' THEN list_filter(['cancel', 'continue', 'clear_fields', 'review_fields'], lambda a: a <> 'clear_fields' OR coalesce(can_clear, FALSE))
+      ELSE list_filter(['redact_fields', 'review_fields', 'continue'], lambda a: a <> 'redact_fields' OR coalesce(can_redact, FALSE)) END, ',') AS actions, urgency
+    FROM dec LEFT JOIN fr ON fr.form_id = dec.event_id WHERE event_type IN ('form_submit', 'form_observed')"""),
+)
+def r22(spark, sf):
+    """Decisions on forms, with the form's own judgement of each category and what can be done about its fields."""
+    forms = O.form_context(O.assess_forms(model(spark, sf, "form_fields"))).withColumnRenamed("form_id", "event_id")
+    j = materialised(judged(spark, sf, forms))
+    out = D.with_urgency(D.decide_events(j, D.rate_limited(j, model(spark, sf, "responses")))).where("event_type IN ('form_submit', 'form_observed')")
+    return out.select("event_id", "event_type", F.round("risk", 6).alias("risk"), "outcome", F.array_join("actions", ",").alias("actions"), "urgency")
+
+
+@query("w06_limited_events", with_model(*NEED, body=SCORED + LIMITED + "SELECT event_id, l.event_id IS NOT NULL AS is_limited FROM base LEFT JOIN limited l USING (event_id) WHERE event_type <> 'form_observed'"))
+def w06(spark, sf):
+    """What the stateful stream says of every event it sees: the batch twin of ``rate_limited_stream``."""
+    j = materialised(judged(spark, sf))
+    limited = D.rate_limited(j, model(spark, sf, "responses")).withColumn("hit", F.lit(True))
+    return j.where("event_type <> 'form_observed'").select("event_id").join(limited, "event_id", "left").select("event_id", F.coalesce("hit", F.lit(False)).alias("is_limited"))
+
+
 SCENARIO_PURPOSES = ["image_tool", "government", "recipe", "banking", "saas_b2b", "social", "wallpaper_utility", "backup"]
 SCENARIO_CATEGORIES = [
     "government_id.passport", "medical.diagnosis", "financial.card_number", "credentials.password", "biometric_photo",
