@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from privatrail.dims import dimension
+from privatrail.dims.categories import CATEGORIES
 from privatrail.dims.decisions import SECTIONS
 from privatrail.dims.policy import CLAUSES
 
 _COLUMNS = ["site", "kind", "severity", "tone", "summary"]
 
 
-def site_findings(tracking: DataFrame, consent: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Findings of every analysis, each clause said once per site.
+def site_findings(
+    tracking: DataFrame, consent: DataFrame, clauses: DataFrame, profiles: DataFrame | None = None, excess: DataFrame | None = None,
+    uploads: DataFrame | None = None, forms: DataFrame | None = None,
+) -> DataFrame:
+    """Findings of every analysis, each said once per site.
 
-    ``tracking`` (site, tracker_domains, fingerprinting), ``consent`` (site, dark_patterns) and
-    ``clauses`` (site, kind, clause); each is reduced to one row per site and finding.
+    ``tracking`` (site, tracker_domains, fingerprinting), ``consent`` (site, dark_patterns), ``clauses`` (site, kind,
+    clause), ``profiles`` (site, policy_missing, retention), ``excess`` (site, category) of data collected without a use,
+    ``uploads`` (site, category) of files sent, ``forms`` (site, flag) of judged fields; each is reduced to one row per
+    site and finding before they meet.
     """
     def row(kind: str, severity: str, tone: str, summary: str):
         return [F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.lit(tone).alias("tone"), F.lit(summary).alias("summary")]
@@ -26,11 +32,30 @@ def site_findings(tracking: DataFrame, consent: DataFrame, clauses: DataFrame) -
     dim = dimension(clauses.sparkSession, [(c.name, c.title, "warn" if c.material else "info") for c in CLAUSES], "clause, summary, tone")
     once = clauses.groupBy("site", "clause").agg(F.min("kind").alias("kind"))
     said = once.join(F.broadcast(dim), "clause").withColumn("severity", F.lit("INFORM"))
-    return (
-        followed.select("site", *row("tracking", "INFORM", "warn", "visits are followed across sites"))
-        .unionByName(weighted.select("site", *row("consent", "INTERVENE", "warn", "the cookie choice is not even-handed")))
-        .unionByName(said.select(*_COLUMNS))
-    )
+    found = [
+        followed.select("site", *row("tracking", "INFORM", "warn", "visits are followed across sites")),
+        weighted.select("site", *row("consent", "INTERVENE", "warn", "the cookie choice is not even-handed")),
+        said.select(*_COLUMNS),
+    ]
+    if profiles is not None:
+        found.append(profiles.where("policy_missing").select("site").distinct().select("site", *row("policy", "INFORM", "warn", "no policy was found")))
+        kept = profiles.where("retention = 'after_deletion'").select("site").distinct()
+        found.append(kept.select("site", *row("policy", "INFORM", "warn", "data stays after an account is deleted")))
+    labels = dimension(clauses.sparkSession, [(c, label) for c, label, _ in CATEGORIES], "category, label")
+    if excess is not None:
+        named = excess.select("site", "category").distinct().join(F.broadcast(labels), "category")
+        summary = F.concat(F.lit("collected without a use: "), F.col("label")).alias("summary")
+        found.append(named.select("site", *row("policy", "INFORM", "warn", "")[:3], summary))
+    if uploads is not None:
+        named = uploads.select("site", "category").distinct().join(F.broadcast(labels), "category")
+        found.append(named.select("site", *row("uploads", "INFORM", "info", "")[:3], F.concat(F.lit("sent in a file: "), F.col("label")).alias("summary")))
+    if forms is not None:
+        asked = forms.where("flag").select("site").distinct()
+        found.append(asked.select("site", *row("forms", "INTERVENE", "warn", "a form asks for more than it needs")))
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out
 
 
 def desktop_findings(events: DataFrame, decisions: DataFrame, asof_us: int, seconds: int = 300) -> DataFrame:

@@ -5,8 +5,13 @@ from pyspark.sql import functions as F
 from privatrail.dims.decisions import ACTIONS, SECTIONS
 from privatrail.dims import values_sql
 from privatrail.dims.policy import CLAUSES
+from privatrail.dims.categories import CATEGORIES
 from privatrail.operators import decisions as D
+from privatrail.operators import forms as O
+from privatrail.operators import policy as L
 from privatrail.operators import report as R
+from privatrail.plans.forms import JUDGED, LABELLED
+from privatrail.plans.policy import CLAIMS, COLLECTED
 from privatrail.plans.registry import query
 from privatrail.sources.model import model, with_model
 from privatrail.streaming import notices as N
@@ -134,23 +139,35 @@ def w10(spark, sf):
 
 # ---- report -------------------------------------------------------------------------------
 DIM = values_sql([(c.name, c.title, "warn" if c.material else "info") for c in CLAUSES], "clause, summary, tone")
-FOUND = f"""
-WITH cl AS (SELECT requester_key AS site, CASE WHEN n % 2 = 0 THEN 'policy' ELSE 'terms' END AS kind, unnest(clauses) AS clause FROM profiles),
-fi AS (SELECT DISTINCT requester_key AS site, 'tracking' AS kind, 'INFORM' AS severity, 'warn' AS tone, 'visits are followed across sites' AS summary FROM pevents WHERE event_type = 'tracking' AND (len(tracker_domains) > 0 OR fingerprinting)
+_labels = values_sql([(c, label) for c, label, _ in CATEGORIES], "category, label")
+FOUND = CLAIMS + COLLECTED + "," + LABELLED.strip()[5:] + JUDGED + f""",
+said AS (SELECT requester_key AS site, CASE WHEN n % 2 = 0 THEN 'policy' ELSE 'terms' END AS kind, unnest(clauses) AS clause FROM profiles),
+excess AS (SELECT DISTINCT p.site, col.category FROM col JOIN policy_texts p USING (doc_id) JOIN dim_necessity n ON n.purpose = p.site_purpose AND n.category = col.category WHERE n.verdict IN ('unnecessary', 'red_flag')),
+sent_files AS (SELECT DISTINCT requester_key AS site, category FROM (SELECT requester_key, unnest(categories) AS category FROM pevents WHERE event_type = 'file_upload') x),
+fnd AS (SELECT DISTINCT requester_key AS site, 'tracking' AS kind, 'INFORM' AS severity, 'warn' AS tone, 'visits are followed across sites' AS summary FROM pevents WHERE event_type = 'tracking' AND (len(tracker_domains) > 0 OR fingerprinting)
   UNION ALL SELECT DISTINCT requester_key, 'consent', 'INTERVENE', 'warn', 'the cookie choice is not even-handed' FROM pevents WHERE len(dark_patterns) > 0
-  UNION ALL SELECT site, min(kind), 'INFORM', tone, summary FROM cl JOIN ({DIM}) d USING (clause) GROUP BY site, clause, tone, summary)
+  UNION ALL SELECT site, min(kind), 'INFORM', tone, summary FROM said JOIN ({DIM}) d USING (clause) GROUP BY site, clause, tone, summary
+  UNION ALL SELECT DISTINCT requester_key, 'policy', 'INFORM', 'warn', 'no policy was found' FROM profiles WHERE policy_missing
+  UNION ALL SELECT DISTINCT requester_key, 'policy', 'INFORM', 'warn', 'data stays after an account is deleted' FROM profiles WHERE retention = 'after_deletion'
+  UNION ALL SELECT site, 'policy', 'INFORM', 'warn', 'collected without a use: ' || label FROM excess JOIN ({_labels}) l USING (category)
+  UNION ALL SELECT site, 'uploads', 'INFORM', 'info', 'sent in a file: ' || label FROM sent_files JOIN ({_labels}) l USING (category)
+  UNION ALL SELECT DISTINCT e.requester_key, 'forms', 'INTERVENE', 'warn', 'a form asks for more than it needs' FROM jd JOIN pevents e ON e.event_id = jd.form_id WHERE flag)
 """
+KNEED = ("pevents", "profiles", "form_fields", "policy_texts", "dim_necessity")
 
 
 def _findings(spark, sf):
     ev = model(spark, sf, "pevents").withColumnRenamed("requester_key", "site")
-    clauses = model(spark, sf, "profiles").select(
-        F.col("requester_key").alias("site"), F.when(F.col("n") % 2 == 0, "policy").otherwise("terms").alias("kind"), F.explode("clauses").alias("clause")
-    )
-    return R.site_findings(ev.where("event_type = 'tracking'"), ev, clauses)
+    profiles = model(spark, sf, "profiles").withColumnRenamed("requester_key", "site")
+    clauses = profiles.select("site", F.when(F.col("n") % 2 == 0, "policy").otherwise("terms").alias("kind"), F.explode("clauses").alias("clause"))
+    texts = model(spark, sf, "policy_texts")
+    excess = L.over_collected(L.collected(L.sentences(texts)), texts, D.default_necessity(spark)).join(texts.select("doc_id", "site"), "doc_id")
+    uploads = ev.where("event_type = 'file_upload'").select("site", F.explode("categories").alias("category"))
+    forms = O.assess_forms(model(spark, sf, "form_fields")).select(F.col("form_id").alias("event_id"), "flag").join(ev.select("event_id", "site"), "event_id")
+    return R.site_findings(ev.where("event_type = 'tracking'"), ev, clauses, profiles, excess, uploads, forms)
 
 
-@query("k01_site_findings", with_model("pevents", "profiles", body=FOUND + "SELECT * FROM fi"))
+@query("k01_site_findings", with_model(*KNEED, body=FOUND + "SELECT * FROM fnd"))
 def k01(spark, sf):
     return _findings(spark, sf)
 
@@ -173,8 +190,8 @@ _texts = values_sql([(i, k, t, c, a) for i, (k, t, _, c, a) in enumerate(SECTION
 
 @query(
     "k03_report_sections",
-    with_model("pevents", "profiles", body=FOUND + f""", ran AS (SELECT DISTINCT site, section FROM (SELECT requester_key AS site, CASE event_type WHEN 'form_submit' THEN 'forms' WHEN 'consent_banner' THEN 'consent' ELSE event_type END AS kind FROM pevents) x JOIN ({_kinds}) k USING (kind)),
-    g AS (SELECT s.site, t.* FROM (SELECT DISTINCT requester_key AS site FROM pevents) s, ({_texts}) t), f AS (SELECT site, section, count(*) AS n, bool_or(severity = 'INTERVENE') AS serious FROM fi JOIN ({_kinds}) k USING (kind) GROUP BY ALL)
+    with_model(*KNEED, body=FOUND + f""", ran AS (SELECT DISTINCT site, section FROM (SELECT requester_key AS site, CASE event_type WHEN 'form_submit' THEN 'forms' WHEN 'consent_banner' THEN 'consent' ELSE event_type END AS kind FROM pevents) x JOIN ({_kinds}) k USING (kind)),
+    g AS (SELECT s.site, t.* FROM (SELECT DISTINCT requester_key AS site FROM pevents) s, ({_texts}) t), f AS (SELECT site, section, count(*) AS n, bool_or(severity = 'INTERVENE') AS serious FROM fnd JOIN ({_kinds}) k USING (kind) GROUP BY ALL)
     SELECT g.site, g.pos, g.section, g.title, coalesce(f.n, 0) AS findings, coalesce(f.serious, FALSE) AS serious, r.site IS NOT NULL AS available,
       CASE WHEN f.n > 0 THEN '' WHEN r.site IS NOT NULL THEN clean ELSE absent END AS message FROM g LEFT JOIN f ON f.site = g.site AND f.section = g.section LEFT JOIN ran r ON r.site = g.site AND r.section = g.section"""),
 )
@@ -186,7 +203,7 @@ def k03(spark, sf):
 
 @query(
     "k04_ordered_findings",
-    with_model("pevents", "profiles", body=FOUND + "SELECT site, kind, summary, row_number() OVER (PARTITION BY site ORDER BY severity <> 'INTERVENE', tone <> 'warn', kind, summary) AS rank FROM fi"),
+    with_model(*KNEED, body=FOUND + "SELECT site, kind, summary, row_number() OVER (PARTITION BY site ORDER BY severity <> 'INTERVENE', tone <> 'warn', kind, summary) AS rank FROM fnd"),
 )
 def k04(spark, sf):
     return R.ordered_findings(_findings(spark, sf)).select("site", "kind", "summary", "rank")
