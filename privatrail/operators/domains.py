@@ -75,6 +75,16 @@ def _purpose_of(lower: Column) -> Column:
     return F.transform(F.array(F.greatest(*votes)), decide)[0]
 
 
+def page_signals(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """pages with ``host`` and ``signal_text``: the title, description and headings of the page, without markup."""
+    page = F.coalesce(F.col(html), F.lit(""))
+    title = F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    about = F.regexp_extract(page, r"(?is)<meta[^>]*name=.description.[^>]*content=.([^\"'>]*)", 1)
+    heads = F.array_join(F.regexp_extract_all(page, F.lit(r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>"), F.lit(1)), " ")
+    text = F.regexp_replace(F.concat_ws(" ", title, about, heads), "<[^>]*>", " ")
+    return pages.withColumn("host", U.host_of(F.col(url))).withColumn("signal_text", text)
+
+
 def infer_purpose(requesters: DataFrame, sites: DataFrame) -> DataFrame:
     """Adds ``inferred`` to (host, signal_text): the site list first, then the wording.
 

@@ -118,6 +118,23 @@ def d04(spark, sf):
     return out.select("event_id", "p.purpose", F.round("p.confidence", 6).alias("confidence"))
 
 
+PAGE_SIGNALS = r"""ps AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host, regexp_replace(
+    regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) || ' ' || regexp_extract(html, '(?is)<meta[^>]*name=.description.[^>]*content=.([^"''>]*)', 1) || ' '
+    || array_to_string(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), ' '), '<[^>]*>', ' ', 'g') AS signal_text FROM pages),
+"""
+
+
+@query(
+    "d04_page_purposes",
+    "WITH " + PAGE_SIGNALS + WORDS.replace("FROM site_signals", "FROM ps").lstrip() + "SELECT page_id, w_purpose AS purpose, round(w_conf, 6) AS confidence, w_source AS source FROM words",
+)
+def d04_pages(spark, sf):
+    """Purposes of the given pages by their titles and headings."""
+    pages = D.page_signals(read_table(spark, sf, "pages"))
+    out = D.infer_purpose(pages.select("page_id", "host", "signal_text"), _sites(spark).where("false")).withColumnRenamed("inferred", "p")
+    return out.select("page_id", "p.purpose", F.round("p.confidence", 6).alias("confidence"), "p.source")
+
+
 @query("d05_purpose_fallback", with_model("site_signals", body="WITH " + WORDS + "SELECT event_id, w_purpose AS purpose, round(w_conf, 6) AS confidence, w_source AS source FROM words WHERE w_source <> 'local_signals'"))
 def d05(spark, sf):
     no_sites = _sites(spark).where("false")
