@@ -29,10 +29,13 @@ def longest_listed_suffix(hosts: DataFrame, listed: DataFrame, host: str = "host
 
 
 def tracker_hosts(hosts: DataFrame, trackers: DataFrame, host: str = "host") -> DataFrame:
-    """Distinct hosts with ``is_tracker`` and the company's ``owner`` domain."""
-    found = longest_listed_suffix(hosts, trackers, host)
+    """Distinct hosts with ``is_tracker`` and the company's ``owner`` domain. The hosts are read once: suffixes that are
+    not listed stay, so that every host comes out."""
     distinct = hosts.select(U.clean_host(F.col(host)).alias("host")).where("host <> ''").distinct()
-    return distinct.join(found, "host", "left").select(
+    suffixes = distinct.select("host", F.explode(U.host_suffixes(F.col("host"))).alias("x")).select("host", "x.n", F.col("x.suffix").alias("domain"))
+    listed = trackers.select("domain").distinct().withColumn("listed", F.lit(True))
+    found = suffixes.join(listed, "domain", "left").groupBy("host").agg(F.min_by(F.when(F.col("listed"), F.col("domain")), F.when(F.col("listed"), F.col("n"))).alias("domain"))
+    return found.select(
         "host",
         F.col("domain").isNotNull().alias("is_tracker"),
         F.coalesce("domain", U.registrable_domain(F.col("host"))).alias("owner"),

@@ -105,45 +105,61 @@ def cname_cloaking(requests: DataFrame, trackers: DataFrame) -> DataFrame:
     return pairs.join(hit, "host", "left_semi").select("site").distinct()
 
 
+def _met(requests: DataFrame, cookies: DataFrame) -> DataFrame:
+    """(site, host) with how they met, and on the row of a request's own host what its address shows: one pass over
+    requests. Hosts may be empty; such rows only carry their site."""
+    host, url, site_host = F.col("host"), F.col("url"), U.host_of(F.col("site"))
+    third = F.coalesce((host != "") & (host != site_host) & ~F.endswith(host, F.concat(F.lit("."), site_host)), F.lit(False))
+    pixelish = (U.host_of(url) == F.lower(host)) & (F.contains(F.lower(U.path_of(url)), F.lit("pixel")) | U.has_query_key(url, W.PIXEL_KEYS))
+    names = ["request", "alias", "marked", "pixelish", "cookie", "decorated", "linked"]
+
+    def entry(name, **flags):
+        return F.struct(
+            F.coalesce(U.clean_host(name), F.lit("")).alias("host"),
+            *[F.coalesce(flags.get(n, F.lit(False)), F.lit(False)).alias(n) for n in names],
+            F.coalesce(flags.get("beacon", F.lit(False)), F.lit(False)).cast("long").alias("beacons"),
+        )
+
+    yes = F.lit(True)
+    own = entry(
+        host, request=yes, marked=F.col("is_pixel") & third, pixelish=pixelish & third, decorated=U.has_query_key(url, W.DECORATION_KEYS),
+        linked=url.rlike(W.IDENTITY_LINK), beacon=F.col("is_pixel"),
+    )
+    others = F.filter(
+        F.array(entry(F.col("cname"), request=yes, alias=F.col("cname").isNotNull()), entry(U.host_of(url), request=yes)), lambda e: e["host"] != ""
+    )
+    met = requests.select("site", F.explode(F.concat(F.array(own), others)).alias("e")).select("site", "e.*")
+    lasting = F.col("third_party") & (F.col("lifetime_days") >= W.MIN_COOKIE_DAYS)
+    kept = cookies.select("site", entry(F.when(lasting, F.col("domain")), cookie=lasting).alias("e")).select("site", "e.*")
+    return met.unionByName(kept).groupBy("site", "host").agg(*[F.bool_or(n).alias(n) for n in names], F.sum("beacons").alias("beacons"))
+
+
 def analyze_tracking(
     requests: DataFrame, cookies: DataFrame, api_calls: DataFrame, storage_ids: DataFrame, trackers: DataFrame
 ) -> DataFrame:
     """One row per site: signals, companies (not hosts), confidence.
 
-    All hosts a site meets become one (site, host) table with flags for how they were met, so
-    the suffix match and the roll-up to sites each happen once.
+    All hosts a site meets become one (site, host) table in one pass, its distinct hosts are matched with the list once,
+    and what the four logs say of a site meets in one aggregate.
     """
-    def met(df: DataFrame, how: str) -> DataFrame:
-        flags = [F.lit(how == name).alias(name) for name in ("request", "alias", "pixel", "cookie")]
-        return df.select("site", U.clean_host(F.col("host")).alias("host"), *flags)
-
-    lasting = cookies.where(F.col("third_party") & (F.col("lifetime_days") >= W.MIN_COOKIE_DAYS))
-    pairs = (
-        met(_hosts(requests), "request")
-        .unionByName(met(requests.where("cname IS NOT NULL").select("site", F.col("cname").alias("host")), "alias"))
-        .unionByName(met(tracking_pixels(requests), "pixel"))
-        .unionByName(met(lasting.select("site", F.col("domain").alias("host")), "cookie"))
-        .groupBy("site", "host")
-        .agg(*[F.bool_or(c).alias(c) for c in ("request", "alias", "pixel", "cookie")])
-    )
-    named = pairs.join(tracker_hosts(pairs, trackers), "host")
-    hit = F.col("is_tracker") | F.col("pixel")
+    met = _met(requests, cookies)
+    named = met.join(tracker_hosts(met, trackers), "host", "left")
+    tracked = F.coalesce(F.col("is_tracker"), F.lit(False))
+    hit = (F.col("host") != "") & (tracked | (F.col("marked") & F.col("pixelish")))
     per_site = named.groupBy("site").agg(
         F.count_if(hit).alias("n_hosts"),
         F.sort_array(F.collect_set(F.when(hit, F.col("owner")))).alias("tracker_domains"),
-        F.bool_or(F.col("cookie") & F.col("is_tracker")).alias("lasting"),
-        F.bool_or(F.col("alias") & F.col("is_tracker")).alias("cloaked"),
-    )
-    sites = (
-        requests.select("site").unionByName(cookies.select("site")).unionByName(api_calls.select("site"))
-        .unionByName(storage_ids.select(F.col("origin").alias("site"))).distinct()
-    )
-    joined = (
-        sites.join(per_site, "site", "left")
-        .join(url_signals(requests), "site", "left")
-        .join(fingerprinting(api_calls).select("site", "fingerprinting"), "site", "left")
-        .join(shared_storage(storage_ids).withColumnRenamed("origin", "site"), "site", "left")
+        F.bool_or(F.col("cookie") & tracked).alias("lasting"),
+        F.bool_or(F.col("alias") & tracked).alias("cloaked"),
+        F.bool_or("decorated").alias("url_decoration"),
+        F.bool_or("linked").alias("identity_linking"),
+        F.sum("beacons").alias("pixel_beacons"),
     )
+    shared = shared_storage(storage_ids).withColumnRenamed("origin", "site")
+    everything = per_site
+    for part in (fingerprinting(api_calls).select("site", "fingerprinting"), shared, storage_ids.select(F.col("origin").alias("site")).distinct()):
+        everything = everything.unionByName(part, allowMissingColumns=True)
+    joined = everything.groupBy("site").agg(*[F.max(c).alias(c) for c in everything.columns if c != "site"])
     has = F.coalesce(F.col("n_hosts"), F.lit(0)) > 0
     signals = F.array_compact(
         F.array(
