@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from privatrail.llm.common import add_columns
 
 DIMENSIONS = 4096
-TRAIN_ROWS = 2400
+TRAIN_ROWS = 1600
 UNKNOWN = "und"
 #: Code points looked at together, which bounds a task's memory for very long texts.
 BLOCK = 1 << 20
@@ -76,26 +76,27 @@ def features(text: str | None) -> np.ndarray | None:
 def _fit(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, rounds: int = 120) -> np.ndarray:
     """A linear SVM with squared hinge loss by accelerated gradient; classes weigh the same. y: +1 or -1."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = previous = np.zeros(x.shape[1])
-    step = 1 / 2.5
+    w = previous = np.zeros(x.shape[1], x.dtype)
+    weight, y = weight.astype(x.dtype), y.astype(x.dtype)
+    step = np.float32(1 / 2.5)
     for k in range(rounds):
-        v = w + k / (k + 3) * (w - previous)
+        v = w + np.float32(k / (k + 3)) * (w - previous)
         slack = np.maximum(0, 1 - y * (x @ v))
-        gradient = strength * v - 2 * ((weight * slack * y) @ x)
+        gradient = np.float32(strength) * v - 2 * ((weight * slack * y) @ x)
         previous, w = w, v - step * gradient
-    return w
+    return w.astype(np.float64)
 
 
 class Model:
     """Families against each other, then pairs of languages inside a family."""
 
     def __init__(self, x: np.ndarray, langs: list[str]):
+        """x: a row of features and a one for each sample."""
         families = [_FAMILY.get(lang, lang) for lang in langs]
         self.families = sorted(set(families))
         self.members = {f: sorted({lang for lang, g in zip(langs, families, strict=True) if g == f}) for f in self.families}
         of = np.array(families)
         by = np.array(langs)
-        x = np.hstack([x, np.ones((len(x), 1))])
         columns, self.first, self.pairs = [], {}, {}
         if len(self.families) > 1:
             for f in self.families:
@@ -158,7 +159,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     got = sorted((r.lang, bytes(r.vector)) for r in samples.mapInArrow(measure, "lang string, vector binary").collect())
     if not got:
         return None
-    return Model(np.array([np.frombuffer(v, np.float32) for _, v in got]), [name for name, _ in got])
+    # single precision, and a last column of ones for the offset: the sample is held once
+    x = np.ones((len(got), DIMENSIONS + 1), np.float32)
+    for i, (_, vector) in enumerate(got):
+        x[i, :-1] = np.frombuffer(vector, np.float32)
+    names = [name for name, _ in got]
+    del got
+    return Model(x, names)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
