@@ -46,6 +46,7 @@ BLOCK_TAGS = {
 }
 #: Elements that may stay open; the rest of the block elements ends with the next one.
 LOOSE = {"p", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot", "option", "html", "body", "h1", "h2", "h3", "h4", "h5", "h6", "hr"}
+ENDED_BY = {("li", "li"), ("dt", "dd"), ("dd", "dt"), ("dt", "dt"), ("dd", "dd"), ("tr", "tr")}
 SPACED = {"br", "td", "th", "img", "input"}
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "gdpr", "notice",
@@ -114,6 +115,10 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             continue
         if tag in SPACED:
             held.append(" ")
+        if not closing and stack and ((stack[-1][0], tag) in ENDED_BY or (stack[-1][0] == "p" and tag in BLOCK_TAGS)):
+            flush()  # an open paragraph or item ends where the next block begins
+            stack.pop()
+            zone = stack[-1][1] if stack else OPEN
         opens = None if closing or tag in VOID else _judged(tag, attributes, zone == MAIN)
         if tag in BLOCK_TAGS or opens is not None:
             flush()

@@ -239,6 +239,8 @@ def test_host_repetition_marks_boilerplate(spark):
     want = [(i, f"Story {i} tells of word{i} & thing{i}") for i in (0, *range(6))] + [(90, claim), (91, ""), (92, ""), (93, "a < b"), (94, claim)]
     assert got == sorted(want)
     assert host_suffix.repeated([[]]) == [[]]
+    page = "<article><p class='ad'>Buy<p>One<br>line<ul><li class=promo>x<li>Two</ul><aside>no</aside>Three</article>"
+    assert [t for z, t in host_suffix.blocks(page) if z == host_suffix.MAIN] == ["One line", "Two", "Three"]
     assert host_suffix.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
