@@ -5,14 +5,16 @@ every window, wherever it stands, has one trigger, and windows with equal bytes
 windows ruled by one trigger. The dictionary holds every distinct phrase once, with its first occurrence; the parse is
 the phrases of each document in order. As no window leaves its phrase, corpus order is that of the dictionary:
 
-1. Phrases meet by trigger. Of equal phrases all but the first occurrence repeat, whole.
+1. Phrases meet by themselves. Of equal phrases all but the first occurrence repeat, whole.
 2. Distinct phrases that share a trigger may share windows. Their bytes meet by trigger, and the windows of these
    dictionary entries are ordered by a suffix array cut at `length` bytes (by hashes of the cut suffixes): in each class
    of equal windows all but the one of earliest occurrence repeat.
 3. The covered bytes of each document go.
 
-Copies inside a batch are settled there, so a passage of a third of all documents sends one row a batch. Triggers shared by
-more than CROWD dictionary entries send single windows, which meet by their own hash instead of by trigger.
+Copies inside a batch are settled there, so of a passage of a third of all documents the inner phrases send one row a batch.
+Its two edge phrases stretch into each document's own text and differ everywhere. So triggers are counted, never gathered:
+one that more than CROWD dictionary entries share sends single windows as hashes, without bytes, whose earliest occurrence
+is a combining minimum and is joined back to the others. No task holds all the rows of a trigger or of a window.
 
 Defined cases: a null text is empty; texts shorter than `length` lose nothing; a null id is before all others; rows that
 repeat an id are one document, in which equal starts do not precede each other. Further columns pass through, but the
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privatrail.llm.common import add_columns, cut
+from privatrail.llm.common import add_columns, cut, discard
 
 GRAM = 32
 #: Bytes parsed at a time, which bounds memory for very long texts.
@@ -143,7 +145,8 @@ def _parse(length: int, groups: int) -> Callable:
             order, _, late = _firsts([trigger, digest], doc, start)
             kind = np.where(late, 0, 1).astype(np.int32)
             trigger, start, windows, doc, digest = (x[order] for x in (trigger, start, windows, doc, digest))
-            spread = np.where(late, start + doc, trigger).view(np.uint64)
+            # by phrase, not by trigger: the edges of a passage have one trigger but differ in every document
+            spread = np.where(late, start + doc, trigger ^ digest).view(np.uint64)
             group = (_mixed(spread) % np.uint64(groups)).astype(np.int64)
             arrays = [group, trigger, digest, doc, start, windows.astype(np.int32), kind]
             for a in range(0, len(kind), 1 << 17):
@@ -152,31 +155,20 @@ def _parse(length: int, groups: int) -> Callable:
     return run
 
 
-def _compare(crowded: int) -> Callable:
-    """One group of triggers. kind 0: repeats, whole; 1: first occurrences whose windows must be compared, 2: the same
-    for a crowded trigger."""
-
-    def run(table: pa.Table) -> pa.Table:
-        trigger, phrase, doc, start, windows, kind = (table.column(c).to_numpy() for c in ("trigger", "phrase", "doc", "start", "windows", "kind"))
-        settled = kind == 0
-        open_ = np.flatnonzero(~settled)
-        order, new, late = _firsts([trigger[open_], phrase[open_]], doc[open_], start[open_])
-        order = open_[order]
-        heads = order[new]
-        tops = trigger[heads]
-        bounds = np.flatnonzero(np.concatenate([[True], tops[1:] != tops[:-1]])) if len(tops) else np.zeros(0, np.int64)
-        entries = np.repeat(np.diff(np.append(bounds, len(tops))), np.diff(np.append(bounds, len(tops))))
-        shared = heads[entries > 1]
-        crowd = entries[entries > 1] > crowded
-        at = np.concatenate([np.flatnonzero(settled), order[late], shared])
-        kinds = np.concatenate([np.zeros(settled.sum() + late.sum(), np.int32), np.where(crowd, 2, 1).astype(np.int32)])
-        return pa.table({"trigger": trigger[at], "doc": doc[at], "start": start[at], "windows": windows[at], "phrase": phrase[at], "kind": kinds})
-
-    return run
+def _compare(table: pa.Table) -> pa.Table:
+    """One group of phrases. kind 0: repeats, whole; 1: first occurrences, the entries of the dictionary."""
+    trigger, phrase, doc, start, windows, kind = (table.column(c).to_numpy() for c in ("trigger", "phrase", "doc", "start", "windows", "kind"))
+    settled = kind == 0
+    open_ = np.flatnonzero(~settled)
+    order, new, late = _firsts([trigger[open_], phrase[open_]], doc[open_], start[open_])
+    order = open_[order]
+    at = np.concatenate([np.flatnonzero(settled), order[late], order[new]])
+    kinds = np.concatenate([np.zeros(settled.sum() + late.sum(), np.int32), np.ones(new.sum(), np.int32)])
+    return pa.table({"trigger": trigger[at], "doc": doc[at], "start": start[at], "windows": windows[at], "phrase": phrase[at], "kind": kinds})
 
 
 def _fetch(length: int, groups: int) -> Callable:
-    """The bytes of the phrases asked for, as single windows where the trigger is crowded."""
+    """The bytes of the phrases asked for; where the trigger is crowded, the hashes of single windows without bytes."""
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         out: dict[str, list] = {"group": [], "trigger": [], "doc": [], "start": [], "windows": [], "bytes": []}
@@ -196,7 +188,7 @@ def _fetch(length: int, groups: int) -> Callable:
                 seen.add((doc_id, start, phrase))
                 rows = [(trigger, start, windows, part)]
                 if kind == 2:
-                    rows = [(_digest(part[i : i + length]), start + i, 1, part[i : i + length]) for i in range(windows)]
+                    rows = [(_digest(part[i : i + length]), start + i, 1, None) for i in range(windows)]
                 for t, s, w, b in rows:
                     out["group"].append(t)
                     out["trigger"].append(t)
@@ -290,15 +282,27 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     n = docs.count()
     groups, parts = max(16, n // GROUP_DOCS), max(16, n // PART_DOCS)
     parsed = own.mapInArrow(_parse(length, groups), "group long, trigger long, phrase long, doc long, start long, windows int, kind int")
-    answers = cut(parsed.groupBy("group").applyInArrow(_compare(crowd), f"trigger long, {SPAN_TYPE}"), sweep=True)
+    answers = cut(parsed.groupBy("group").applyInArrow(_compare, f"trigger long, {SPAN_TYPE}"), sweep=True)
+    entries = answers.where("kind = 1")
+    shared = cut(entries.groupBy("trigger").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1"))
     part = F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("part")
-    asked = answers.where("kind > 0").select(part, "trigger", *SPAN_NAMES)
+    kind = F.when(F.col("entries") > crowd, 2).otherwise(1).alias("kind")
+    asked = entries.drop("kind").join(shared, "trigger").select(part, "trigger", "doc", "start", "windows", "phrase", kind)
     fetched = (
         own.select(part, "doc", "text").groupBy("part").cogroup(asked.groupBy("part"))
         .applyInArrow(_fetch(length, groups), "group long, trigger long, doc long, start long, windows int, bytes binary")
     )
-    late = cut(fetched.groupBy("group").applyInArrow(_order(length), SPAN_TYPE), sweep=True)
-    spans = answers.where("kind = 0").select(*SPAN_NAMES).unionByName(late).select(part, *SPAN_NAMES)
+    fetched = cut(fetched, sweep=True)
+    late = cut(fetched.where("bytes IS NOT NULL").groupBy("group").applyInArrow(_order(length), SPAN_TYPE), sweep=True)
+    # single windows: of each hash the earliest, which combines before the shuffle, and a join that skew does not hold up
+    single = fetched.where("bytes IS NULL").select(F.col("trigger").alias("phrase"), "doc", "start")
+    first = cut(single.groupBy("phrase").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "start")).alias("first")).where("times > 1"))
+    later = cut(
+        single.join(first.select("phrase", "first"), "phrase").where(F.struct("doc", "start") != F.col("first"))
+        .select("doc", "start", F.lit(1).alias("windows"), "phrase", F.lit(0).alias("kind"))
+    )
+    discard(shared, fetched, first)
+    spans = answers.where("kind = 0").select(*SPAN_NAMES).unionByName(late).unionByName(later).select(part, *SPAN_NAMES)
     full = docs.select(*[F.col(f"`{c}`").alias(f"x_{c}") for c in rest], F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
     full = full.select(part, *full.columns)
     schema = ", ".join([f"`x_{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + ["kept binary", "n_removed long", "n_spans long"])

@@ -7,10 +7,11 @@ import html
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -272,6 +273,27 @@ def test_prefix_free_removal(spark, sf, crowd):
     assert prefix_free.remove_repeats(empty(spark)).count() == 0
 
 
+def test_prefix_free_edges_of_a_common_passage_are_dealt_out():
+    rng = random.Random(8)
+    own = lambda: "".join(rng.choice("abcdefgh ij") for _ in range(150))
+    passage = own() + own()
+    docs = pa.table({"doc": list(range(200)), "text": [own() + passage + own() for _ in range(200)]})
+    parsed = pa.Table.from_batches(prefix_free._parse(100, 64)(iter(docs.to_batches()))).to_pylist()
+    edges = [r for r in parsed if r["kind"] == 1]
+    trigger, n = Counter(r["trigger"] for r in edges).most_common(1)[0]
+    assert n >= 150  # one trigger, another phrase in every document
+    assert len({r["group"] for r in edges if r["trigger"] == trigger}) > 32
+    # of a crowded trigger no bytes travel, and windows are equal where their hashes are
+    asked = pa.Table.from_pylist([r | {"kind": 2} for r in edges if r["trigger"] == trigger])
+    windows = prefix_free._fetch(100, 64)(docs, asked).to_pylist()
+    text = docs.column("text").to_pylist()
+    assert len(windows) > n and all(w["bytes"] is None and w["windows"] == 1 for w in windows)
+    places = defaultdict(set)
+    for w in windows:
+        places[w["trigger"]].add(text[w["doc"]][w["start"] : w["start"] + 100])
+    assert all(len(x) == 1 for x in places.values()) and max(Counter(w["trigger"] for w in windows).values()) >= 150
+
+
 def test_prefix_free_blocks_do_not_matter(monkeypatch):
     rng = random.Random(5)
     raw = "".join(rng.choice("ab c") for _ in range(5000)).encode()
