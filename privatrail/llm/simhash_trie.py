@@ -144,12 +144,26 @@ def links(nodes: DataFrame, budget: int) -> DataFrame:
     return out
 
 
+def _labelled(nodes: DataFrame, budget: int) -> DataFrame:
+    """nodes (fp and others) with `component`, a fingerprint that all nodes linked over others have in common."""
+    found = components(links(nodes.select("fp"), budget))
+    return nodes.join(found, nodes.fp == found.node, "left").select(*[nodes[c] for c in nodes.columns], F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
     """(key, fp, component_id): the smallest id reachable over links of at most `budget` differing bits."""
     printed = cut(fingerprints(docs.select(F.col(key), F.col(text)), [key], text, shingle))
     nodes = cut(printed.groupBy("fp").agg(F.min(key).alias("first")))
-    found = components(links(nodes.select("fp"), budget))
-    labelled = nodes.join(found, nodes.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    labelled = _labelled(nodes, budget)
     firsts = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = cut(labelled.join(firsts, "component").select("fp", "component_id"))
     return printed.join(labels, "fp").select(key, "fp", "component_id")
+
+
+def representatives(docs: DataFrame, key: str, row: str, text: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
+    """(key, row): one row of each component, the least by key, then fingerprint, then `row`, a hash of the whole row.
+    Ids may repeat, in one component or in several."""
+    printed = fingerprints(docs.select(key, row, text), [key, row], text, shingle)
+    nodes = cut(printed.groupBy("fp").agg(F.min(F.struct(F.col(key).alias("key"), F.col("fp").alias("print"), F.col(row).alias("row"))).alias("first")))
+    first = _labelled(nodes, budget).groupBy("component").agg(F.min("first").alias("first"))
+    return cut(first.select(F.col("first.key").alias(key), F.col("first.row").alias(row)))

@@ -422,3 +422,12 @@ def test_pipeline_stages(spark, sf):
     assert sorted(after.items()) == [(d, b.decode("utf-8", "ignore")) for d, b, _, _ in repeats_brute(before)]
     before, after = kept["packing"]
     assert {r.doc_id for r in after} == {d for d, _ in before}
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10_000)}" for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (5, d), (9, e), (9, c), (7, e)]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted((low(r.doc_id), r.text) for r in corpus_pipeline.dedup_near(spark, docs, "").collect())
+    assert got == sorted([(LOW, a), (LOW, b), (5, c), (5, d), (7, e)])
