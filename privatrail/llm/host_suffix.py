@@ -6,9 +6,10 @@ A suffix array, cut at RUN tokens, shows the runs that come back on at least PAG
 runs cover are boilerplate, unique ones stay. Inside the main container repetition is no reason to drop a block: hosts
 publish one article under several addresses, and an article's sentences may return in another.
 
-A host's pages are dealt over groups of about GROUP_PAGES by a hash, so a host with a third of all pages is many groups,
-each with evidence of its own. Only blocks outside the main container are shuffled; texts of pages with open blocks are
-joined to what was found, all others are map-only.
+A host's pages are dealt over groups of about GROUP_PAGES by a hash, so a host with a third of all pages is many groups.
+Where there is more than one, each group's suffix array gives its runs, by a 64-bit hash, with the number of their pages;
+the sum over the groups says which runs the host repeats, and each group judges its blocks by these. Only blocks outside
+the main container are shuffled; texts of pages with open blocks are joined to what was found, all others are map-only.
 
 Defined cases: null or empty html has the empty text; markup that never ends (comments, scripts) runs to the end of the
 page; a page without container, boilerplate and repetition keeps all its blocks; rows that repeat are pages each; urls
@@ -23,9 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from privatrail.llm.common import cut
+
 RUN = 8
 PAGES = 3
 COVERED = 0.8
@@ -146,13 +150,14 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(texts: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[list[bool]]:
-    """Which blocks of which page are covered by runs of tokens found on at least `pages` distinct pages."""
+def _suffixes(texts: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """The tokens of all blocks end to end, the page and block of each, the rank of the suffix that begins there, and the
+    words. Token 0 ends a block; one below 0 ends a page and is another on each."""
     words: dict[str, int] = {}
     stream, page_of, block_of = [], [], []
     n = 0
     for p, page in enumerate(texts):
-        for b, text in enumerate(page):
+        for text in page:
             tokens = [words.setdefault(w, len(words) + 1) for w in _WORD.findall(text.lower())] + [0]  # 0 ends a block
             stream += tokens
             page_of += [p] * len(tokens)
@@ -161,10 +166,8 @@ def repeated(texts: list[list[str]], run: int = RUN, pages: int = PAGES) -> list
         stream.append(-1 - p)  # a run never crosses pages
         page_of.append(p)
         block_of.append(-1)
-    if not n:
-        return [[] for _ in texts]
-    _, rank = np.unique(np.array(stream, np.int64), return_inverse=True)
-    page, block = np.array(page_of, np.int64), np.array(block_of, np.int64)
+    tokens = np.array(stream, np.int64)
+    _, rank = np.unique(tokens, return_inverse=True)
     # suffix ranks by doubling, cut at `run` tokens: equal ranks are suffixes with as long a common prefix
     width = 1
     while width < run and len(rank) > width:
@@ -173,17 +176,60 @@ def repeated(texts: list[list[str]], run: int = RUN, pages: int = PAGES) -> list
         after[:-step] = rank[step:]
         _, rank = np.unique(rank * (len(rank) + 1) + after + 1, return_inverse=True)
         width += step
+    return tokens, np.array(page_of, np.int64), np.array(block_of, np.int64), rank, list(words)
+
+
+def _spread(page: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The number of distinct pages of each rank."""
     order = np.lexsort([page, rank])
     sorted_rank, sorted_page = rank[order], page[order]
     new = np.concatenate([[True], (sorted_rank[1:] != sorted_rank[:-1]) | (sorted_page[1:] != sorted_page[:-1])])
-    spread = np.bincount(sorted_rank[new], minlength=int(rank.max()) + 1)
-    # a suffix that reaches the end of its page within the run is another than all others
-    starts = np.flatnonzero(spread[rank] >= pages)
+    return np.bincount(sorted_rank[new], minlength=int(rank.max()) + 1)
+
+
+def _run_hashes(tokens: np.ndarray, words: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a run begins that ends within its page, and the hash of the run's words, the same in all groups."""
+    if len(tokens) < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of = np.array([0, *(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words)], np.uint64)[np.maximum(tokens, 0)]
+    n = len(tokens) - run + 1
+    h, inside = np.zeros(n, np.uint64), np.ones(n, bool)
+    for k in range(run):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + of[k : k + n]
+        h ^= h >> np.uint64(29)
+        inside &= tokens[k : k + n] >= 0
+    at = np.flatnonzero(inside)
+    return at, h[at].view(np.int64)
+
+
+def runs(texts: list[list[str]], run: int = RUN, pages: int = PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each run of these pages and the number of pages that hold it, up to `pages`."""
+    tokens, page, _, rank, words = _suffixes(texts, run)
+    at, h = _run_hashes(tokens, words, run)
+    if not len(at):
+        return h, at
+    held, first = np.unique(rank[at], return_index=True)
+    return h[first], np.minimum(_spread(page, rank)[held], pages)
+
+
+def repeated(texts: list[list[str]], run: int = RUN, pages: int = PAGES, known: np.ndarray | None = None) -> list[list[bool]]:
+    """Which blocks of which page are covered by runs of tokens found on at least `pages` distinct pages, or, if these are
+    given, by runs whose hash is among the known."""
+    n = sum(map(len, texts))
+    if not n:
+        return [[] for _ in texts]
+    tokens, page, block, rank, words = _suffixes(texts, run)
+    if known is None:
+        # a suffix that reaches the end of its page within the run is another than all others
+        starts = np.flatnonzero(_spread(page, rank)[rank] >= pages)
+    else:
+        at, h = _run_hashes(tokens, words, run)
+        starts = at[np.isin(h, known)]
     mark = np.zeros(len(rank) + run + 1, np.int64)
     np.add.at(mark, starts, 1)
     np.add.at(mark, starts + run, -1)
     covered = np.cumsum(mark)[: len(rank)] > 0
-    inner = (block >= 0) & (np.array(stream) > 0)
+    inner = (block >= 0) & (tokens > 0)
     hits = np.bincount(block[inner & covered], minlength=n)
     sizes = np.bincount(block[inner], minlength=n)
     bare = hits >= COVERED * np.maximum(sizes, 1)
@@ -211,17 +257,33 @@ def _zones(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "texts", "open", "outside"])
 
 
-def _host_group(table: pa.Table) -> pa.Table:
-    """The open blocks of a group's pages that the host repeats."""
+def _judged_pages(table: pa.Table, known: np.ndarray | None) -> pa.Table:
     ids, rows = table.column("__id").to_pylist(), table.column("__row").to_pylist()
     outside, opens = table.column("outside").to_pylist(), table.column("opens").to_pylist()
-    found = repeated(outside) if any(opens) else [[False] * len(x) for x in outside]
+    found = repeated(outside, known=known) if any(opens) else [[False] * len(x) for x in outside]
     out = [(i, r, sorted({t for t, bare in zip(texts, flags, strict=True) if bare})) for i, r, texts, flags, has in zip(ids, rows, outside, found, opens, strict=True) if has]
     return pa.table({
         "__id": pa.array([x[0] for x in out], pa.int64()), "__row": pa.array([x[1] for x in out], pa.int64()), "bare": pa.array([x[2] for x in out], pa.list_(pa.string())),
     })
 
 
+def _host_group(table: pa.Table) -> pa.Table:
+    """The open blocks that the host repeats, of a host that is one group."""
+    return _judged_pages(table, None)
+
+
+def _group_runs(table: pa.Table) -> pa.Table:
+    """The runs of one group of a host's pages."""
+    hashes, pages = runs(table.column("outside").to_pylist())
+    same = lambda c: pa.array([table.column(c)[0].as_py()] * len(hashes), table.schema.field(c).type)
+    return pa.table({"__host": same("__host"), "__salt": same("__salt"), "hash": pa.array(hashes, pa.int64()), "pages": pa.array(pages, pa.int64())})
+
+
+def _group_of_many(table: pa.Table, known: pa.Table) -> pa.Table:
+    """The open blocks that the host repeats, of a group that is given the runs its host repeats."""
+    return _judged_pages(table, known.column("hash").to_numpy())
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """pages without `source`, with `text`: the blocks of the main text joined by two line feeds."""
     rest = [c for c in pages.columns if c not in (source, "text")]
@@ -237,8 +299,16 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     parsed = named.mapInArrow(lambda b: _zones(b, keep), f"{types}, texts array<string>, open array<int>, outside array<string>")
     hosts = named.groupBy("__host").count().select("__host", F.ceil(F.col("count") / GROUP_PAGES).alias("many"))
     dealt = parsed.select("__id", "__row", "__host", "outside", (F.size("open") > 0).alias("opens")).join(hosts, "__host")
-    dealt = dealt.withColumn("__salt", F.pmod(F.xxhash64("__id", "__row"), F.col("many")))
-    bare = dealt.select("__host", "__salt", "__id", "__row", "outside", "opens").groupBy("__host", "__salt").applyInArrow(_host_group, "__id long, __row long, bare array<string>")
+    dealt = cut(dealt.withColumn("__salt", F.pmod(F.xxhash64("__id", "__row"), F.col("many"))))
+    # a host without open blocks has nothing to judge
+    dealt = dealt.join(dealt.where("opens").select("__host").distinct(), "__host", "left_semi").select("__host", "__salt", "__id", "__row", "outside", "opens", "many")
+    found = "__id long, __row long, bare array<string>"
+    bare = dealt.where("many = 1").drop("many").groupBy("__host", "__salt").applyInArrow(_host_group, found)
+    large = dealt.where("many > 1").drop("many")
+    held = cut(large.groupBy("__host", "__salt").applyInArrow(_group_runs, "__host string, __salt long, hash long, pages long"))
+    common = cut(held.groupBy("__host", "hash").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES).select("__host", "hash"))
+    known = held.join(common, ["__host", "hash"]).select("__host", "__salt", "hash")
+    bare = bare.unionByName(large.groupBy("__host", "__salt").cogroup(known.groupBy("__host", "__salt")).applyInArrow(_group_of_many, found))
     out = [F.col(f"`x_{c}`").alias(c) for c in rest]
     settled = parsed.where(F.size("open") == 0).select(*out, F.array_join("texts", "\n\n").alias("text"))
     # repeated rows have equal blocks and fall into one group

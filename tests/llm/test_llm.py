@@ -431,3 +431,12 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], SCHEMA).repartition(3)
     got = sorted((low(r.doc_id), r.text) for r in corpus_pipeline.dedup_near(spark, docs, "").collect())
     assert got == sorted([(LOW, a), (LOW, b), (5, c), (5, d), (7, e)])
+
+
+def test_host_repetition_is_found_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(host_suffix, "GROUP_PAGES", 4)
+    claim, rare = ("All rights of {0} reserved by the big example {0} company of this wide world".format(x) for x in ("one", "two"))
+    extra = dict.fromkeys((0, 15, 30, 45), f"<p>{claim}</p>") | dict.fromkeys((2, 7), f"<p>{rare}</p>")
+    rows = [(i, f"http://a.example/{i}", f"<p>Story {i} tells of word{i} and thing{i}</p>{extra.get(i, '')}") for i in range(60)]
+    got = {r.page_id: r.text for r in host_suffix.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} tells of word{i} and thing{i}" + (f"\n\n{rare}" if i in (2, 7) else "") for i in range(60)}
