@@ -3,7 +3,8 @@
 A page is read as blocks in three zones: the main container (`article`, `main`), boilerplate by its element, class or
 role, and the open rest. The blocks outside the main container, of all pages of a host, are laid end to end as tokens.
 A suffix array, cut at RUN tokens, shows the runs that come back on at least PAGES distinct pages; open blocks that such
-runs cover are boilerplate, unique ones stay. Inside the main container repetition is no reason to drop a block: hosts
+runs cover are boilerplate, unique ones stay, on pages with a main container too; beside one, a block of fewer than RUN
+tokens, of which no run can speak, goes. Inside the main container repetition is no reason to drop a block: hosts
 publish one article under several addresses, and an article's sentences may return in another.
 
 A host's pages are dealt over groups of about GROUP_PAGES by a hash, so a host with a third of all pages is many groups.
@@ -248,7 +249,7 @@ def _zones(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.Re
             for page in batch.column(batch.schema.names.index("__html")).to_pylist():
                 found = blocks(page)
                 has_main = any(z == MAIN for z, _ in found)
-                kept = [(z, t) for z, t in found if z == MAIN or (z == OPEN and not has_main)]
+                kept = [(z, t) for z, t in found if z == MAIN or (z == OPEN and (not has_main or len(_WORD.findall(t)) >= RUN))]
                 texts.append([t for _, t in kept])
                 open_at.append([i for i, (z, _) in enumerate(kept) if z == OPEN])
                 outside.append([t for z, t in found if z != MAIN])
@@ -302,6 +303,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     dealt = cut(dealt.withColumn("__salt", F.pmod(F.xxhash64("__id", "__row"), F.col("many"))))
     # a host without open blocks has nothing to judge
     dealt = dealt.join(dealt.where("opens").select("__host").distinct(), "__host", "left_semi").select("__host", "__salt", "__id", "__row", "outside", "opens", "many")
+    dealt = dealt.repartition("__host", "__salt")  # not by host alone, as the join may leave it
     found = "__id long, __row long, bare array<string>"
     bare = dealt.where("many = 1").drop("many").groupBy("__host", "__salt").applyInArrow(_host_group, found)
     large = dealt.where("many > 1").drop("many")

@@ -440,3 +440,11 @@ def test_host_repetition_is_found_over_groups(spark, monkeypatch):
     rows = [(i, f"http://a.example/{i}", f"<p>Story {i} tells of word{i} and thing{i}</p>{extra.get(i, '')}") for i in range(60)]
     got = {r.page_id: r.text for r in host_suffix.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Story {i} tells of word{i} and thing{i}" + (f"\n\n{rare}" if i in (2, 7) else "") for i in range(60)}
+
+
+def test_blocks_beside_a_container_are_judged_by_repetition(spark):
+    claim = "All rights reserved by the big example company of this wide world"
+    story = "The story of page {0} stands in a plain division beside the teaser{0} and is found nowhere else"
+    rows = [(i, f"http://a.example/{i}", f"<div>{story.format(i)}</div><article><p>Teaser {i}</p></article><div>{claim}</div>") for i in range(5)]
+    got = {r.page_id: r.text for r in host_suffix.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{story.format(i)}\n\nTeaser {i}" for i in range(5)}
