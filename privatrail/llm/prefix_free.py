@@ -7,8 +7,8 @@ the phrases of each document in order. As no window leaves its phrase, corpus or
 
 1. Phrases meet by themselves. Of equal phrases all but the first occurrence repeat, whole.
 2. Distinct phrases that share a trigger may share windows. Their bytes meet by trigger, and the windows of these
-   dictionary entries are ordered by a suffix array cut at `length` bytes (by hashes of the cut suffixes): in each class
-   of equal windows all but the one of earliest occurrence repeat.
+   dictionary entries are grouped by a 64-bit hash of `length` bytes, in place of a suffix array: in each class of equal
+   hashes all but the one of earliest occurrence repeat. Bytes are not compared.
 3. The covered bytes of each document go.
 
 Copies inside a batch are settled there, so of a passage of a third of all documents the inner phrases send one row a batch.
@@ -204,7 +204,7 @@ def _fetch(length: int, groups: int) -> Callable:
 
 
 def _order(length: int) -> Callable:
-    """The suffix array of a group's dictionary entries, cut at `length` bytes: runs of windows with an earlier equal."""
+    """The windows of a group's dictionary entries, by rolling hash: runs of windows with an earlier equal."""
 
     def run(table: pa.Table) -> pa.Table:
         doc, start, windows, trigger = (table.column(c).to_numpy() for c in ("doc", "start", "windows", "trigger"))
