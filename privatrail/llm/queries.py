@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privatrail.llm import chunk_fingerprints, cover_tree, host_suffix, language, line_runs, merge_replay, packing, prefix_free, simhash_trie, splitters
+from privatrail.llm import (
+    chat_format,
+    chunk_fingerprints,
+    cover_tree,
+    host_suffix,
+    language,
+    line_runs,
+    merge_replay,
+    merkle,
+    packing,
+    prefix_free,
+    prefix_trie,
+    simhash_trie,
+    splitters,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -111,3 +125,36 @@ def op6_host_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = host_suffix.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations, every node with the sums of its subtree."""
+    return prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+ORACLE["op11_prefix_trie"] = prefix_trie.ORACLE
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash tree per language and one over them, a proof per document, and which of the altered documents it finds."""
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(
+        _read(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"n_chars": F.col("n_chars") + 1}, altered
+    )
+
+
+ORACLE["op12_merkle"] = merkle.oracle(prefix_trie.CRC32)
+
+
+@query
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and a planted one as ids under a mask, and what they say when read back."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(chat_format.PLANTED, "conv_id long, turn long, role string, text string")
+    coder = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(planted), *coder), *coder)
+
+
+ORACLE["op13_chat_format"] = chat_format.ORACLE
