@@ -45,11 +45,11 @@ def leaf(fields: list[Column]) -> Column:
     return F.sha2(F.concat(*[field(c) for c in fields]), 256)
 
 
-def _block(hashes: list[bytes], weights: list[int], whole: bool) -> Iterator[tuple[int, int, bytes | None, int, int, bytes]]:
+def _block(hashes: list[bytes], weights: list[int], whole: bool, bits: int) -> Iterator[tuple[int, int, bytes | None, int, int, bytes]]:
     """(level, place, own sibling or None at the top, rows below it and below its parent, digest) of every node over one
-    block of nodes. A whole tree ends at its root; part of one takes all levels of a block."""
+    block of 2^bits nodes. A whole tree ends at its root; part of one takes all levels of a block."""
     level = 0
-    while (len(hashes) > 1) if whole else level < BLOCK_BITS:
+    while (len(hashes) > 1) if whole else level < bits:
         for i, (h, w) in enumerate(zip(hashes, weights, strict=True)):
             j = i ^ 1
             yield level, i, (ALONE + bytes(32) if j >= len(hashes) else (LEFT if j < i else RIGHT) + hashes[j]), w, sum(weights[i & -2 : (i & -2) + 2]), h
@@ -69,7 +69,7 @@ def _grow(leaves: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
             rows = []
             for tree, level, block, size, held in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 hashes, weights = [x["hash"] for x in held], [x["weight"] for x in held]
-                for up, i, seg, weight, above, digest in _block(hashes, weights, size <= 1 << BLOCK_BITS):
+                for up, i, seg, weight, above, digest in _block(hashes, weights, size <= 1 << BLOCK_BITS, BLOCK_BITS):
                     top = seg is None
                     rows.append((tree, level + up, (block << (BLOCK_BITS - up)) + i, seg, weight, above, digest if top else None, -(-size >> up) if top else None))
             columns = list(zip(*rows, strict=True)) or [[]] * 8

@@ -22,6 +22,16 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+@pytest.fixture(autouse=True)
+def several_ranges(spark):
+    """Small tables in as many ranges as there are partitions, so that conversations and groups stand in several."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
 def odd_conversations():
     rng = random.Random(5)
     rows = []
