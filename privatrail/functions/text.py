@@ -31,7 +31,9 @@ def clean_text(text: Column) -> Column:
 
 
 def fold_case_sql(text: str) -> str:
-    return f"translate(lower({text}), 'ſı', 'si')"
+    """Lower case under the same folding the case-insensitive regexes use; few texts hold a letter that needs more."""
+    special = f"contains({text}, 'ſ') OR contains({text}, 'ı')"
+    return f"CASE WHEN {special} THEN translate(lower({text}), 'ſı', 'si') ELSE lower({text}) END"
 
 
 def fold_case(text: Column) -> Column:
@@ -39,31 +41,42 @@ def fold_case(text: Column) -> Column:
     return F.translate(F.lower(text), "ſı", "si")
 
 
-def match_spans_sql(text: str, pattern: str, labelled: bool = False, flags: str = FLAGS) -> str:
-    """SQL text for all matches with exact offsets, as array<struct<s, e, v, m>>.
+def marked_sql(text: str, pattern: str, labelled: bool = False, flags: str = FLAGS) -> str:
+    """SQL text for ``text`` with every match wrapped in marker characters: the match, then its value, which is group 1
+    when ``labelled`` (the pattern must end where group 1 ends) and else the whole match. ``text`` must be free of the
+    markers."""
+    wrapped = f"'\\u0001$0\\u0002{'$1' if labelled else '$0'}\\u0003'"
+    return f"regexp_replace({text}, {quoted(flags + pattern)}, {wrapped})"
+
 
-    The regex wraps each match in marker characters; walking the pieces between markers
-    gives every match's position. ``v`` is group 1 when ``labelled`` (the pattern must end
-    where group 1 ends), else the whole match ``m``. ``text`` must be free of the markers.
+def spans_sql(marked: str) -> str:
+    """SQL text for the matches in a marked text with exact offsets, as array<struct<s, e, v, m>> (value and match).
+
+    Offsets are sums of the lengths between markers, taken in two steps of the square root of the number of matches, so
+    a text of very many matches does not cost their square.
     """
-    o, c, e = "\\u0001", "\\u0002", "\\u0003"
-    wrapped = f"'{o}$0{c}" + ("$1" if labelled else "") + f"{e}'"
-    pieces = f"split(regexp_replace({text}, {quoted(flags + pattern)}, {wrapped}), '{o}', -1)"
+    c, e = "\\u0002", "\\u0003"
     close, stop = f"instr(x, '{c}')", f"instr(x, '{e}')"
-    whole = f"substr(x, 1, {close} - 1)"
-    value = f"substr(x, {close} + 1, {stop} - {close} - 1)" if labelled else whole
-    span = (
-        f"named_struct('s', a.pos + {close} - 1 - length({value}), 'e', a.pos + {close} - 1, "
-        f"'v', {value}, 'm', {whole})"
-    )
-    walk = (
-        f"aggregate(slice(p, 2, size(p)), "
-        f"named_struct('pos', length(p[0]), 'out', CAST(array() AS {SPAN_TYPE})), "
-        f"(a, x) -> named_struct('pos', a.pos + {close} - 1 + length(x) - {stop}, "
-        f"'out', concat(a.out, array({span}))), a -> a.out)"
+    parsed = (
+        f"transform(slice(p, 2, size(p)), x -> named_struct('m', substr(x, 1, {close} - 1), "
+        f"'v', substr(x, {close} + 1, {stop} - {close} - 1), 'n', {close} - 1 + length(x) - {stop}))"
     )
-    # binding the split once keeps the regex from being evaluated per use
-    return bind(pieces, "p", walk)
+    # q: matches with the length from each match to the next; w: how many a block holds; b: where blocks start
+    total = "aggregate(slice({0}, {1}, {2}), 0, (acc, y) -> acc + y{3})"
+    blocks = f"transform(sequence(0, (size(q) - 1) div w), j -> {total.format('q', 'j * w + 1', 'w', '.n')})"
+    starts = bind(blocks, "t", f"transform(t, (y, j) -> length(p[0]) + {total.format('t', '1', 'j', '')})")
+    at = f"(b[i div w] + {total.format('q', '(i div w) * w + 1', 'i % w', '.n')})"
+    span = "named_struct('s', at + length(x.m) - length(x.v), 'e', at + length(x.m), 'v', x.v, 'm', x.m)"
+    walk = f"transform(q, (x, i) -> {bind(at, 'at', span)})"
+    walk = bind(parsed, "q", bind("CAST(ceil(sqrt(size(q))) AS INT)", "w", bind(starts, "b", walk)))
+    pieces = f"split({marked}, '\\u0001', -1)"
+    # most texts have no match and end here; binding the split once keeps the regex from being evaluated per use
+    return bind(pieces, "p", f"CASE WHEN size(p) > 1 THEN {walk} ELSE CAST(array() AS {SPAN_TYPE}) END")
+
+
+def match_spans_sql(text: str, pattern: str, labelled: bool = False, flags: str = FLAGS) -> str:
+    """SQL text for all matches of one pattern."""
+    return spans_sql(marked_sql(text, pattern, labelled, flags))
 
 
 def guard_sql(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,29 +12,22 @@ from privatrail.functions import text as T
 from privatrail.functions import validators as V
 from privatrail.functions.validators import bind, quoted
 
-_MATCH = "array<struct<s:int,e:int,v:string,category:string,confidence:double,validated:boolean,ord:int>>"
+class Rule(NamedTuple):
+    """A pattern as data: what a text must hold for it to match, and the checksum its values must pass."""
 
+    category: str
+    pattern: str
+    confidence: float
+    guard: str  # SQL over the folded text fw and hd, whether there is a digit
+    labelled: bool
+    check: str
 
-def _tag(spans: str, category: str, confidence: float, order: int, valid=None) -> str:
-    """Attach the category; ``valid`` maps a span's SQL name to SQL text that is true, false
-    (the match is dropped) or null (the value carries no checksum)."""
-    verdict = valid("x") if valid else None
-    kept = f"filter({spans}, x -> coalesce({verdict}, true))" if verdict else spans
-    passed = f"coalesce({verdict}, false)" if verdict else "false"
-    return (
-        f"transform({kept}, x -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'category', '{category}', "
-        f"'confidence', CAST({confidence} AS DOUBLE), 'validated', {passed}, 'ord', {order}))"
-    )
 
-
-def _trim_iban(spans: str) -> str:
-    """Cut greedy IBAN candidates to the country's legal length; unknown or short ones go."""
-    solid = f"filter(sequence(1, length(x.v)), i -> substr(x.v, i, 1) RLIKE {quoted(r'(?U)\S')})"
-    stop = f"get({solid}, {V.iban_length_sql('x.v')} - 1)"
-    cut = bind(
-        stop, "n", "named_struct('s', x.s, 'e', x.s + n, 'v', substr(x.v, 1, n), 'm', substr(x.v, 1, n))"
-    )
-    return f"filter(transform({spans}, x -> {cut}), x -> x.e IS NOT NULL)"
+def _iban_cut(x: str) -> str:
+    """Cut a greedy IBAN candidate to the country's legal length; unknown or short ones get no end."""
+    solid = f"filter(sequence(1, length({x}.v)), i -> substr({x}.v, i, 1) RLIKE {quoted(r'(?U)\S')})"
+    stop = f"get({solid}, {V.iban_length_sql(f'{x}.v')} - 1)"
+    return bind(stop, "n", f"named_struct('s', {x}.s, 'e', {x}.s + n, 'v', substr({x}.v, 1, n), 'm', substr({x}.v, 1, n))")
 
 
 def _national_id(x: str) -> str:
@@ -43,87 +38,97 @@ def _national_id(x: str) -> str:
     )
 
 
-_STANDALONE_CHECK = {
-    "financial.card_number": lambda x: V.luhn_sql(f"{x}.v"),
-    "financial.iban": lambda x: V.iban_sql(f"{x}.v"),
-    "government_id.ssn": lambda x: V.ssn_sql(f"{x}.v"),
-    "government_id.passport": lambda x: V.mrz_sql(f"{x}.v"),
-}
-_LABELLED_CHECK = {
-    "government_id.ssn": lambda x: V.ssn_sql(f"trim({x}.v)"),
-    "financial.routing": lambda x: V.aba_sql(f"trim({x}.v)"),
-    "medical.insurance_id": lambda x: (
-        f"CASE WHEN contains(lower({x}.m), 'nhs') THEN {V.nhs_sql(f'trim({x}.v)')} END"
-    ),
-    "government_id.national_id": _national_id,
+#: SQL that is true, false (the match is dropped) or null (this value carries no checksum).
+CHECKS = {
+    "luhn": lambda x: V.luhn_sql(f"{x}.v"),
+    "iban": lambda x: V.iban_sql(f"{x}.v"),
+    "ssn": lambda x: V.ssn_sql(f"trim({x}.v)"),
+    "mrz": lambda x: V.mrz_sql(f"{x}.v"),
+    "aba": lambda x: V.aba_sql(f"trim({x}.v)"),
+    "nhs": lambda x: f"CASE WHEN contains(lower({x}.m), 'nhs') THEN {V.nhs_sql(f'trim({x}.v)')} END",
+    "national": _national_id,
+    "twelve": lambda x: V.national12_sql(f"{x}.v"),
+    "sixteen": lambda x: V.national16_sql(f"{x}.v"),
 }
+_STANDALONE_CHECK = {"financial.card_number": "luhn", "financial.iban": "iban", "government_id.ssn": "ssn", "government_id.passport": "mrz"}
+_LABELLED_CHECK = {"government_id.ssn": "ssn", "financial.routing": "aba", "medical.insurance_id": "nhs", "government_id.national_id": "national"}
 _MARKER_WORDS = ("aadha", "आधार", "uidai", "unique", "government", "भारत", "vid", "vtc")
 
 
-def block_matches_sql(
-    text: str = "win", folded: str = "folded", has_digit: str = "has_digit", categories: list[str] | None = None
-) -> str:
-    """SQL text for all matches inside one text, as one array.
+def _rules() -> list[Rule]:
+    """All patterns in their order, which decides between equal spans: the later one wins."""
+    out = [
+        Rule(r.category, r.pattern, r.confidence, T.guard_sql("fw", "hd", r.guard, r.digits, r.colon), False, _STANDALONE_CHECK.get(r.category, ""))
+        for r in P.STANDALONE
+    ]
+    out += [
+        Rule(r.category, r.pattern, r.confidence, T.guard_sql("fw", "hd", r.guard, r.digits, r.colon), True, _LABELLED_CHECK.get(r.category, ""))
+        for r in P.LABELLED
+    ]
+    for pattern, check in ((P.CARD_BARE_12, "twelve"), (P.CARD_BARE_16, "sixteen")):
+        out.append(Rule("government_id.national_id", pattern, P.CARD_CONFIDENCE, "card", True, check))
+    out.append(Rule("phone", P.PHONE_PATTERN, P.PHONE_CONFIDENCE, "hd", False, ""))
+    return out
 
-    Only the patterns of ``categories`` are built (all without it), and for phones those that keep a phone from starting
-    inside them.
-    """
-    none = f"CAST(array() AS {_MATCH})"
-    wanted = None if categories is None else {*categories, *(P.PHONE_BLOCKERS if "phone" in categories else ())}
 
-    def asked(category: str) -> bool:
-        return wanted is None or category in wanted
-
-    def when(rule: P.TextRule, spans: str) -> str:
-        return f"CASE WHEN {T.guard_sql(folded, has_digit, rule.guard, rule.digits, rule.colon)} THEN {spans} ELSE {none} END"
-
-    found: list[tuple[str, str]] = []
-    order = 0
-    for rule in P.STANDALONE:
-        order += 1
-        if not asked(rule.category):
-            continue
-        spans = T.match_spans_sql(text, rule.pattern)
-        if rule.category == "financial.iban":
-            spans = _trim_iban(spans)
-        tagged = _tag(spans, rule.category, rule.confidence, order - 1, _STANDALONE_CHECK.get(rule.category))
-        found.append((rule.category, when(rule, tagged)))
-    for rule in P.LABELLED:
-        order += 1
-        if not asked(rule.category):
-            continue
-        spans = f"filter({T.match_spans_sql(text, rule.pattern, labelled=True)}, x -> NOT startswith(trim(x.v), '\\u0000'))"
-        tagged = _tag(spans, rule.category, rule.confidence, order - 1, _LABELLED_CHECK.get(rule.category))
-        found.append((rule.category, when(rule, tagged)))
-    on_card = f"{has_digit} AND {card_named_sql(text, folded)}"
-    cards = ((P.CARD_BARE_12, V.national12_sql), (P.CARD_BARE_16, V.national16_sql)) if asked("government_id.national_id") else ()
-    for pattern, rule_sql in cards:
-        spans = f"filter({T.match_spans_sql(text, pattern, labelled=True)}, x -> {rule_sql('x.v')})"
-        tagged = _tag(spans, "government_id.national_id", P.CARD_CONFIDENCE, order, lambda x: "true")
-        found.append(("government_id.national_id", f"CASE WHEN {on_card} THEN {tagged} ELSE {none} END"))
-        order += 1
-    phones = _tag(T.match_spans_sql(text, P.PHONE_PATTERN), "phone", P.PHONE_CONFIDENCE, order)
-    phones = f"CASE WHEN {has_digit} THEN {phones} ELSE {none} END"
-    # a phone number does not start inside a card, IBAN or security number
-    others = "concat(" + ", ".join([sql for _, sql in found] or [none]) + ")"
-    if categories is not None and "phone" not in categories:
-        return others
-    blocker = "b.category IN (" + ", ".join(f"'{c}'" for c in P.PHONE_BLOCKERS) + ")"
-    free = f"filter({phones}, p -> NOT exists(o, b -> {blocker} AND b.s <= p.s AND p.s < b.e))"
-    return bind(others, "o", f"concat(o, {free})")
+RULES = _rules()
 
 
-def card_named_sql(text: str, folded: str) -> str:
-    """Does the text name an identity card, so that bare numbers in it count?"""
-    return f"({T.guard_sql(folded, 'true', _MARKER_WORDS, False)} AND {text} RLIKE {quoted(T.FLAGS + P.CARD_MARKERS)})"
+def _pick(values: dict[int, str], otherwise: str) -> str:
+    """SQL for a property of rule r; rules that share a value share a branch."""
+    same: dict[str, list[int]] = {}
+    for r, v in values.items():
+        same.setdefault(v, []).append(r)
+    branches = " ".join(f"WHEN r IN ({', '.join(map(str, rs))}) THEN {v}" for v, rs in same.items())
+    return f"CASE {branches} ELSE {otherwise} END" if branches else otherwise
 
 
 def _scan_sql(text: str, categories: list[str] | None = None) -> str:
-    """Matches of one whole text; a result never depends on how texts are cut, as they are not."""
-    body = block_matches_sql(text, "fw", "hd", categories)
+    """SQL text for all matches inside one text, as one array of (s, e, v, category, confidence, validated, ord).
+
+    The guards are looked up once a text and leave the rules that could match. Their patterns stand in one CASE; walking
+    the matches, cutting, checking and naming them is written once and driven by the rule's number r. Only the rules of
+    ``categories`` are built (all without it), and for phones those that keep a phone from starting inside them. A
+    result never depends on how texts are cut, as they are not.
+    """
+    wanted = None if categories is None else {*categories, *(P.PHONE_BLOCKERS if "phone" in categories else ())}
+    rules = {i: r for i, r in enumerate(RULES) if wanted is None or r.category in wanted}
+    none = "CAST(array() AS array<struct<s:int,e:int,v:string,category:string,confidence:double,validated:boolean,ord:int>>)"
+    if not rules:
+        return none
+    on_card = f"(hd AND {card_named_sql(text, 'fw')})" if any(r.guard == "card" for r in rules.values()) else "false"
+    tests = [f"CASE WHEN {on_card if r.guard == 'card' else r.guard} THEN {i} END" for i, r in rules.items()]
+    could = f"filter(array({', '.join(tests)}), r -> r IS NOT NULL)"
+    marked = "CASE r " + " ".join(f"WHEN {i} THEN {T.marked_sql(text, r.pattern, r.labelled)}" for i, r in rules.items()) + " END"
+    spans = T.spans_sql(marked)
+    iban = [i for i, r in rules.items() if r.check == "iban"]
+    if iban:
+        spans = f"transform({spans}, x -> CASE WHEN r = {iban[0]} THEN {_iban_cut('x')} ELSE x END)"
+    # what was cut away, and values that are a placeholder, are no matches
+    spans = f"filter({spans}, x -> x.e IS NOT NULL AND NOT ({_pick({i: 'true' for i, r in rules.items() if r.labelled}, 'false')} AND startswith(trim(x.v), '\\u0000')))"
+    verdict = _pick({i: CHECKS[r.check]("x") for i, r in rules.items() if r.check}, "CAST(NULL AS BOOLEAN)")
+    checked = f"filter(transform({spans}, x -> named_struct('x', x, 'ok', {verdict})), y -> coalesce(y.ok, true))"
+    named = _pick({i: quoted(r.category) for i, r in rules.items()}, "NULL")
+    sure = _pick({i: f"CAST({r.confidence} AS DOUBLE)" for i, r in rules.items()}, "NULL")
+    tagged = (
+        f"transform({checked}, y -> named_struct('s', y.x.s, 'e', y.x.e, 'v', y.x.v, 'category', {named}, "
+        f"'confidence', {sure}, 'validated', coalesce(y.ok, false), 'ord', r))"
+    )
+    body = f"flatten(transform({could}, r -> {tagged}))"
+    if any(r.category == "phone" for r in rules.values()):
+        # a phone number does not start inside a card, IBAN or security number
+        blocker = "b.category IN (" + ", ".join(f"'{c}'" for c in P.PHONE_BLOCKERS) + ")"
+        last = len(RULES) - 1  # the labelled pattern for phones is another rule
+        free = f"filter(o, p -> p.ord <> {last} OR NOT exists(k, b -> b.s <= p.s AND p.s < b.e))"
+        body = bind(body, "o", bind(f"filter(o, b -> {blocker})", "k", free))
     return bind(T.fold_case_sql(text), "fw", bind(f"{text} RLIKE {quoted(r'(?U)\d')}", "hd", body))
 
 
+def card_named_sql(text: str, folded: str) -> str:
+    """Does the text name an identity card, so that bare numbers in it count?"""
+    return f"({T.guard_sql(folded, 'true', _MARKER_WORDS, False)} AND {text} RLIKE {quoted(T.FLAGS + P.CARD_MARKERS)})"
+
+
 def find_matches(
     docs: DataFrame, key: list[str] | None = None, text: str = "text", categories: list[str] | None = None, distinct_texts: bool = False
 ) -> DataFrame:
@@ -143,7 +148,8 @@ def find_matches(
         hits = clean.select(*key, scan.alias("hits"))
     if categories is not None:
         hits = hits.withColumn("hits", F.filter("hits", lambda h: h["category"].isin(categories)))
-    everything = hits.select(*key, F.explode("hits").alias("hit"))
+    # outer: a plain explode lets the optimizer push a test of the scan's result, and so a second scan, below everything
+    everything = hits.select(*key, F.explode_outer("hits").alias("hit")).where(F.col("hit").isNotNull())
     best = F.max_by(
         F.struct(F.col("hit.confidence").alias("confidence"), F.col("hit.validated").alias("validated"),
                  F.col("hit.v").alias("value")),
