@@ -13,29 +13,35 @@ def is_protected(category: Column) -> Column:
     return F.substring_index(category, ".", 1).isin(PROTECTED_ROOTS)
 
 
+#: Answers of one key are taken in stretches of this many microseconds, so that a busy key is spread over them.
+STRETCH_US = 6 * 3_600_000_000
+
+
 def rule_state(responses: DataFrame) -> DataFrame:
     """Per user, category and purpose: decisions made and the current run of ``continue``.
 
-    The trailing run needs no ordered pass over a key's answers: the last answer that was
-    not ``continue`` is a maximum, and the run is what came after it. Both steps combine
-    before the shuffle, so a key holding most of the rows is no bottleneck.
+    Each stretch of time of a key is reduced to a summary: how many answers, how many of them trail as ``continue``, and
+    whether all are. Summaries merge in order: a stretch that is ``continue`` throughout adds to the run behind it, any
+    other starts it anew. The answers move once, and a key holding most of them is spread over its stretches.
     """
     key = ["user_id", "category", "purpose"]
     flat = responses.select(
-        "user_id", "purpose", F.explode("categories").alias("category"), "action",
-        F.struct("us", "event_id", "seq").alias("at"),
+        "user_id", "purpose", F.explode("categories").alias("category"), "us", "event_id", "seq",
+        F.floor(F.col("us") / STRETCH_US).alias("stretch"), (F.col("action") == "continue").alias("goes_on"),
     )
-    last_other = flat.groupBy(*key).agg(
-        F.count("*").alias("total_decisions"),
-        F.max(F.when(F.col("action") != "continue", F.col("at"))).alias("last_other"),
+    inside = Window.partitionBy(*key, "stretch").orderBy("us", "event_id", "seq")
+    numbered = flat.select(*key, "stretch", "goes_on", F.row_number().over(inside).alias("no"))
+    summaries = numbered.groupBy(*key, "stretch").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.when(~F.coalesce("goes_on", F.lit(False)), F.col("no"))), F.lit(0)).alias("last_other")
     )
-    after = flat.join(last_other.select(*key, "last_other"), key).where(
-        F.col("last_other").isNull() | (F.col("at") > F.col("last_other"))
+    # a row per stretch of time with answers: few whatever the key
+    merged = summaries.groupBy(*key).agg(
+        F.sum("n").alias("total_decisions"), F.sort_array(F.collect_list(F.struct("stretch", "n", "last_other"))).alias("parts")
     )
-    run = after.groupBy(*key).agg(F.count("*").alias("run"))
-    return last_other.join(run, key, "left").select(
-        *key, "total_decisions", F.coalesce("run", F.lit(0)).alias("consecutive_continue")
+    run = F.aggregate(
+        "parts", F.lit(0).cast("long"), lambda run, x: F.when(x["last_other"] == 0, run + x["n"]).otherwise(x["n"] - x["last_other"])
     )
+    return merged.select(*key, "total_decisions", run.alias("consecutive_continue"))
 
 
 def active_rules(state: DataFrame) -> DataFrame:

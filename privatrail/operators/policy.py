@@ -65,9 +65,9 @@ def clause_claims(sents: DataFrame, key: str = "doc_id") -> DataFrame:
             scoped = scoped | F.contains(h, F.lit(word.lower()))
         conf = F.when(scoped, 0.96).otherwise(0.9)
         found.append(F.when(claim, F.struct(F.lit(rule.name).alias("clause"), conf.alias("confidence"))))
-    return sents.select(key, "pos", "sentence", "heading", F.explode(F.array_compact(F.array(*found))).alias("c")).select(
-        key, "pos", "c.clause", "c.confidence", "sentence", "heading"
-    )
+    # outer: a plain explode would have the optimizer test the array first, and so match every pattern twice
+    met = sents.select(key, "pos", "sentence", "heading", F.explode_outer(F.array_compact(F.array(*found))).alias("c"))
+    return met.where(F.col("c").isNotNull()).select(key, "pos", "c.clause", "c.confidence", "sentence", "heading")
 
 
 def best_clauses(claims: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -115,7 +115,8 @@ def _unnegated_sql(text: str, pattern: str) -> str:
 def stated_labels(sents: DataFrame, rules: dict[str, str], key: str = "doc_id") -> DataFrame:
     """(key, label): labels some sentence states without negating them."""
     tests = [f"CASE WHEN sentence RLIKE {quoted(FLAGS + p)} AND {_unnegated_sql('sentence', p)} THEN {quoted(n)} END" for n, p in rules.items()]
-    return sents.select(key, F.explode(F.expr(f"array_compact(array({', '.join(tests)}))")).alias("label")).distinct()
+    met = sents.select(key, F.explode_outer(F.expr(f"array_compact(array({', '.join(tests)}))")).alias("label"))
+    return met.where(F.col("label").isNotNull()).distinct()
 
 
 def used_purposes(sents: DataFrame, claims: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -155,7 +156,8 @@ def collected(sents: DataFrame, key: str = "doc_id") -> DataFrame:
         tests.append(
             f"CASE WHEN body RLIKE {quoted(FLAGS + pattern)} AND exists({match_spans_sql('body', pattern)}, m -> NOT ({bad})) THEN {quoted(name)} END"
         )
-    return cut.select(key, F.explode(F.expr(f"array_compact(array({', '.join(tests)}))")).alias("category")).distinct()
+    met = cut.select(key, F.explode_outer(F.expr(f"array_compact(array({', '.join(tests)}))")).alias("category"))
+    return met.where(F.col("category").isNotNull()).distinct()
 
 
 def rights_and_contacts(sents: DataFrame, key: str = "doc_id") -> DataFrame:
