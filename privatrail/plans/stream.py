@@ -36,31 +36,48 @@ def w02(spark, sf):
 _islands = lambda part, gap: f"SELECT *, sum(CASE WHEN us >= prev_end THEN 1 ELSE 0 END) OVER (PARTITION BY {part} ORDER BY us, event_id) AS island FROM (SELECT *, coalesce(max(us + {gap}) OVER (PARTITION BY {part} ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev_end FROM src) q"
 
 
+_islands = lambda part, gap: f"SELECT *, sum(CASE WHEN us >= prev_end THEN 1 ELSE 0 END) OVER (PARTITION BY {part} ORDER BY us, event_id) AS island FROM (SELECT *, coalesce(max(us + {gap}) OVER (PARTITION BY {part} ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev_end FROM src) q"
+
+# the level of an event's latest decision, and its first answer
+LATEST = """, lv AS (SELECT event_id, CASE max_by(outcome, seq) WHEN 'INTERVENE' THEN 2 WHEN 'INFORM' THEN 1 ELSE 0 END AS level FROM decision_log GROUP BY event_id),
+  an AS (SELECT event_id, min(us) AS answered_us FROM responses GROUP BY event_id)"""
+FOLDED = (
+    SIG + LATEST + """, so AS (SELECT sg.event_id, session_id, signature, us, coalesce(level, 0) AS level,
+      CASE WHEN coalesce(level, 0) > 0 AND answered_us < us + 3600000000 THEN answered_us END AS answer FROM sg LEFT JOIN lv USING (event_id) LEFT JOIN an USING (event_id)),
+    src AS (SELECT *, CASE WHEN level = 0 THEN 600000000 WHEN answer IS NOT NULL THEN greatest(600000000, answer - us) ELSE 3600000000 END AS gap FROM so WHERE signature IS NOT NULL),
+    isl AS (""" + _islands("session_id, signature", "gap") + ")"
+)
+
+
+def _noticed(spark, sf):
+    latest = model(spark, sf, "decision_log").groupBy("event_id").agg(F.max_by("outcome", "seq").alias("outcome"))
+    level = F.when(F.col("outcome") == "INTERVENE", 2).when(F.col("outcome") == "INFORM", 1).otherwise(0)
+    return _signed(spark, sf).join(latest, "event_id", "left").withColumn("level", level)
+
+
 @query(
     "w03_coalesced_notices",
-    with_model("pevents", body=SIG + f""", src AS (SELECT *, (k + 1) % 3 AS level, event_id % 3 <> 0 AS answered, CASE WHEN event_id % 3 <> 0 THEN 600000000 ELSE 3600000000 END AS gap FROM sg WHERE signature IS NOT NULL),
+    with_model("pevents", "decision_log", "responses", body=SIG + LATEST + f""", src AS (SELECT sg.event_id, session_id, signature, us, coalesce(level, 0) AS level, answered_us IS NOT NULL AS answered,
+      CASE WHEN answered_us IS NOT NULL THEN 600000000 ELSE 3600000000 END AS gap FROM sg LEFT JOIN lv USING (event_id) LEFT JOIN an USING (event_id) WHERE signature IS NOT NULL),
     isl AS ({_islands("session_id, signature", "gap")})
     SELECT session_id, signature, min_by(event_id, (us, event_id)) AS notice_id, count(*) AS events, max(level) AS level, bool_or(answered) AS answered, min(us) AS first_us, max(us) AS last_us FROM isl GROUP BY session_id, signature, island"""),
 )
 def w03(spark, sf):
-    ev = _signed(spark, sf).withColumn("level", (F.col("k") + 1) % 3).withColumn("answered", F.col("event_id") % 3 != 0)
+    answered = model(spark, sf, "responses").select("event_id").distinct().withColumn("hit", F.lit(True))
+    ev = _noticed(spark, sf).join(answered, "event_id", "left").withColumn("answered", F.coalesce("hit", F.lit(False)))
     return N.coalesced(N.with_event_time(ev))
 
 
-def _noticed(spark, sf):
-    return _signed(spark, sf).withColumn("level", ((F.col("k") + 1) % 3).cast("int")).withColumn("answered", F.col("event_id") % 3 != 0)
-
-
 @query(
     "w03_event_notices",
-    with_model("pevents", body=SIG + f""", src AS (SELECT *, (k + 1) % 3 AS level, event_id % 3 <> 0 AS answered, CASE WHEN event_id % 3 <> 0 THEN 600000000 ELSE 3600000000 END AS gap FROM sg WHERE signature IS NOT NULL),
-    isl AS ({_islands("session_id, signature", "gap")})
-    SELECT a.event_id, min_by(b.event_id, (b.us, b.event_id)) AS notice_id, CAST(max(b.level) AS INT) AS level, bool_or(b.answered AND b.event_id <> a.event_id) AS ignored
+    with_model("pevents", "decision_log", "responses", body=FOLDED + """
+    SELECT a.event_id, min_by(b.event_id, (b.us, b.event_id)) AS notice_id, CAST(max(b.level) AS INT) AS level, coalesce(bool_or(b.answer < a.us AND b.event_id <> a.event_id), FALSE) AS ignored
     FROM isl a JOIN isl b ON a.session_id = b.session_id AND a.signature = b.signature AND a.island = b.island AND (b.us, b.event_id) <= (a.us, a.event_id) GROUP BY a.event_id
-    UNION ALL SELECT event_id, event_id, CAST((k + 1) % 3 AS INT), FALSE FROM sg WHERE signature IS NULL"""),
+    UNION ALL SELECT event_id, event_id, CAST(level AS INT), FALSE FROM so WHERE signature IS NULL"""),
 )
 def w03_events(spark, sf):
-    return N.fold_events(_noticed(spark, sf))
+    """What ``notice_stream`` says of every event."""
+    return N.fold_events(_noticed(spark, sf), model(spark, sf, "responses"))
 
 
 WASOF = 1704067200000000 + 20 * 86_400_000_000
@@ -68,23 +85,33 @@ WASOF = 1704067200000000 + 20 * 86_400_000_000
 
 @query(
     "w04_notice_expiry",
-    with_model("pevents", body=SIG + f""", src AS (SELECT *, event_id % 3 <> 0 AS answered, CASE WHEN event_id % 3 <> 0 THEN 600000000 ELSE 3600000000 END AS gap FROM sg WHERE signature IS NOT NULL),
-    isl AS ({_islands("session_id, signature", "gap")}), nt AS (SELECT min_by(event_id, (us, event_id)) AS notice_id, min(us) AS f, max(us) + CASE WHEN bool_or(answered) THEN 600000000 ELSE 3600000000 END AS closes_us FROM isl GROUP BY session_id, signature, island)
+    with_model("pevents", "decision_log", "responses", body=FOLDED + f""", nt AS (SELECT min_by(event_id, (us, event_id)) AS notice_id, min(us) AS f, max(us + gap) AS closes_us FROM isl GROUP BY session_id, signature, island)
     SELECT notice_id, closes_us, f <= {WASOF} AND closes_us > {WASOF} AS is_open FROM nt"""),
 )
 def w04(spark, sf):
-    return N.expiry(N.coalesced(N.with_event_time(_noticed(spark, sf))), WASOF)
+    return N.expiry(N.closed_notices(_noticed(spark, sf), model(spark, sf, "responses")), WASOF)
+
+
+DEFAULTS = "CASE event_type " + " ".join(f"WHEN '{c}' THEN '{d}'" for c, (_, d) in ACTIONS.items()) + " END"
+HELD = "(SELECT event_id FROM decision_log GROUP BY event_id HAVING max_by(outcome, seq) = 'INTERVENE')"
+
+
+def held_events(spark, sf):
+    """Events whose latest decision interrupts, with the default they take and whether a page waits for the answer."""
+    latest = model(spark, sf, "decision_log").groupBy("event_id").agg(F.max_by("outcome", "seq").alias("outcome")).where("outcome = 'INTERVENE'")
+    default = F.create_map(*[F.lit(x) for c, (_, d) in ACTIONS.items() for x in (c, d)])
+    held = model(spark, sf, "pevents").join(latest.select("event_id"), "event_id", "left_semi")
+    return held.withColumn("default_action", F.try_element_at(default, F.col("event_type"))).withColumn("waits", F.col("requester_kind") == "website")
 
 
 @query(
     "w05_timed_out_defaults",
-    with_model("pevents", "responses", body="""SELECT e.event_id, CASE event_type """ + " ".join(f"WHEN '{c}' THEN '{d}'" for c, (_, d) in ACTIONS.items()) + """ END AS default_action, e.us + 60000000 AS taken_us
-    FROM pevents e LEFT JOIN (SELECT event_id, min(us) AS a FROM responses GROUP BY event_id) r USING (event_id) WHERE requester_kind = 'website' AND k % 3 = 1 AND (a IS NULL OR a - e.us > 60000000)"""),
+    with_model("pevents", "responses", "decision_log", body=f"""SELECT e.event_id, {DEFAULTS} AS default_action, e.us + 60000000 AS taken_us
+    FROM pevents e LEFT JOIN (SELECT event_id, min(us) AS a FROM responses GROUP BY event_id) r USING (event_id)
+    WHERE requester_kind = 'website' AND event_id IN {HELD} AND (a IS NULL OR a - e.us > 60000000)"""),
 )
 def w05(spark, sf):
-    default = F.create_map(*[F.lit(x) for c, (_, d) in ACTIONS.items() for x in (c, d)])
-    held = model(spark, sf, "pevents").where("requester_kind = 'website' AND k % 3 = 1").withColumn("default_action", F.try_element_at(default, F.col("event_type")))
-    return N.timed_out(held, model(spark, sf, "responses"))
+    return N.timed_out(held_events(spark, sf).where("waits"), model(spark, sf, "responses"))
 
 
 @query(
@@ -96,17 +123,31 @@ def w07(spark, sf):
     return N.sessions(N.with_event_time(model(spark, sf, "pevents")), "30 minutes")
 
 
+ENDED = f"""WITH src AS (SELECT * FROM pevents), isl AS ({_islands("session_id", "1800000000")}),
+  en AS (SELECT session_id, island, max(us) + 1800000000 AS over_us FROM isl GROUP BY ALL),
+  hd AS (SELECT i.event_id, i.session_id, i.us, {DEFAULTS} AS default_action, over_us, requester_kind = 'website' AS waits, a
+    FROM isl i JOIN en USING (session_id, island) LEFT JOIN (SELECT event_id, min(us) AS a FROM responses GROUP BY event_id) r USING (event_id) WHERE event_id IN {HELD})
+"""
+
+
 @query(
     "w07_session_end",
-    with_model("pevents", "responses", body=f"""WITH src AS (SELECT * FROM pevents), isl AS ({_islands("session_id", "1800000000")}), en AS (SELECT session_id, island, max(us) + 1800000000 AS over_us FROM isl GROUP BY ALL)
-    SELECT i.event_id, 'aborted' AS status, CASE event_type """ + " ".join(f"WHEN '{c}' THEN '{d}'" for c, (_, d) in ACTIONS.items()) + """ END AS default_action, over_us AS taken_us
-    FROM isl i JOIN en USING (session_id, island) LEFT JOIN (SELECT event_id, min(us) AS a FROM responses GROUP BY event_id) r USING (event_id) WHERE k % 3 = 1 AND (a IS NULL OR a > over_us)"""),
+    with_model("pevents", "responses", "decision_log", body=ENDED + "SELECT event_id, 'aborted' AS status, default_action, over_us AS taken_us FROM hd WHERE a IS NULL OR a > over_us"),
 )
 def w07_end(spark, sf):
-    default = F.create_map(*[F.lit(x) for c, (_, d) in ACTIONS.items() for x in (c, d)])
-    ev = model(spark, sf, "pevents")
-    held = ev.where("k % 3 = 1").withColumn("default_action", F.try_element_at(default, F.col("event_type")))
-    return N.ended(held, N.sessions(N.with_event_time(ev), "30 minutes"), model(spark, sf, "responses"), 1_800_000_000)
+    live = N.sessions(N.with_event_time(model(spark, sf, "pevents")), "30 minutes")
+    return N.ended(held_events(spark, sf), live, model(spark, sf, "responses"), 1_800_000_000)
+
+
+@query(
+    "w05_w07_settled_events",
+    with_model("pevents", "responses", "decision_log", body=ENDED + """, du AS (SELECT *, least(CASE WHEN waits THEN us + 60000000 END, over_us) AS taken_us FROM hd)
+    SELECT session_id, event_id, CASE WHEN taken_us = over_us THEN 'aborted' ELSE 'defaulted' END AS status, default_action, taken_us FROM du WHERE a IS NULL OR a > taken_us"""),
+)
+def w07_settled(spark, sf):
+    """What ``session_stream`` says of every held event that nobody answers."""
+    live = N.sessions(N.with_event_time(model(spark, sf, "pevents")), "30 minutes")
+    return N.settled(held_events(spark, sf), live, model(spark, sf, "responses"), 1_800_000_000)
 
 
 @query(

@@ -1,26 +1,16 @@
 """Decisions on a stream: the level rules by stream-static joins, and the 24-hour rate limit with state.
 
-Each function has a batch twin that states what the stream must give: ``decide`` for the decisions, and
-``operators.decisions.rate_limited`` for the rate limit.
+Each has a batch twin that states what the stream must give: ``decide`` itself for the decisions, and
+``operators.decisions.rate_limited`` for the rate limit, whose stream is ``stateful.rate_limited_stream``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from privatrail.dims.decisions import RATE_LIMIT_HOURS
 from privatrail.operators import decisions as D
 
-HOUR_US = 3_600_000_000
-LIMITED = "event_id long, is_limited boolean"
-#: One remembered observation: when it came, when it was first answered, and what it showed.
-_STATE = "seen string"
-
 
 def decide(
     events: DataFrame, necessity: DataFrame, profiles: DataFrame, users: DataFrame, requesters: DataFrame, limited: DataFrame | None = None
@@ -34,7 +24,7 @@ def decide(
 
 
 def observations(judged: DataFrame, responses: DataFrame) -> DataFrame:
-    """One ordered log of what the rate limit looks at: events (side 0) and first answers (side 1), by user."""
+    """One log of what the rate limit looks at: events (side 0) and answers (side 1), by user and kind of observation."""
     signals = F.when(F.col("event_type") == "consent_banner", F.col("dark_patterns")).when(F.col("event_type") == "tracking", F.col("signals"))
     signals = F.coalesce(signals.when(F.col("event_type") == "policy_document", F.col("clauses")), F.array().cast("array<string>"))
     like = F.concat_ws("\u001f", "requester_key", "event_type", F.array_join(F.sort_array("categories"), ","))
@@ -45,40 +35,7 @@ def observations(judged: DataFrame, responses: DataFrame) -> DataFrame:
     )
     none = F.lit(None)
     answered = responses.select(
-        "user_id", "us", F.lit(1).alias("side"), "event_id", none.cast("string").alias("like"), none.cast("array<string>").alias("sig"),
+        "user_id", "us", F.lit(1).alias("side"), "event_id", like.alias("like"), none.cast("array<string>").alias("sig"),
         none.cast("array<string>").alias("flags"), none.cast("double").alias("conf"), none.cast("boolean").alias("weighs"), none.cast("boolean").alias("high_impact"),
     )
     return shown.unionByName(answered)
-
-
-def rate_limited_stream(log: DataFrame, hours: int = RATE_LIMIT_HOURS) -> DataFrame:
-    """(event_id, is_limited) for every event of a stream of ``observations``. The state of a user is what the user saw
-    in the last ``hours``; older entries go as time moves on, so it is bounded by a day of one user's events. A
-    micro-batch is taken in order of time, answers after events of the same time."""
-    import json
-
-    window = hours * HOUR_US
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen: dict[int, dict] = {int(k): v for k, v in json.loads(state.get[0]).items()} if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values(["us", "side", "event_id"])
-        out = []
-        for r in rows.itertuples():
-            us, event_id = int(r.us), int(r.event_id)
-            if r.side == 1:
-                if event_id in seen and seen[event_id]["answered"] is None:
-                    seen[event_id]["answered"] = us
-                continue
-            sig, flags = set(r.sig), set(r.flags)
-            hit = not r.high_impact and any(
-                o["like"] == r.like and o["answered"] is not None and o["answered"] < us and us - o["us"] < window
-                and sig <= set(o["sig"]) and flags <= set(o["flags"]) and (not r.weighs or r.conf - o["conf"] < 0.2 - 1e-9)
-                for o in seen.values()
-            )
-            out.append((event_id, bool(hit)))
-            seen[event_id] = {"us": us, "answered": None, "like": r.like, "sig": list(r.sig), "flags": list(r.flags), "conf": float(r.conf)}
-        latest = int(rows["us"].max())
-        state.update((json.dumps({k: v for k, v in seen.items() if latest - v["us"] < window}),))
-        yield pd.DataFrame(out, columns=["event_id", "is_limited"])
-
-    return log.groupBy("user_id").applyInPandasWithState(step, LIMITED, _STATE, "append", GroupStateTimeout.NoTimeout)

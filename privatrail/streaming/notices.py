@@ -5,12 +5,8 @@ The functions run on finished logs too, so a batch run states what a stream must
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from privatrail.dims.decisions import DEFAULT_AFTER_SECONDS, RESOLVED_SECONDS, UNANSWERED_SECONDS
 
@@ -47,56 +43,81 @@ def coalesced(events: DataFrame, watermark: str | None = None) -> DataFrame:
     ).drop("w")
 
 
-def fold_events(events: DataFrame) -> DataFrame:
-    """What each event gets: the notice it belongs to, the notice's level so far, and whether it is ignored because the
-    notice was answered before. events: session_id, signature, us, event_id, level, answered. Batch twin of
-    ``fold_events_stream``; unsigned events are notices of their own."""
-    gap = F.when(F.col("answered"), RESOLVED_SECONDS).otherwise(UNANSWERED_SECONDS).cast("long") * 1_000_000
+def notice_log(events: DataFrame, responses: DataFrame) -> DataFrame:
+    """One log of signed events and of the first answers to them, by (session, signature): what ``notice_stream`` reads."""
+    signed = events.where("signature IS NOT NULL").select("session_id", "signature", "us", "event_id", F.col("level").cast("int").alias("level"))
+    first = responses.groupBy("event_id").agg(F.min("us").alias("answered_us"))
+    answers = signed.drop("us", "level").join(first, "event_id").select("session_id", "signature", F.col("answered_us").alias("us"), "event_id", F.lit(None).cast("int").alias("level"))
+    return signed.withColumn("is_event", F.lit(True)).unionByName(answers.withColumn("is_event", F.lit(False)))
+
+
+def _islands(events: DataFrame, responses: DataFrame) -> DataFrame:
+    """Signed events with ``island``, the notice of their (session, signature) that they belong to. A warning keeps its
+    notice open for an hour; once answered, until ten minutes after it came or until the answer, whichever is later. An
+    event that warns of nothing keeps it open for ten minutes."""
+    first = responses.groupBy("event_id").agg(F.min("us").alias("answered_us"))
+    hour, short = UNANSWERED_SECONDS * 1_000_000, RESOLVED_SECONDS * 1_000_000
+    in_time = (F.col("level") > 0) & (F.col("answered_us") < F.col("us") + hour)
+    open_ = events.where("signature IS NOT NULL").select("session_id", "signature", "us", "event_id", F.col("level").cast("int").alias("level")).join(first, "event_id", "left")
+    open_ = open_.withColumn("answer", F.when(in_time, F.col("answered_us"))).withColumn(
+        "until", F.when(F.col("level") <= 0, F.col("us") + short).when(F.col("answer").isNotNull(), F.greatest(F.col("us") + short, "answer")).otherwise(F.col("us") + hour)
+    )
     own = Window.partitionBy("session_id", "signature").orderBy("us", "event_id")
-    open_ = events.where("signature IS NOT NULL").withColumn("until", F.col("us") + gap)
-    earlier = F.coalesce(F.max("until").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    islands = open_.withColumn("fresh", (F.col("us") >= earlier).cast("int")).withColumn("island", F.sum("fresh").over(own))
+    earlier = F.max("until").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    return open_.withColumn("fresh", (F.col("us") >= F.coalesce(earlier, F.col("us"))).cast("int")).withColumn("island", F.sum("fresh").over(own))
+
+
+def fold_events(events: DataFrame, responses: DataFrame) -> DataFrame:
+    """What each event gets: the notice it belongs to, the notice's level so far, and whether it is ignored because the
+    notice was answered before. events: session_id, signature, us, event_id, level. Batch twin of
+    ``stateful.notice_stream``; unsigned events are notices of their own."""
     notice = Window.partitionBy("session_id", "signature", "island").orderBy("us", "event_id")
-    before = notice.rowsBetween(Window.unboundedPreceding, -1)
-    folded = islands.select(
+    answered = F.min("answer").over(notice.rowsBetween(Window.unboundedPreceding, -1))
+    folded = _islands(events, responses).select(
         "event_id",
         F.first("event_id").over(notice).alias("notice_id"),
         F.max("level").over(notice).alias("level"),
-        F.coalesce(F.max(F.col("answered").cast("int")).over(before) == 1, F.lit(False)).alias("ignored"),
+        F.coalesce(answered < F.col("us"), F.lit(False)).alias("ignored"),
     )
-    alone = events.where("signature IS NULL").select("event_id", F.col("event_id").alias("notice_id"), "level", F.lit(False).alias("ignored"))
+    alone = events.where("signature IS NULL").select("event_id", F.col("event_id").alias("notice_id"), F.col("level").cast("int").alias("level"), F.lit(False).alias("ignored"))
     return folded.unionByName(alone)
 
 
-def fold_events_stream(events: DataFrame) -> DataFrame:
-    """``fold_events`` on a stream: the state of a (session, signature) is its open notice. Micro-batches are taken in
-    order of time."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        notice, level, until, answered = state.get if state.exists else (None, 0, 0, False)
-        out = []
-        for r in pd.concat(list(frames)).sort_values(["us", "event_id"]).itertuples():
-            if notice is None or r.us >= until:
-                notice, level, until, answered = int(r.event_id), 0, 0, False
-            level = max(level, int(r.level))
-            out.append((int(r.event_id), notice, level, answered))
-            answered = answered or bool(r.answered)
-            until = max(until, int(r.us) + (RESOLVED_SECONDS if r.answered else UNANSWERED_SECONDS) * 1_000_000)
-        state.update((notice, level, until, answered))
-        yield pd.DataFrame(out, columns=["event_id", "notice_id", "level", "ignored"])
-
-    signed = events.where("signature IS NOT NULL").select("session_id", "signature", "us", "event_id", "level", "answered")
-    return signed.groupBy("session_id", "signature").applyInPandasWithState(
-        step, "event_id long, notice_id long, level int, ignored boolean", "notice long, level int, until long, answered boolean", "append", GroupStateTimeout.NoTimeout
-    )
+def closed_notices(events: DataFrame, responses: DataFrame) -> DataFrame:
+    """Every notice with its highest level, whether it was answered, its events, and when it opens and closes."""
+    return _islands(events, responses).groupBy("session_id", "signature", "island").agg(
+        F.min_by("event_id", F.struct("us", "event_id")).alias("notice_id"), F.max("level").alias("level"), F.max("answer").isNotNull().alias("answered"),
+        F.count(F.lit(1)).alias("events"), F.min("us").alias("first_us"), F.max("until").alias("closes_us"),
+    ).drop("island")
 
 
 def expiry(notices: DataFrame, asof_us: int) -> DataFrame:
-    """When each notice closes, and whether it is open at a time: an hour after its last event, ten minutes once
-    answered."""
-    seconds = F.when(F.col("answered"), RESOLVED_SECONDS).otherwise(UNANSWERED_SECONDS).cast("long")
-    closes = F.col("last_us") + seconds * 1_000_000
-    return notices.select("notice_id", closes.alias("closes_us"), ((F.col("first_us") <= asof_us) & (closes > asof_us)).alias("is_open"))
+    """When each notice closes, and whether it is open at a time."""
+    return notices.select("notice_id", "closes_us", ((F.col("first_us") <= asof_us) & (F.col("closes_us") > asof_us)).alias("is_open"))
+
+
+def session_log(events: DataFrame, pending: DataFrame, responses: DataFrame) -> DataFrame:
+    """One log of a session's events, those that are held with their default, and the answers to these: what
+    ``session_stream`` reads. pending: event_id, waits (a page waits for the answer), default_action."""
+    held = pending.select("event_id", "waits", "default_action")
+    beats = events.select("session_id", "us", "event_id").join(held, "event_id", "left").withColumn("is_beat", F.lit(True))
+    owner = beats.where("default_action IS NOT NULL").select("event_id", "session_id")
+    answers = responses.select("event_id", "us").join(owner, "event_id")
+    none = answers.withColumn("is_beat", F.lit(False)).withColumn("waits", F.lit(None).cast("boolean")).withColumn("default_action", F.lit(None).cast("string"))
+    return beats.unionByName(none)
+
+
+def settled(pending: DataFrame, live: DataFrame, responses: DataFrame, gap_us: int, seconds: int = DEFAULT_AFTER_SECONDS) -> DataFrame:
+    """What becomes of held events that nobody answers: the default is taken for a waiting page in time, or the event is
+    aborted when its session ends before. Batch twin of ``session_stream``. pending: session_id, event_id, us, waits,
+    default_action; live: what ``sessions`` gives."""
+    first = responses.groupBy("event_id").agg(F.min("us").alias("answered_us"))
+    spans = live.select("session_id", "opened_us", "last_us", (F.col("last_us") + gap_us).alias("over_us"))
+    met = pending.join(spans, "session_id").where(F.col("us").between(F.col("opened_us"), F.col("last_us"))).join(first, "event_id", "left")
+    patience = F.when(F.col("waits"), F.col("us") + seconds * 1_000_000)
+    met = met.withColumn("taken_us", F.least(patience, "over_us")).withColumn("status", F.when(F.col("taken_us") == F.col("over_us"), "aborted").otherwise("defaulted"))
+    late = F.col("answered_us").isNull() | (F.col("answered_us") > F.col("taken_us"))
+    return met.where(late).select("session_id", "event_id", "status", "default_action", "taken_us")
 
 
 def ended(pending: DataFrame, live: DataFrame, responses: DataFrame, gap_us: int) -> DataFrame:
@@ -136,11 +157,12 @@ def split_late(results: DataFrame, limit_us: int) -> tuple[DataFrame, DataFrame]
     return results.where(~late), results.where(late).withColumn("status", F.lit("aborted"))
 
 
-def write_with_late(batch: DataFrame, limit_us: int, path: str, late_path: str) -> None:
-    """For ``foreachBatch``: both sides of the split are appended."""
+def write_with_late(batch: DataFrame, batch_id: int, limit_us: int, path: str, late_path: str) -> None:
+    """For ``foreachBatch``: both sides of the split go to the folder of their batch, which a repeated batch replaces, so
+    that no row is there twice."""
     kept, late = split_late(batch, limit_us)
-    kept.write.mode("append").parquet(path)
-    late.write.mode("append").parquet(late_path)
+    kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    late.write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
 
 
 def once_per_digest(documents: DataFrame, watermark: str = "30 days") -> DataFrame:

@@ -126,33 +126,6 @@ def _streamed(spark, tmp_path, parts, build, key):
     return {r[key]: tuple(r) for r in rows}
 
 
-def test_event_notices_stream_equals_batch(spark, tmp_path):
-    second = 1_000_000
-    rows = [(1, 10 + 100 * i, i, ("a", "b", None)[i % 3], (i * 7) % 3, i % 4 == 1) for i in range(40)] + [(2, 5000 * i, 100 + i, "a", i % 3, i == 2) for i in range(6)]
-    df = spark.createDataFrame([(s, us * second, e, g, lv, a) for s, us, e, g, lv, a in rows], "session_id long, us long, event_id long, signature string, level int, answered boolean")
-    want = {r.event_id: (r.event_id, r.notice_id, r.level, r.ignored) for r in N.fold_events(df).collect() if r.event_id}
-    got = _streamed(spark, tmp_path, [df.where("us < 1500000000"), df.where("us >= 1500000000")], N.fold_events_stream, "event_id")
-    signed = {r.event_id for r in df.where("signature IS NOT NULL").collect()}
-    assert got == {k: v for k, v in want.items() if k in signed} | ({} if 0 not in signed else {0: got[0]})
-    assert any(v[3] for v in got.values()) and not all(v[3] for v in got.values())
-
-
-def test_rate_limit_stream_equals_batch(spark, sf, tmp_path):
-    from privatrail.operators import decisions as D
-    from privatrail.plans.decisions import judged
-    from privatrail.sources.model import model
-    from privatrail.streaming import decisions as DS
-
-    j = judged(spark, sf).select("event_id", "user_id", "us", "event_type", "requester_key", "categories", "dark_patterns", "signals", "clauses", "confidence", "red_flags", "high_impact").persist()
-    answers = model(spark, sf, "responses").select("event_id", "user_id", "us", "seq", "action")
-    want = {r.event_id for r in D.rate_limited(j, answers).collect()}
-    log = DS.observations(j, answers)
-    middle = log.agg({"us": "avg"}).first()[0]
-    got = _streamed(spark, tmp_path, [log.where(f"us < {middle}"), log.where(f"us >= {middle}")], DS.rate_limited_stream, "event_id")
-    assert {k for k, v in got.items() if v[1]} == want and want
-    j.unpersist()
-
-
 def test_decision_stream_equals_batch(spark, sf, tmp_path):
     from privatrail.operators import decisions as D
     from privatrail.operators import learning as G
