@@ -60,7 +60,7 @@ def add_columns(
     """Map-only: `work()` makes, once a task, a function from the values of column `source` to one list for each of
     `fields` (name -> SQL type). The columns `keep` pass through; a field of the same name takes their place."""
     keep = [c for c in keep if c not in fields]
-    types = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    types = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64())}
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` {t}" for c, t in fields.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

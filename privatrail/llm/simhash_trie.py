@@ -31,25 +31,34 @@ UNIT = 1024
 SEED = 42
 
 
-def simhash(text: str | None, size: int) -> int:
-    """The fingerprint as an unsigned integer."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The hash of every shingle, repeats included; none for a text without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
     ends = np.cumsum(np.array(list(map(len, words)), np.int64) + 1)
     line = b" ".join(words)
     starts = [0, *ends[: len(words) - size].tolist()]
     stops = (ends[size - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of some hashes, as an unsigned integer: a bit is set if it is in over half of them."""
     counts = np.zeros(BITS, np.int64)
     for a in range(0, len(hashes), 1 << 16):  # long texts in blocks
         counts += np.unpackbits(hashes[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
+def simhash(text: str | None, size: int) -> int:
+    """The fingerprint as an unsigned integer."""
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 3, out: str = "fp") -> DataFrame:
     """The columns `keep` and `out`: the 64 bits as a long (two's complement)."""
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from privatrail.llm import chunk_fingerprints, cover_tree, host_suffix, language, line_runs, merge_replay, packing, prefix_free, simhash_trie, splitters
+from privatrail.llm import chunk_fingerprints, cover_tree, host_suffix, language, line_runs, merge_replay, near_texts, packing, prefix_free, simhash_trie, splitters
 from privatrail.llm.components import components
 from privatrail.llm.queries import QUERIES
 
@@ -390,6 +390,50 @@ def test_crossover_keeps_every_item_once():
         assert all(f == 1000 - sum(sizes[i] for i in items) >= 0 for items, f in zip(a.held, a.free, strict=True))
 
 
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_near_texts_by_similarity(spark, sf, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(40):
+        words = rng.choices(vocabulary, k=rng.choice([3, 6, 30, 120, 300]))
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(rng.choice([0, 1, 3])):  # edits that leave the similarity on either side of the limit
+            other = list(words)
+            for _ in range(rng.choice([0, 1, 2, 4])):
+                other[rng.randrange(len(other))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(other).upper()))
+    walk = rng.choices(vocabulary, k=400)
+    for i in range(60):  # each like the next, not like the last: one group whose ends differ
+        rows.append((len(rows), " ".join(walk)))
+        walk[i * 6] = f"new{i}"
+    rows += [(9000, ""), (9001, None), (9002, " \n ")]
+    df = frame(spark, rows).withColumn("key", F.col("doc_id"))
+    got = {r.key: r.group for r in near_texts.groups(df.select("key", "text"), ["key"]).collect()}
+    sets = {d: five_words(t) for d, t in rows}
+    label = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in label:
+            least = min(label[b] for b in label if alike(sets[a], sets[b]))
+            changed, label[a] = changed or least < label[a], least
+    want, have = defaultdict(set), defaultdict(set)
+    for d in sets:
+        want[label[d]].add(d)
+        have[got[d]].add(d)
+    assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values())) and max(map(len, want.values())) >= 60
+    assert near_texts.groups(empty(spark).select("doc_id", "text"), ["doc_id"]).count() == 0
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     extra = spark.createDataFrame([(9001, None, None, "s", None), (9002, "123 456", None, "s", 7), (9003, docs.first().text, None, "s", 1)], SCHEMA)
@@ -409,13 +453,13 @@ def test_pipeline_stages(spark, sf):
     before, after = kept["lines"]
     assert sorted((d, t) for d, t in after.items()) == [(d, t) for d, t, _, _ in lines_brute(before)]
     before, after = kept["near_duplicates"]
-    prints = {d: simhash_brute(t) for d, t in before}
-    label = {d: d for d in prints}
+    sets = {d: five_words(t) for d, t in before}
+    label = {d: d for d in sets}
     changed = True
     while changed:
         changed = False
         for a in label:
-            least = min(label[b] for b in label if (prints[a] ^ prints[b]).bit_count() <= 2)
+            least = min(label[b] for b in label if alike(sets[a], sets[b]))
             changed, label[a] = changed or least < label[a], least
     assert set(after) == set(label.values())
     before, after = kept["passages"]
