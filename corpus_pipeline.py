@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privatrail.llm import language, line_runs, packing, prefix_free, simhash_trie
+from privatrail.llm import language, line_runs, near_texts, packing, prefix_free
 from privatrail.llm.common import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,12 +36,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row stays: that of the smallest id, and of rows that repeat this id the one of
-    the least fingerprint. Rows go by their group, not by their id: other texts of a null or repeated id stay. Empty
-    documents have one fingerprint and so are a group."""
+    """Of each group of near duplicates, a similarity of 0.8 or more on five-word shingles, one row stays: that of the
+    smallest id, and of rows that repeat this id one of them. Rows go by their group, not by their id: other texts of a
+    null or repeated id stay. Empty documents are a group."""
     # a null id is before all others; one shuffle of the texts serves the join and the rows that repeat whole
     docs = docs.select(*COLUMNS).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("row", F.xxhash64(*COLUMNS))
-    kept = simhash_trie.representatives(docs, "key", "row")
+    kept = near_texts.representatives(docs, "key", "row")
     return docs.join(kept, ["key", "row"], "left_semi").dropDuplicates(["key", "row"]).select(*COLUMNS)
 
 
