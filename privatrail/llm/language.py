@@ -24,6 +24,8 @@ from privatrail.llm.common import add_columns
 
 DIMENSIONS = 4096
 TRAIN_ROWS = 1600
+#: Documents of each language that the sample has room for at least.
+LEAST = 4
 UNKNOWN = "und"
 #: Code points looked at together, which bounds a task's memory for very long texts.
 BLOCK = 1 << 20
@@ -136,16 +138,20 @@ def held_out(key: Column) -> Column:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS) -> Model | None:
-    """A model of a bounded sample of labelled documents: about `rows` documents, as many of each language."""
+    """A model of a bounded sample of labelled documents: about `rows` documents, as many of each language, LEAST or more
+    of every one. More languages than that allows are an error, not left out."""
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(rows // 20).collect()}
+    sizes = labelled.groupBy(F.col(lang).alias("__lang")).count().limit(rows // LEAST + 1).collect()
     if not sizes:
         return None
+    if len(sizes) > rows // LEAST:
+        raise ValueError(f"more than {rows // LEAST} languages: a sample of {rows} documents is too small for them")
     each = rows // len(sizes)
-    chance = F.lit(0)
-    for name, n in sizes.items():
-        chance = F.when(F.col(lang) == name, F.lit(int(min(1.0, each / n) * (1 << 30)))).otherwise(chance)
-    drawn = labelled.where(F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(1 << 30)) < chance)
+    # a language of few documents is taken whole; at most rows / LEAST rows to broadcast
+    chances = [(r["__lang"], int(min(1.0, each * (2 if each < 20 else 1) / r["count"]) * (1 << 30))) for r in sizes]
+    chances = labelled.sparkSession.createDataFrame(chances, "__lang string, __chance long")
+    met = labelled.join(F.broadcast(chances), F.col(lang) == F.col("__lang"))
+    drawn = met.where(F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(1 << 30)) < F.col("__chance"))
     split = F.filter(F.split(text, "\n"), lambda s: F.char_length(s) > 0)
     pick = F.when(F.size(split) > 0, F.get(split, F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.size(split)).cast("int")))
     samples = drawn.select(F.col(lang).alias("lang"), F.explode(F.array(F.col(text), pick)).alias("sample"))
