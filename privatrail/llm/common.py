@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a temporary one only where the session names none (tests)."""
+    """The folder named by `spark.checkpoint.dir`; a temporary one only in local mode, where every task can read it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-llm-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -88,8 +88,9 @@ def dedup_lines(
     """docs with `kept_text`, `n_lines` (before) and `n_dropped`: lines whose key is in `min_docs` documents or more
     stay only in the largest id that holds it."""
     rest = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    # other columns pass under names of their own, so that none meets a name used here
     docs = docs.select(
-        *[F.col(f"`{c}`") for c in rest],
+        *[F.col(f"`{c}`").alias(f"x_{c}") for c in rest],
         F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("__id"),
         F.coalesce(F.col(text), F.lit("")).alias("__text"),
     ).withColumn("__row", F.xxhash64("__text"))
@@ -108,7 +109,7 @@ def dedup_lines(
     )
     joined = docs.join(dropped, ["__id", "__row"], "left").withColumn("__split", split)
     return joined.select(
-        *[F.col(f"`{c}`") for c in rest],
+        *[F.col(f"`x_{c}`").alias(c) for c in rest],
         kept_text.alias("kept_text"),
         F.size("__split").cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),

@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -237,7 +238,7 @@ def test_host_repetition_marks_boilerplate(spark):
     rows += [(90, "http://b.example/x", f"<p>{claim}</p>"), (91, None, None), (92, "", ""), (93, "http://a.example/z", "a < b<!-- never <p>ends"), (0, "http://a.example/0", rows[0][2])]
     rows += [(94, "http://a.example/m", f"<nav>menu</nav><main><p>{claim}</p></main><p>outside</p><script>if (a) '</p>'</script>")]
     got = sorted(((r.page_id, r.text) for r in host_suffix.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()))
-    want = [(i, f"Story {i} tells of word{i} & thing{i}") for i in (0, *range(6))] + [(90, claim), (91, ""), (92, ""), (93, "a < b"), (94, claim)]
+    want = [(i, f"Story {i} tells of word{i} & thing{i}") for i in (0, *range(6))] + [(90, claim), (91, ""), (92, ""), (93, "a < b"), (94, f"{claim}\n\noutside")]
     assert got == sorted(want)
     assert host_suffix.repeated([[]]) == [[]]
     page = "<article><p class='ad'>Buy<p>One<br>line<ul><li class=promo>x<li>Two</ul><aside>no</aside>Three</article>"
@@ -492,3 +493,103 @@ def test_blocks_beside_a_container_are_judged_by_repetition(spark):
     rows = [(i, f"http://a.example/{i}", f"<div>{story.format(i)}</div><article><p>Teaser {i}</p></article><div>{claim}</div>") for i in range(5)]
     got = {r.page_id: r.text for r in host_suffix.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"{story.format(i)}\n\nTeaser {i}" for i in range(5)}
+
+
+@pytest.mark.parametrize("page", ["<a " * 60_000, '<a b="' * 60_000, "<" + "a" * 300_000, "<div>" * 60_000 + "</p>" * 60_000, '<a "> "' * 60_000, "<script>" + "</script " * 60_000, "<!" * 100_000])
+def test_broken_markup_is_read_in_linear_time(page):
+    begin = time.perf_counter()
+    host_suffix.blocks(page)
+    assert time.perf_counter() - begin < 5
+
+
+def test_unique_blocks_beside_an_article_stay(spark):
+    menu = "<div>Start</div><div>All our offers of the week at a glance and many more</div>"
+    rows = [(i, f"https://h.example/{i}", f"<h1>Headline {i} of the day</h1>{menu}<article><p>Text {i} with <math><mi>x</mi>=<mn>{i}</mn></math></p>"
+             f"<section class='related-work'><p>Others have studied {i} before</p></section><div class='notice-of-motion'>Subscribe to all our letters today and never miss a thing</div>"
+             f"<div class='share'>Share {i}</div></article>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("open", "texts", "outside", "bare", "many", "host", "row", "id"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = {r.page_id: (r.text, r.open, r.texts) for r in host_suffix.extract(df).collect()}
+    for i in range(6):
+        assert got[i] == (f"Headline {i} of the day\n\nText {i} with x={i}\n\nOthers have studied {i} before", "clash", "clash")
+
+
+def covered_brute(pages, run, least):
+    """Which blocks have 4 in 5 of their words in runs found on so many pages, from the runs themselves."""
+    streams = []
+    for texts in pages:
+        stream = []
+        for b, text in enumerate(texts):
+            words = re.findall(r"\w+", text.lower())
+            stream += [(w, b) for w in words] + [("<fill>", b)] * (run - len(words))
+        streams.append(stream)
+    held = defaultdict(set)
+    for p, stream in enumerate(streams):
+        for i in range(len(stream) - run + 1):
+            if stream[i][1] == stream[i + run - 1][1]:  # a run is of one block
+                held[tuple(w for w, _ in stream[i : i + run])].add(p)
+    out = []
+    for texts, stream in zip(pages, streams, strict=True):
+        hit = [False] * len(stream)
+        for i in range(len(stream) - run + 1):
+            if stream[i][1] == stream[i + run - 1][1] and len(held[tuple(w for w, _ in stream[i : i + run])]) >= least:
+                hit[i : i + run] = [True] * run
+        flags = []
+        for b in range(len(texts)):
+            mine = [h for (w, x), h in zip(stream, hit, strict=True) if x == b and w != "<fill>"]
+            flags.append(sum(mine) >= 0.8 * max(len(mine), 1))
+        out.append(flags)
+    return out
+
+
+def test_covered_runs_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(30):
+        shared = [" ".join(rng.choices("abcdefgh", k=rng.choice([1, 2, 5, 9, 20]))) for _ in range(6)]
+        pages = [[rng.choice(shared) if rng.random() < 0.5 else " ".join(rng.choices("abcdefghijklmnop", k=rng.choice([1, 3, 8, 15]))) for _ in range(rng.choice([1, 3, 6]))] for _ in range(rng.choice([2, 5, 12]))]
+        assert host_suffix.repeated(pages) == covered_brute(pages, host_suffix.RUN, host_suffix.PAGES)
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(100):
+        letters = [chr(0x4E00 + 40 * i + k) for k in range(30)]
+        for j in range(6):
+            rows.append((len(rows), " ".join("".join(rng.choices(letters, k=4)) for _ in range(30)), f"l{i:03}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs, language.train(docs), ["lang"]).collect()
+    assert len({r.lang_pred for r in got}) == 100 and sum(r.lang_pred == r.lang for r in got) >= 590
+    with pytest.raises(ValueError):
+        language.train(docs, rows=99 * language.LEAST)
+
+
+def test_vectors_of_very_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "LEAF", 4)
+    rng = np.random.default_rng(2)
+    rows = []
+    for size in range(1, 1201):
+        v = rng.normal(size=size)
+        rows += [(len(rows), v.tolist()), (len(rows) + 1, (v * 3).tolist())]
+    base = rng.normal(size=(12, 6))
+    rows += [(len(rows) + i, (base[i % 12] + 0.02 * rng.normal(size=6)).tolist()) for i in range(60)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for i, v in rows:
+        by[len(v)].append((i, np.array(v) / np.linalg.norm(v)))
+    for held in by.values():
+        m = np.array([v for _, v in held])
+        near = m @ m.T >= 0.9
+        for k, (i, _) in enumerate(held):
+            assert got[i][0] == near[k].sum() - 1
+
+
+def test_lines_beside_clashing_columns(spark):
+    rows = [(i, f"a line that many documents share\nown {i}") for i in range(4)]
+    df = frame(spark, rows)
+    for c in ("__id", "__text", "__row", "__split", "__gone", "__pos", "__docs", "__holder"):
+        df = df.withColumn(c, F.lit(7))
+    got = {r.doc_id: (r.kept_text, r.n_dropped, r["__id"]) for r in line_runs.dedup_lines(df).collect()}
+    assert got == {i: (f"own {i}", 1, 7) if i < 3 else (rows[3][1], 0, 7) for i in range(4)}
