@@ -364,10 +364,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     common = cut(held.groupBy("__host", "hash").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES).select("__host", "hash"))
     known = held.join(common, ["__host", "hash"]).select("__host", "__salt", "hash")
     bare = bare.unionByName(large.groupBy("__host", "__salt").cogroup(known.groupBy("__host", "__salt")).applyInArrow(_group_of_many, found))
-    out = [F.col(f"`x_{c}`").alias(c) for c in rest]
+    out = [F.col(f"`x_{c}`") for c in rest]
     settled = parsed.where(F.size("__open") == 0).select(*out, F.array_join("__texts", "\n\n").alias("text"))
     # repeated rows have equal blocks and fall into one group
     bare = bare.groupBy("__id", "__row").agg(F.first("bare").alias("__bare"))
     kept = F.filter("__texts", lambda t, i: ~(F.array_contains("__open", i) & F.array_contains("__bare", t)))
     judged = parsed.where(F.size("__open") > 0).join(bare, ["__id", "__row"]).select(*out, F.array_join(kept, "\n\n").alias("text"))
-    return settled.unionByName(judged)
+    return settled.unionByName(judged).select(*[F.col(f"`x_{c}`").alias(c) for c in rest], "text")

@@ -108,12 +108,13 @@ def dedup_lines(
         F.array_join(F.transform(kept, lambda i: F.get(F.col("__split"), i)), "\n")
     )
     joined = docs.join(dropped, ["__id", "__row"], "left").withColumn("__split", split)
-    return joined.select(
-        *[F.col(f"`x_{c}`").alias(c) for c in rest],
+    made = joined.select(
+        *[F.col(f"`x_{c}`") for c in rest],
         kept_text.alias("kept_text"),
         F.size("__split").cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return made.select(*[F.col(f"`x_{c}`").alias(c) for c in rest], "kept_text", "n_lines", "n_dropped")
 
 
 ORACLE = """
