@@ -8,9 +8,11 @@ cost is the square of their number. Candidates come from two kinds of fingerprin
 - BANDS SimHashes of samples: band i takes the least hashes of the text under ROWS permutations of its own. Texts of a
   similarity s agree in all of a band with probability s^ROWS, so of pairs at 0.8 one in 2,700 agrees in no band.
 
-Texts that share a fingerprint are a bucket. Each is compared with its bucket's centre, by exact Jaccard; every band has a
-centre of its own. Buckets whose texts are not one group by then are compared in full between groups, so no link of a
-bucket is lost and a bucket of copies costs no pairs. Only shingle sets of texts that share a bucket are moved.
+Texts that share a fingerprint are a bucket. Each is compared, by exact Jaccard, with two centres of its bucket: one by a
+hash of the band's own, and the text that shares its buckets with the most others, as the origin of edited copies does.
+Buckets whose texts are not one group by then are dealt into blocks, and pairs of blocks compare texts of different
+groups, so no link of a bucket is lost, no pair is a row, and a bucket of copies costs no pairs. Only shingle sets of
+texts that share a bucket are moved.
 Texts of equal shingle sets are one text throughout; texts without words are one group.
 """
 
@@ -29,6 +31,8 @@ from privatrail.llm.common import add_columns, cut, discard
 from privatrail.llm.components import components
 
 BANDS, ROWS = 15, 4
+#: Texts and bytes of shingle sets of a block.
+BLOCK, BLOCK_BYTES = 128, 1 << 22
 _RNG = np.random.default_rng(11)
 #: Odd factors and offsets of the permutations.
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,6 +90,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return met.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _between_blocks(similarity: float):
+    """Links between texts of different groups in a pair of blocks: a spanning forest of them, over the groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                sides = [[(x["sid"], x["label"], np.frombuffer(x["set"], np.uint64)) for x in side.as_py()] for side in (left, right)]
+                parent = {x[1]: x[1] for side in sides for x in side}
+
+                def root(x, parent=parent):
+                    while parent[x] != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                found = []
+                for sid, label, x in sides[0]:
+                    for other, label2, y in sides[1]:
+                        if label == label2 or min(len(x), len(y)) < similarity * max(len(x), len(y)) or root(label) == root(label2):
+                            continue
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        if common >= similarity * (len(x) + len(y) - common):
+                            parent[root(label2)] = root(label)
+                            found.append((sid, other))
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def groups(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:
     """The columns `keep` of every row with `sid`, its text's shingle set, and `group`, the least set reachable over pairs
     of a similarity of `similarity` or more."""
@@ -98,12 +131,16 @@ def groups(docs: DataFrame, keep: list[str], text: str = "text", shingle: int =
     # the centre is the least by a hash of its own in each band; a combining minimum, whatever the bucket's size
     order = F.struct(F.xxhash64("sid", "band").alias("h"), "sid", "n")
     centres = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("held"), F.min(order).alias("c")).where("held > 1")
-    shared = cut(buckets.join(centres.select("band", "value", F.col("c.sid").alias("centre"), F.col("c.n").alias("centre_n")), ["band", "value"]))
+    shared = cut(buckets.join(centres.select("band", "value", "held", F.col("c.sid").alias("centre"), F.col("c.n").alias("centre_n")), ["band", "value"]))
+    # the text that meets the most others in all its buckets
+    met = shared.groupBy("sid").agg(F.sum("held").alias("met"))
+    origins = shared.join(met, "sid").groupBy("band", "value").agg(F.max(F.struct("met", "sid", "n")).alias("o"))
+    origins = shared.join(origins, ["band", "value"]).select("sid", "n", F.col("o.sid").alias("centre"), F.col("o.n").alias("centre_n"))
 
     def alike(n, m):
         return F.least(n, m) >= similarity * F.greatest(n, m)  # no pair of other sizes is as similar
 
-    stars = shared.where((F.col("sid") != F.col("centre")) & alike(F.col("n"), F.col("centre_n")))
+    stars = shared.select("sid", "n", "centre", "centre_n").unionByName(origins).where((F.col("sid") != F.col("centre")) & alike(F.col("n"), F.col("centre_n")))
     stars = stars.select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct()
     wanted = shared.select("sid").distinct()
     # the sets of these texts alone, each once
@@ -117,14 +154,18 @@ def groups(docs: DataFrame, keep: list[str], text: str = "text", shingle: int =
     first = cut(_verified(stars, sets, similarity))
     found = components(first)
     labelled = cut(shared.join(found, shared.sid == found.node, "left").select("band", "value", "sid", "n", F.coalesce("component", "sid").alias("label")))
-    mixed = labelled.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "value")
-    rest = labelled.join(mixed, ["band", "value"], "left_semi")
-    other = rest.select("band", "value", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    across = rest.join(other, ["band", "value"]).where((F.col("sid") < F.col("sid2")) & (F.col("label") != F.col("label2")) & alike(F.col("n"), F.col("n2")))
-    second = cut(_verified(across.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct(), sets, similarity))
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
+    mixed = labelled.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), many.alias("many")).where("lo <> hi").select("band", "value", "many")
+    rest = labelled.join(mixed, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("sid", F.lit(29)), F.col("many"))).join(sets, "sid")
+    # about BLOCK texts of BLOCK_BYTES in a row
+    packed = cut(rest.groupBy("band", "value", "block", "many").agg(F.collect_list(F.struct("sid", "label", "set")).alias("held")))
+    right = packed.select("band", "value", F.col("block").alias("other"), F.col("held").alias("held2"))
+    later = F.explode(F.sequence(F.col("block"), F.col("many") - 1))
+    units = packed.select("band", "value", "held", later.alias("other")).join(right, ["band", "value", "other"])
+    second = cut(units.select("held", "held2").mapInArrow(_between_blocks(similarity), "a binary, b binary"))
     merged = components(first.unionByName(second))
     out = cut(printed.join(merged, printed.sid == merged.node, "left").select(*keep, "sid", F.coalesce("component", "sid").alias("group")))
-    discard(printed, nodes, buckets, shared, sets, first, labelled, second)
+    discard(printed, nodes, buckets, shared, sets, first, labelled, packed, second)
     return out
 
 

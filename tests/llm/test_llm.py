@@ -401,6 +401,7 @@ def alike(a, b):
 
 
 def test_near_texts_by_similarity(spark, sf, monkeypatch):
+    monkeypatch.setattr(near_texts, "BLOCK", 5)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
