@@ -26,7 +26,7 @@ from privatrail.dims.decisions import (
     RATE_LIMIT_HOURS,
     SETTLED_RISK,
 )
-from privatrail.operators.timeline import before
+from privatrail.operators.coverage import covered
 
 HOUR_US = 3_600_000_000
 _SENSITIVITY = "map(" + ", ".join(f"'{c}', {s}D" for c, _, s in CATEGORIES) + ")"
@@ -143,41 +143,23 @@ def rate_limited(events: DataFrame, responses: DataFrame, hours: int = RATE_LIMI
 
     An observation is an earlier event of the same user, requester, class and categories that
     was answered before this event; its signals cover this event's, its red flags too, and
-    its confidence is not lower by 0.2 or more. Instead of pairing events with observations,
-    each event meets the distinct (signals, confidence, red flags) kinds its key has ever
-    shown, and per kind one running maximum gives the latest answered observation.
+    its confidence is not lower by 0.2 or more (see ``coverage.covered``). Events are read
+    once and meet their first answers by id; all else is one shuffle by key and day.
     """
     cat_key = F.array_join(F.sort_array("categories"), ",")
     signals = F.when(F.col("event_type") == "consent_banner", F.col("dark_patterns")).when(
         F.col("event_type") == "tracking", F.col("signals")
     ).when(F.col("event_type") == "policy_document", F.coalesce("clauses", F.expr(_NONE))).otherwise(F.expr(_NONE))
-    # only tracking weighs its confidence; for all others it is no part of the kind
+    # only tracking weighs its confidence
     confidence = F.when(F.col("event_type") == "tracking", F.col("confidence")).otherwise(0.0)
+    # the empty sign stands in every set, so that a set without signs is not the set of an empty string
+    signs = F.concat(F.array(F.lit("")), F.transform(signals, lambda x: F.concat(F.lit("s"), x)), F.transform("red_flags", lambda x: F.concat(F.lit("f"), x)))
+    first_answer = responses.groupBy("event_id").agg(F.min("us").alias("answered_us"))
     base = events.where("event_type <> 'form_observed'").select(
-        "event_id", "user_id", "us", "event_type", "high_impact",
+        "event_id", "user_id", "us", (~F.col("high_impact")).alias("asks"), confidence.alias("conf"), F.array_sort(signs).alias("signs"),
         F.concat_ws("\u001f", "requester_key", "event_type", cat_key).alias("like"),
-        F.sort_array(signals).alias("sig"), F.sort_array("red_flags").alias("flags"), confidence.alias("conf"),
-    )
-    key = ["user_id", "like"]
-    first_answer = responses.groupBy("event_id").agg(F.min("us").alias("answered_us"))
-    observed = base.join(first_answer, "event_id")
-    kinds = observed.select(*key, F.col("sig").alias("o_sig"), F.col("flags").alias("o_flags"), F.col("conf").alias("o_conf")).distinct()
-    probes = base.where(~F.col("high_impact")).join(kinds, key).where(
-        (F.size(F.array_except("sig", "o_sig")) == 0)
-        & (F.size(F.array_except("flags", "o_flags")) == 0)
-        & ((F.col("event_type") != "tracking") | (F.col("conf") - F.col("o_conf") < 0.2 - 1e-9))
-    )
-    kind = [*key, "o_sig", "o_flags", "o_conf"]
-    timeline = probes.select(*kind, "us", F.lit(0).alias("side"), "event_id", F.lit(None).cast("bigint").alias("seen")).unionByName(
-        observed.select(
-            *key, F.col("sig").alias("o_sig"), F.col("flags").alias("o_flags"), F.col("conf").alias("o_conf"),
-            F.col("answered_us").alias("us"), F.lit(1).alias("side"), "event_id", F.col("us").alias("seen"),
-        )
     )
-    window = hours * HOUR_US
-    run = before(timeline, kind, ["us", "side", "event_id"], {"latest": F.col("seen")}, F.floor(F.col("us") / window), how="max")
-    hit = run.where((F.col("side") == 0) & (F.col("us") - F.col("latest") < window) & (F.col("latest") <= F.col("us")))
-    return hit.select("event_id").distinct()
+    return covered(base.join(first_answer, "event_id", "left"), hours * HOUR_US)
 
 
 def decide_events(judged: DataFrame, limited: DataFrame) -> DataFrame:

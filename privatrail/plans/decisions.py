@@ -104,7 +104,7 @@ def judged(spark, sf, forms=None):
 
 
 def decided(spark, sf):
-    # judged events are read four times: by the rules, and three times by the rate limit
+    # judged events are read by the rules and by the rate limit
     j = materialised(judged(spark, sf))
     return D.with_urgency(D.decide_events(j, D.rate_limited(j, model(spark, sf, "responses"))))
 
@@ -182,7 +182,7 @@ def r14(spark, sf):
 
 @query("r15_rate_limit", with_model(*NEED, body=SCORED + LIMITED + "SELECT event_id FROM limited"))
 def r15(spark, sf):
-    return D.rate_limited(materialised(judged(spark, sf)), model(spark, sf, "responses"))
+    return D.rate_limited(judged(spark, sf), model(spark, sf, "responses"))
 
 
 _step("r16_partial_floor", "16", ["file_upload", "redacted_document"])
