@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from privatrail.dims import patterns as P
@@ -269,10 +269,10 @@ def mask_values(matches: DataFrame, document_kind: Column, scheme: Column) -> Da
 
 def address_blocks(docs: DataFrame, spans: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """Address blocks by shape: from a line with an uncovered six-digit code back to below
-    the nearest line that stays readable, or to the text's beginning.
+    the nearest line that stays readable, or to the text's beginning. A null text has none.
 
-    ``spans`` (key, start, end, covered) marks covered and kept spans on the text. Lines and
-    spans of one document meet inside that document's row, so nothing is paired across rows.
+    ``spans`` (key, start, end, covered) marks covered and kept spans on the text. All else happens
+    inside the document's row: its lines are folded once, carrying where the block began.
     """
     none = F.array().cast("array<struct<start:int,end:int,covered:boolean>>")
     if spans is not None:
@@ -283,34 +283,37 @@ def address_blocks(docs: DataFrame, spans: DataFrame | None = None, key: str = "
         docs = docs.join(per_doc, key, "left").withColumn("spans", F.coalesce("spans", none))
     else:
         docs = docs.withColumn("spans", none)
-    lines = docs.select(key, "spans", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    w = Window.partitionBy(key).orderBy("line_no")
-    before = F.coalesce(
-        F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    lines = lines.withColumn("at", before.cast("int"))
-    kept_here = F.exists(
-        "spans", lambda s: ~s["covered"] & (s["start"] < F.col("at") + F.length("line")) & (F.col("at") < s["end"])
-    )
-    stops = F.col("line").rlike(T.FLAGS + P.ABOVE_ADDRESS) | kept_here
+    return docs.select(key, F.inline(F.expr(_address_blocks_sql())))
+
+
+def _address_blocks_sql() -> str:
+    """SQL text for the blocks of ``text``. Lines are folded in chunks of the square root of their number, so that many
+    blocks in one text do not cost their square when they are gathered."""
     # the last six-digit code of the line and where it ends
-    head = F.regexp_extract("line", r"(?Ud)^(.*)(?<!\d)\d{6}(?!\d)", 0)
-    pin_end = F.col("at") + F.length(head)
-    covered = F.exists(
-        "spans", lambda s: s["covered"] & (s["start"] <= pin_end - 6) & (pin_end <= s["end"])
+    pin = quoted(r"(?Ud)^(.*)(?<!\d)\d{6}(?!\d)")
+    above = quoted(T.FLAGS + P.ABOVE_ADDRESS)
+    lines = (
+        f"transform(split(text, '\\n', -1), x -> named_struct('n', length(x), 'stop', x RLIKE {above}, 'pin', length(regexp_extract(x, {pin}, 0))))"
     )
-    back = w.rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("stop_line", F.when(stops, F.col("line_no"))).withColumn(
-        "is_pin", (head != "") & ~covered
-    ).withColumn("pin_end", pin_end)
-    lines = lines.withColumn("stop_at", F.last("stop_line", ignorenulls=True).over(back))
-    first = F.coalesce(F.col("stop_at") + 1, F.lit(0))
-    pins = lines.where("is_pin").withColumn("first_line", first).where("first_line < line_no")
-    starts = lines.select(key, F.col("line_no").alias("first_line"), F.col("at").alias("block_start"))
-    return pins.join(starts, [key, "first_line"]).select(
-        key, "first_line", F.col("line_no").alias("last_line"),
-        F.col("block_start").alias("start"), F.col("pin_end").alias("end"),
+    stop = "x.stop OR exists(spans, s -> NOT s.covered AND s.start < a.at + x.n AND a.at < s.end)"
+    covered = "exists(spans, s -> s.covered AND s.start <= a.at + x.pin - 6 AND a.at + x.pin <= s.end)"
+    block = "named_struct('first_line', a.first, 'last_line', a.no, 'start', a.start, 'end', a.at + x.pin)"
+    step = (
+        f"named_struct('at', a.at + x.n + 1, 'no', a.no + 1, 'first', CASE WHEN {stop} THEN a.no + 1 ELSE a.first END, "
+        f"'start', CASE WHEN {stop} THEN a.at + x.n + 1 ELSE a.start END, "
+        f"'out', CASE WHEN x.pin > 0 AND a.first < a.no AND NOT {covered} THEN concat(a.out, array({block})) ELSE a.out END)"
     )
+    def state(x: str, out: str) -> str:
+        return f"named_struct('at', {x}.at, 'no', {x}.no, 'first', {x}.first, 'start', {x}.start, 'out', {out})"
+
+    empty = "CAST(array() AS array<struct<first_line:int,last_line:int,start:int,end:int>>)"
+    start = f"named_struct('at', 0, 'no', 0, 'first', 0, 'start', 0, 'out', {empty})"
+    chunk = f"aggregate(c, {state('b', empty)}, (a, x) -> {step})"
+    gathered = bind(chunk, "d", state("d", "concat(b.out, d.out)"))
+    chunks = "transform(sequence(1, size(all_lines), w), i -> slice(all_lines, i, w))"
+    folded = f"aggregate({chunks}, {start}, (b, c) -> {gathered}, z -> z.out)"
+    blocks = bind(lines, "all_lines", bind("CAST(ceil(sqrt(size(all_lines))) AS int)", "w", folded))
+    return f"CASE WHEN text IS NOT NULL THEN {blocks} END"
 
 
 def evidence(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from privatrail.dims import dimension
 from privatrail.operators import history as H
 from privatrail.operators import learning as G
+from privatrail.operators import sketches as K
 from privatrail.plans.registry import query
 from privatrail.sources.model import model, with_model
+from privatrail.sources.tables import append_bucketed, materialised, scratch
 
 ASOF = 1704067200000000 + 45 * 86_400_000_000
 LATEST = """
@@ -44,6 +46,22 @@ def h01_filtered(spark, sf):
     return out.select("event_id", "us", "event_type", "outcome", "action")
 
 
+@query(
+    "h01_bucketed_history",
+    with_model("pevents", "decision_log", "responses", body=LATEST + """
+    SELECT e.event_id, e.us, e.event_type, d.outcome, round(d.risk, 6) AS risk, coalesce(r.action, '') AS action
+    FROM pevents e LEFT JOIN ld d USING (event_id) LEFT JOIN lr r USING (event_id)"""),
+)
+def h01_bucketed(spark, sf):
+    """All events with their latest decision and answer, from logs bucketed by event: reading them shuffles nothing."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    logs = []
+    for df in _logs(spark, sf):
+        path = scratch(spark)
+        logs.append(append_bucketed(df, path.rsplit("/", 1)[1].replace("-", "_"), "event_id", buckets, path))
+    return H.event_history(*logs).select("event_id", "us", "event_type", "outcome", F.round("risk", 6).alias("risk"), "action")
+
+
 @query(
     "h01_latest_line_per_order",
     """SELECT o.o_orderkey, o.o_orderstatus, l.l_linenumber, l.max_suppkey, l.n_lines FROM orders o LEFT JOIN (
@@ -175,6 +193,27 @@ def h12(spark, sf):
     return H.activity_cube(model(spark, sf, "pevents"), model(spark, sf, "decision_log"))
 
 
+WEEK = "CAST(floor(us / 604800000000) AS BIGINT)"
+
+
+@query(
+    "h04_weeks_from_day_states",
+    with_model("pevents", body=f"""SELECT {WEEK} AS week, requester_kind, count(DISTINCT requester_key) AS requesters,
+    count(DISTINCT CASE WHEN event_type = 'tracking' THEN requester_key END) AS tracked_sites,
+    count(DISTINCT CASE WHEN fingerprinting AND event_type = 'tracking' THEN requester_key END) AS fingerprinting_sites
+    FROM pevents GROUP BY ALL"""),
+)
+def h04_weeks(spark, sf):
+    """Weekly figures from daily states. The counts of the given tables are small enough for the states to be exact."""
+    track = F.col("event_type") == "tracking"
+    values = {
+        "requesters": F.col("requester_key"), "tracked_sites": F.when(track, F.col("requester_key")),
+        "fingerprinting_sites": F.when(track & F.col("fingerprinting"), F.col("requester_key")),
+    }
+    days = materialised(K.day_sketches(model(spark, sf, "pevents"), ["requester_kind"], values))
+    return K.merged(days, [F.floor(F.col("day") / 7).alias("week"), "requester_kind"], list(values))
+
+
 # ---- learning -----------------------------------------------------------------------------
 RULES = """
 WITH flat AS (SELECT user_id, purpose, unnest(categories) AS category, action, us, event_id, seq FROM responses),

@@ -252,6 +252,28 @@ def p17(spark, sf):
     return P.address_blocks(docs).withColumnRenamed("end", "stop").select("doc_id", "first_line", "last_line", "start", "stop")
 
 
+# given texts as cards: some lines get a six-digit code, some a word that ends an address
+CARD_LINES = "CASE (doc_id + i) % 5 WHEN 0 THEN concat(x, ' 56', {code}) WHEN 3 THEN concat(x, ' female ', {code}, 'x') ELSE x END"
+
+
+@query(
+    "p17_given_texts",
+    rf"""WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+    l AS (SELECT doc_id, i, {CARD_LINES.format(code="lpad(CAST(i % 1000 AS VARCHAR), 4, '0')")} AS x FROM d),
+    m AS (SELECT *, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_at,
+      regexp_matches(x, '(?i)(^|[^{W}])(male|female|transgender|dob|d\.o\.b|born|year\s+of\s+birth)($|[^{W}])|(^|[^{W}])[CSDW]/O($|[^{W}])')
+        OR regexp_matches(x, '(^|[^0-9X*])[0-9Xx*]{{4}}\s*[0-9Xx*]{{4}}\s*[0-9Xx*]{{4}}($|[^0-9Xx*])') AS stop,
+      length(regexp_extract(x, '^((.*[^0-9])?[0-9]{{6}})($|[^0-9])', 1)) AS pin FROM l),
+    b AS (SELECT *, coalesce(max(CASE WHEN stop THEN i + 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_line FROM m)
+    SELECT b.doc_id, b.first_line, b.i AS last_line, CAST(f.line_at AS BIGINT) AS start, CAST(b.line_at + b.pin AS BIGINT) AS stop
+    FROM b JOIN b f ON f.doc_id = b.doc_id AND f.i = b.first_line WHERE b.pin > 0 AND b.first_line < b.i""",
+)
+def p17_given(spark, sf):
+    card = CARD_LINES.format(code="lpad(CAST(i % 1000 AS STRING), 4, '0')")
+    docs = documents(spark, sf).selectExpr("doc_id", f"array_join(transform(split(text, '\\n', -1), (x, i) -> {card}), '\\n') AS text")
+    return P.address_blocks(docs).withColumnRenamed("end", "stop").select("doc_id", "first_line", "last_line", "start", "stop")
+
+
 def _vote(words: list[str]) -> str:
     parts = []
     for w in words:
