@@ -89,7 +89,11 @@ def with_context(
     events: DataFrame, necessity: DataFrame, profiles: DataFrame, users: DataFrame, requesters: DataFrame,
     form_verdicts: DataFrame | None = None,
 ) -> DataFrame:
-    """Join what the rules need; no step multiplies rows. The matrix has a row per purpose; the planner sizes it."""
+    """Join what the rules need; no step multiplies rows. The matrix has a row per purpose; the planner sizes it.
+
+    With ``form_verdicts`` (``forms.form_context``, by event_id) a form's event also carries the categories of its fields:
+    of all fields where the form was only observed, of the filled ones where it was submitted.
+    """
     p = consequence_factor(profiles).select("requester_key", "factor", "boost", "clauses", "policy_missing")
     out = (
         events.join(necessity_by_purpose(necessity), "purpose", "left")
@@ -99,7 +103,12 @@ def with_context(
     )
     if form_verdicts is None:
         return out.selectExpr("*", "CAST(NULL AS map<string,string>) AS form_verdicts", "false AS can_clear", "false AS can_redact")
-    return out.join(form_verdicts, "event_id", "left")
+    out = out.join(form_verdicts, "event_id", "left")
+    asked = F.when(F.col("event_type") == "form_observed", F.map_keys("form_verdicts")).when(
+        F.col("event_type") == "form_submit", F.col("filled_categories")
+    )
+    both = F.array_sort(F.array_union(F.coalesce("categories", F.expr(_NONE)), asked))
+    return out.withColumn("categories", F.when(asked.isNotNull(), both).otherwise(F.col("categories"))).drop("filled_categories")
 
 
 def judge_categories(ctx: DataFrame) -> DataFrame:

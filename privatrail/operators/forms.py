@@ -224,10 +224,12 @@ def assess_forms(fields: DataFrame, semantic: DataFrame | None = None) -> DataFr
     return judge_fields(labelled, classify_forms(describe(labelled), semantic))
 
 
+_RANK = "element_at(map('required', 0, 'reasonable', 1, 'unnecessary', 2, 'red_flag', 3), verdict)"
+
+
 def worst_verdicts(judged: DataFrame) -> DataFrame:
     """The worst verdict per form and category."""
-    rank = F.expr("element_at(map('required', 0, 'reasonable', 1, 'unnecessary', 2, 'red_flag', 3), verdict)")
-    return judged.where("category IS NOT NULL").groupBy("form_id", "category").agg(F.max_by("verdict", rank).alias("verdict"))
+    return judged.where("category IS NOT NULL").groupBy("form_id", "category").agg(F.max_by("verdict", F.expr(_RANK)).alias("verdict"))
 
 
 def remedies(judged: DataFrame) -> DataFrame:
@@ -239,9 +241,15 @@ def remedies(judged: DataFrame) -> DataFrame:
 
 
 def form_context(judged: DataFrame) -> DataFrame:
-    """(form_id, form_verdicts, can_clear, can_redact): what a form's judgement says to the decision on its event. The
-    map has one entry per category of the form."""
-    worst = worst_verdicts(judged).groupBy("form_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "verdict")))).alias("form_verdicts"))
+    """(form_id, form_verdicts, filled_categories, can_clear, can_redact): what a form says to the decision on its event.
+    The map has one entry per category that the form asks for, the list those of its filled fields."""
+    asked = judged.where("category IS NOT NULL").groupBy("form_id", "category").agg(
+        F.max_by("verdict", F.expr(_RANK)).alias("verdict"), F.bool_or("filled").alias("filled")
+    )
+    worst = asked.groupBy("form_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "verdict")))).alias("form_verdicts"),
+        F.sort_array(F.collect_list(F.when(F.col("filled"), F.col("category")))).alias("filled_categories"),
+    )
     means = remedies(judged).groupBy("form_id").agg(F.bool_or("can_clear").alias("can_clear"), F.bool_or("can_redact").alias("can_redact"))
     return worst.join(means, "form_id", "left")
 

@@ -243,8 +243,11 @@ FORM_DECIDED = (
 fw AS (SELECT form_id, category, ({_rank})[max(list_position({_rank}, verdict))] AS verdict FROM jd WHERE category IS NOT NULL GROUP BY form_id, category),
 fr AS (SELECT form_id, bool_or(NOT required AND NOT asserted_required) AS can_clear, bool_or(input_type NOT IN ({", ".join(f"'{x}'" for x in UNREDACTABLE)})) AS can_redact
     FROM jd j WHERE filled AND EXISTS (SELECT 1 FROM jd k WHERE k.form_id = j.form_id AND k.category = j.category AND k.flag) GROUP BY form_id),
+fc AS (SELECT form_id, list(DISTINCT category) AS asked, list(DISTINCT category) FILTER (filled) AS given FROM lab WHERE category IS NOT NULL GROUP BY form_id),
+fe AS (SELECT e.* REPLACE (CASE WHEN fc.form_id IS NULL THEN categories ELSE list_sort(list_distinct(list_concat(categories,
+    CASE event_type WHEN 'form_observed' THEN asked ELSE coalesce(given, CAST([] AS VARCHAR[])) END))) END AS categories) FROM pevents e LEFT JOIN fc ON fc.form_id = e.event_id),
 """
-    + DECIDED.strip()[5:].replace(_matrix, "coalesce(fw.verdict, " + _matrix.replace(" AS verdict", ") AS verdict")).replace(
+    + DECIDED.strip()[5:].replace("FROM pevents", "FROM fe").replace(_matrix, "coalesce(fw.verdict, " + _matrix.replace(" AS verdict", ") AS verdict")).replace(
         "LEFT JOIN prof p ON p.requester_key = e.requester_key\n  LEFT JOIN pref_category p1",
         "LEFT JOIN prof p ON p.requester_key = e.requester_key LEFT JOIN fw ON fw.form_id = e.event_id AND fw.category = e.c\n  LEFT JOIN pref_category p1",
     )

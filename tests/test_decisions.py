@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from privatrail.dims.categories import CATEGORIES, necessity_rows, purposes
 from privatrail.operators import forms as O
-from privatrail.plans.decisions import scenario_outcomes
+from privatrail.plans.decisions import judged, scenario_outcomes
 from privatrail.sources.model import model
 
 
@@ -83,3 +83,21 @@ def test_worst_verdicts_and_remedies(spark):
     assert worst["phone"] == "unnecessary" and worst["email"] == "required" and worst["full_name"] == "reasonable"
     got = {r.field_id: (r.can_clear, r.can_redact) for r in O.remedies(judged).collect()}
     assert got == {"f0": (True, True), "f1": (True, False), "f2": (False, True)}
+
+
+def test_a_form_carries_the_categories_of_its_fields(spark, sf):
+    asked = model(spark, sf, "form_fields")
+    labels = {}
+    for r in O.label_fields(asked).where("category IS NOT NULL").select("form_id", "category", "filled").collect():
+        labels.setdefault(r.form_id, []).append((r.category, r.filled))
+    own = {r.event_id: (r.event_type, r.categories) for r in model(spark, sf, "pevents").select("event_id", "event_type", "categories").collect()}
+    got = {r.event_id: r.categories for r in judged(spark, sf, O.form_context(O.assess_forms(asked)).withColumnRenamed("form_id", "event_id")).select("event_id", "categories").collect()}
+    more = 0
+    for event, (kind, categories) in own.items():
+        if event in labels and kind in ("form_submit", "form_observed"):
+            added = {c for c, filled in labels[event] if filled or kind == "form_observed"}
+            assert got[event] == sorted(added | set(categories))
+            more += not added <= set(categories)
+        else:
+            assert got[event] == categories
+    assert more > 20 and len(got) == len(own)
