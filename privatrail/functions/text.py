@@ -10,12 +10,20 @@ from privatrail.functions.validators import bind, quoted
 
 # Unicode-aware and newline-only line ends, so that e.g. accented letters are word characters.
 FLAGS = "(?iuUd)"
+# the same with word characters, digits and spaces of ASCII alone; for patterns written by ``ascii_words``
+ASCII_FLAGS = "(?iud)"
 OPEN, CLOSE, VALUE_END = "\u0001", "\u0002", "\u0003"
 SPAN_TYPE = "array<struct<s:int,e:int,v:string,m:string>>"
 # the placeholder redaction leaves behind, one per category
 TOKEN = "<(?:" + "|".join(c.upper().replace(".", r"\.") for c, _, _ in CATEGORIES) + ")>"
 
 
+def ascii_words(pattern: str) -> str:
+    """The pattern with word boundaries of ASCII: Java's own differ between its versions where Unicode classes are off."""
+    word = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+
+
 def clean_text(text: Column) -> Column:
     """Free the three marker characters and blank existing placeholders, keeping all lengths."""
     marks = [F.contains(text, F.lit(c)) for c in (OPEN, CLOSE, VALUE_END)]
