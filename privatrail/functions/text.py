@@ -40,13 +40,13 @@ def clean_text(text: Column) -> Column:
 
 def fold_case_sql(text: str) -> str:
     """Lower case under the same folding the case-insensitive regexes use; few texts hold a letter that needs more."""
-    special = f"contains({text}, 'ſ') OR contains({text}, 'ı')"
-    return f"CASE WHEN {special} THEN translate(lower({text}), 'ſı', 'si') ELSE lower({text}) END"
+    special = f"contains({text}, 'ſ') OR contains({text}, 'ı') OR contains({text}, 'İ')"
+    return f"CASE WHEN {special} THEN lower(translate({text}, 'ſıİ', 'sii')) ELSE lower({text}) END"
 
 
 def fold_case(text: Column) -> Column:
     """Lower case under the same folding the case-insensitive regexes use."""
-    return F.translate(F.lower(text), "ſı", "si")
+    return F.lower(F.translate(text, "ſıİ", "sii"))
 
 
 def marked_sql(text: str, pattern: str, labelled: bool = False, flags: str = FLAGS) -> str:
@@ -97,6 +97,11 @@ def guard_sql(
     return " AND ".join(([has_digit] if digits else []) + tests) or "true"
 
 
+def guards_sql(folded: str, groups: tuple[tuple[str, ...], ...]) -> str:
+    """The same for a pattern whose every match holds a word of each group."""
+    return " AND ".join(guard_sql(folded, "true", g) for g in groups)
+
+
 def merge_spans(spans: Column) -> Column:
     """Gaps and islands over spans sorted by (s, -e, category): touching or overlapping
     spans become one, named after the first. In and out: array<struct<s, e, category>>."""

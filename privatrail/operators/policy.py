@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from privatrail.dims import policy as D
-from privatrail.functions.text import FLAGS, match_spans_sql
-from privatrail.functions.validators import quoted
+from privatrail.functions.text import FLAGS, fold_case_sql, guards_sql, match_spans_sql
+from privatrail.functions.validators import bind, quoted
 from privatrail.operators.pii import redact
 
 CUT = "\u0001"
@@ -18,7 +18,9 @@ def any_of(patterns: list[str]) -> str:
 
 
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    # few lines have white space at an end; the others are not searched
+    ends = F.concat(F.substr(line, F.lit(1), F.lit(1)), F.substr(line, F.lit(-1), F.lit(1)))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(line, r"(?U)^\s+|\s+$", "")).otherwise(line)
 
 
 def _is_heading(p: Column) -> Column:
@@ -46,27 +48,30 @@ def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     out = docs.select(key, lines.alias("_lines")).select(key, "_lines", heads.alias("_heads"))
     out = out.select(key, F.explode(section).alias("s")).select(key, "s.heading", F.explode("s.lines").alias("l"))
     cut = F.regexp_replace("l.p", r"([.!?])\s+", "$1" + CUT)
-    cut = F.regexp_replace(cut, r";\s*|\s+(?:but|however|nevertheless)\s+", CUT)
+    turns = F.contains(F.col("l.p"), F.lit(";"))
+    for word in ("but", "however", "nevertheless"):
+        turns = turns | F.contains(F.col("l.p"), F.lit(word))
+    cut = F.when(turns, F.regexp_replace(cut, r";\s*|\s+(?:but|however|nevertheless)\s+", CUT)).otherwise(cut)
     parts = F.filter(F.transform(F.split(cut, CUT), lambda s: F.trim(s)), lambda s: s != "")
     out = out.select(key, "heading", F.col("l.line").alias("line"), F.posexplode(parts).alias("part", "sentence"))
     return out.select(key, (F.shiftleft(F.col("line").cast("long"), 32) + F.col("part")).alias("pos"), "sentence", "heading")
 
 
+def _claim_sql(rule: D.ClauseRule) -> str:
+    """Is ``sentence``, folded to ``low``, this clause? Most sentences lack its words and end at the guard."""
+    claim = f"{guards_sql('low', rule.guard)} AND sentence RLIKE {quoted(FLAGS + rule.requires)} AND sentence RLIKE {quoted(any_of(rule.positive))}"
+    return claim + (f" AND NOT sentence RLIKE {quoted(any_of(rule.negative))}" if rule.negative else "")
+
+
 def clause_claims(sents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, clause, confidence, sentence, heading): sentences that really are a clause."""
     found = []
-    s, h = F.col("sentence"), F.lower("heading")
     for rule in D.CLAUSES:
-        claim = s.rlike(FLAGS + rule.requires) & s.rlike(any_of(rule.positive))
-        if rule.negative:
-            claim = claim & ~s.rlike(any_of(rule.negative))
-        scoped = F.lit(False)
-        for word in rule.scope:
-            scoped = scoped | F.contains(h, F.lit(word.lower()))
-        conf = F.when(scoped, 0.96).otherwise(0.9)
-        found.append(F.when(claim, F.struct(F.lit(rule.name).alias("clause"), conf.alias("confidence"))))
+        scoped = " OR ".join(f"contains(lower(heading), {quoted(word.lower())})" for word in rule.scope) or "false"
+        found.append(f"CASE WHEN {_claim_sql(rule)} THEN named_struct('clause', {quoted(rule.name)}, 'confidence', CASE WHEN {scoped} THEN 0.96D ELSE 0.9D END) END")
+    clauses = F.expr(bind(fold_case_sql("sentence"), "low", f"array_compact(array({', '.join(found)}))"))
     # outer: a plain explode would have the optimizer test the array first, and so match every pattern twice
-    met = sents.select(key, "pos", "sentence", "heading", F.explode_outer(F.array_compact(F.array(*found))).alias("c"))
+    met = sents.select(key, "pos", "sentence", "heading", F.explode_outer(clauses).alias("c"))
     return met.where(F.col("c").isNotNull()).select(key, "pos", "c.clause", "c.confidence", "sentence", "heading")
 
 
@@ -112,10 +117,24 @@ def _unnegated_sql(text: str, pattern: str) -> str:
     return f"exists({spans}, m -> NOT substr({text}, 1, m.s) RLIKE {quoted(FLAGS + D.NEGATION)})"
 
 
+def _stated_guard(name: str, pattern: str) -> str:
+    # a guard holds for the package's own pattern, not for a caller's of the same name
+    own = pattern in (D.PURPOSES.get(name), D.RECIPIENTS.get(name))
+    return guards_sql("low", D.STATED_GUARDS[name]) if own else "true"
+
+
+def _labels_sql(rules: dict[str, str]) -> str:
+    tests = [
+        f"CASE WHEN {_stated_guard(n, p)} AND sentence RLIKE {quoted(FLAGS + p)} AND {_unnegated_sql('sentence', p)} THEN {quoted(n)} END"
+        for n, p in rules.items()
+    ]
+    return f"array_compact(array({', '.join(tests)}))"
+
+
 def stated_labels(sents: DataFrame, rules: dict[str, str], key: str = "doc_id") -> DataFrame:
     """(key, label): labels some sentence states without negating them."""
-    tests = [f"CASE WHEN sentence RLIKE {quoted(FLAGS + p)} AND {_unnegated_sql('sentence', p)} THEN {quoted(n)} END" for n, p in rules.items()]
-    met = sents.select(key, F.explode_outer(F.expr(f"array_compact(array({', '.join(tests)}))")).alias("label"))
+    labels = F.expr(bind(fold_case_sql("sentence"), "low", _labels_sql(rules)))
+    met = sents.select(key, F.explode_outer(labels).alias("label"))
     return met.where(F.col("label").isNotNull()).distinct()
 
 
@@ -125,8 +144,25 @@ def used_purposes(sents: DataFrame, claims: DataFrame, key: str = "doc_id") -> D
     return stated_labels(sents, D.PURPOSES, key).unionByName(trained).distinct()
 
 
+def _says_sql(text: str, pattern: str) -> str:
+    return bind(fold_case_sql(text), "low", f"{guards_sql('low', D.SHARING_GUARD)} AND {text} RLIKE {quoted(FLAGS + pattern)}")
+
+
+_SHARING = f"({_says_sql('sentence', D.SHARING_SENTENCE)} OR {_says_sql('heading', D.SHARING_HEADING)})"
+
+
 def sharing_sentences(sents: DataFrame) -> DataFrame:
-    return sents.where(F.col("sentence").rlike(FLAGS + D.SHARING_SENTENCE) | F.col("heading").rlike(FLAGS + D.SHARING_HEADING))
+    return sents.where(_SHARING)
+
+
+def purposes_and_recipients(sents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, label, kind): ``used_purposes`` and the recipients that sharing sentences state, in one pass over the sentences."""
+    training = next(r for r in D.CLAUSES if r.name == "training_on_user_content")
+    purposes = f"concat({_labels_sql(D.PURPOSES)}, CASE WHEN {_claim_sql(training)} THEN array('ai_training') ELSE array() END)"
+    recipients = f"CASE WHEN {_SHARING} THEN {_labels_sql(D.RECIPIENTS)} ELSE array() END"
+    both = [f"transform({labels}, n -> named_struct('label', n, 'kind', '{kind}'))" for labels, kind in ((purposes, "purpose"), (recipients, "recipient"))]
+    met = sents.select(key, F.explode_outer(F.expr(bind(fold_case_sql("sentence"), "low", f"concat({', '.join(both)})"))).alias("m"))
+    return met.where(F.col("m").isNotNull()).select(key, "m.label", "m.kind").distinct()
 
 
 def collected(sents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -179,10 +215,13 @@ def rights_and_contacts(sents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def retention(sents: DataFrame, clauses: DataFrame, key: str = "doc_id") -> DataFrame:
     """Retention class (the last statement wins, a clause beats both) and stated period."""
-    low = F.lower("sentence")
-    period = F.regexp_extract(low, "(?Ud)" + D.PERIOD, 1)
-    until = low.rlike("(?Ud)" + D.UNTIL_DELETION)
-    kind = F.when(until, "until_deletion").when(period != "", "stated_period")
+    # most sentences lack the words and end at the guards
+    period = f"CASE WHEN {guards_sql('low', D.PERIOD_GUARD)} THEN regexp_extract(low, {quoted('(?Ud)' + D.PERIOD)}, 1) ELSE '' END"
+    until = f"{guards_sql('low', D.UNTIL_DELETION_GUARD)} AND low RLIKE {quoted('(?Ud)' + D.UNTIL_DELETION)}"
+    read = F.expr(bind("lower(sentence)", "low", f"named_struct('period', {period}, 'until', {until})"))
+    sents = sents.select(key, "pos", read.alias("r")).select(key, "pos", F.col("r.period").alias("period"), F.col("r.until").alias("until"))
+    period = F.col("period")
+    kind = F.when(F.col("until"), "until_deletion").when(period != "", "stated_period")
     g = sents.groupBy(key).agg(
         F.max_by(kind, F.when(kind.isNotNull(), F.col("pos"))).alias("kind"),
         F.max_by(F.when(period != "", period), F.when(period != "", F.col("pos"))).alias("period"),

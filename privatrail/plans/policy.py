@@ -129,9 +129,7 @@ def l05(spark, sf):
     UNION ALL SELECT DISTINCT doc_id, label, 'recipient' FROM (WITH src AS (SELECT * FROM sent WHERE regexp_matches(sentence, {_q('(?i)' + K.SHARING_SENTENCE)}) OR regexp_matches(heading, {_q('(?i)' + K.SHARING_HEADING)})) {_stated(K.RECIPIENTS)}) y"""),
 )
 def l06(spark, sf):
-    s = _sents(spark, sf)
-    used = L.used_purposes(s, L.clause_claims(s)).withColumn("kind", F.lit("purpose"))
-    return used.unionByName(L.stated_labels(L.sharing_sentences(s), K.RECIPIENTS).withColumn("kind", F.lit("recipient")))
+    return L.purposes_and_recipients(_sents(spark, sf))
 
 
 _rights = ", ".join(f"CASE WHEN bool_or(regexp_matches(lower(sentence), {_q(p)})) THEN '{n}' END" for n, p in K.RIGHTS.items())

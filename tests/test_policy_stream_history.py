@@ -2,6 +2,7 @@
 
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from privatrail.dims import policy as K
@@ -31,6 +32,39 @@ def test_clauses(spark):
     assert got[2, "data_sale"].confidence == 0.96 and got[2, "data_sale"].sentence == "We may sell personal data."
 
 
+def test_guards_hold_whenever_their_patterns_match():
+    import re
+
+    def holds(guard, text):
+        return all(any(w in text.lower() for w in group) for group in guard)
+
+    said = [p for text in K.MODEL_PARAGRAPHS for p in (text, *text.split("; "))] + [
+        "We may disclose details to a third-party.", "Data that is sold", "Licence to your work: royalty-free right", "uploads are used for training",
+        "artificial intelligence may be developed from input by developing models", "after you close it we preserve your data",
+        "closing an account does not remove backup data", "no right to a jury trial", "disputes go to arbitration",
+        "we reserve the right to amend terms", "membership renews unless told", "we keep charging: continuing to be billed on a plan",
+        "courts have exclusive jurisdiction under the laws", "a cap on liability", "damages shall not exceed the fee", "legal age by birth",
+        "for any reason we suspend access", "international data transfers of content", "cross-border processes: we process data cross-border",
+        "fulfilment of the order", "newsletters", "regulatory requirements", "analyse trends", "machine learning training", "advertising profiles",
+    ]
+    pairs = [(p, r.guard) for r in K.CLAUSES for p in r.positive]
+    pairs += [(p, K.STATED_GUARDS[n]) for rules in (K.PURPOSES, K.RECIPIENTS) for n, p in rules.items()]
+    pairs += [(K.PERIOD, K.PERIOD_GUARD), (K.UNTIL_DELETION, K.UNTIL_DELETION_GUARD), (K.SHARING_SENTENCE, K.SHARING_GUARD)]
+    rules = {p: r.requires for r in K.CLAUSES for p in r.positive}
+    met = {p for p, g in pairs for t in said if re.search(p, t, re.I) and re.search(rules.get(p, ""), t, re.I) and (holds(g, t) or pytest.fail(f"{p}: {t}"))}
+    assert len(met) >= 30
+
+
+def test_guards_fold_letters_as_the_patterns_do(spark):
+    docs = _docs(spark, "We may ſell perſonal data.", "We may SELL PERSONAL DATA WİTH a thİrd party: we share dİsclosed data with affİliates.", "  ſhared with data broKers  ")
+    sents = L.sentences(docs)
+    assert {(r.doc_id, r.clause) for r in L.clause_claims(sents).collect()} >= {(0, "data_sale"), (1, "data_sale"), (1, "third_party_sharing")}
+    one = {(r.doc_id, r.label, r.kind) for r in L.purposes_and_recipients(sents).collect()}
+    apart = {(r.doc_id, r.label, "purpose") for r in L.used_purposes(sents, L.clause_claims(sents)).collect()}
+    apart |= {(r.doc_id, r.label, "recipient") for r in L.stated_labels(L.sharing_sentences(sents), K.RECIPIENTS).collect()}
+    assert one == apart and {(1, "affiliates", "recipient"), (2, "data_brokers", "recipient")} <= one
+
+
 def test_collection_and_labels(spark):
     docs = _docs(
         spark,
