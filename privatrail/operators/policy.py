@@ -171,13 +171,17 @@ def collected(sents: DataFrame, key: str = "doc_id") -> DataFrame:
     Only the part of a sentence that names what is taken counts: all of it under a collection
     heading, else what follows the verb, or the last enumeration behind it.
     """
-    verb = F.regexp_extract("sentence", "(?s)" + FLAGS + "^.*?" + D.COLLECTION_VERB, 0)
-    handling = F.regexp_extract("sentence", "(?s)" + FLAGS + "^.*?" + D.HANDLING_VERB, 0)
+    def up_to(pattern: str, guard: D.Guard) -> str:
+        # most sentences lack the verbs and end at the guard
+        return f"CASE WHEN {guards_sql('low', guard)} THEN length(regexp_extract(sentence, {quoted('(?s)' + FLAGS + '^.*?' + pattern)}, 0)) ELSE 0 END"
+
+    handling = f"named_struct('has_verb', false, 'after', {up_to(D.HANDLING_VERB, D.HANDLING_GUARD)})"
+    after = bind(up_to(D.COLLECTION_VERB, D.COLLECTION_GUARD), "n", f"CASE WHEN n > 0 THEN named_struct('has_verb', true, 'after', n) ELSE {handling} END")
     headed = F.col("heading").rlike(FLAGS + D.COLLECTION_HEADING)
-    after = F.when(verb != "", F.length(verb)).otherwise(F.length(handling))
     rest = F.expr("substr(sentence, after + 1)")
     listed = F.regexp_extract(rest, "(?s)" + FLAGS + "^.*" + D.ENUMERATION, 0)
-    cut = sents.withColumn("headed", headed).withColumn("has_verb", verb != "").withColumn("after", after)
+    cut = sents.select(key, "sentence", headed.alias("headed"), F.expr(bind(fold_case_sql("sentence"), "low", after)).alias("found"))
+    cut = cut.select(key, "sentence", "headed", F.col("found.has_verb").alias("has_verb"), F.col("found.after").alias("after"))
     cut = cut.where(F.col("headed") | (F.col("after") > 0)).withColumn("listed", F.length(listed))
     cut = cut.where(F.col("headed") | F.col("has_verb") | (F.col("listed") > 0)).withColumn(
         "at", F.when(F.col("headed"), 0).otherwise(F.col("after") + F.col("listed"))

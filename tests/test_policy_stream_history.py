@@ -50,6 +50,7 @@ def test_guards_hold_whenever_their_patterns_match():
     pairs = [(p, r.guard) for r in K.CLAUSES for p in r.positive]
     pairs += [(p, K.STATED_GUARDS[n]) for rules in (K.PURPOSES, K.RECIPIENTS) for n, p in rules.items()]
     pairs += [(K.PERIOD, K.PERIOD_GUARD), (K.UNTIL_DELETION, K.UNTIL_DELETION_GUARD), (K.SHARING_SENTENCE, K.SHARING_GUARD)]
+    pairs += [(K.COLLECTION_VERB, K.COLLECTION_GUARD), (K.HANDLING_VERB, K.HANDLING_GUARD)]
     rules = {p: r.requires for r in K.CLAUSES for p in r.positive}
     met = {p for p, g in pairs for t in said if re.search(p, t, re.I) and re.search(rules.get(p, ""), t, re.I) and (holds(g, t) or pytest.fail(f"{p}: {t}"))}
     assert len(met) >= 30
