@@ -57,6 +57,12 @@ def marked_sql(text: str, pattern: str, labelled: bool = False, flags: str = FLA
     return f"regexp_replace({text}, {quoted(flags + pattern)}, {wrapped})"
 
 
+def marked_between_sql(text: str, pattern: str) -> str:
+    """The same for a pattern of three groups, the second of which is the match and the value; what the others take stays
+    outside, but no other match has it."""
+    return f"regexp_replace({text}, {quoted(pattern)}, '$1\\u0001$2\\u0002$2\\u0003$3')"
+
+
 def spans_sql(marked: str) -> str:
     """SQL text for the matches in a marked text with exact offsets, as array<struct<s, e, v, m>> (value and match).
 

@@ -83,29 +83,35 @@ def _pick(values: dict[int, str], otherwise: str) -> str:
     return f"CASE {branches} ELSE {otherwise} END" if branches else otherwise
 
 
-def _marked_rule_sql(text: str, rule: Rule, ascii_words: bool) -> str:
+def _marked_rule_sql(text: str, rule: Rule, ascii_words: bool, taking_neighbours: bool) -> str:
+    if taking_neighbours:
+        return T.marked_between_sql(text, P.TAKING_NEIGHBOURS[rule.category])
     if ascii_words:
         return T.marked_sql(text, T.ascii_words(rule.pattern), rule.labelled, T.ASCII_FLAGS)
     return T.marked_sql(text, rule.pattern, rule.labelled)
 
 
-def _scan_sql(text: str, categories: list[str] | None = None, ascii_words: tuple[str, ...] = ()) -> str:
+def _scan_sql(
+    text: str, categories: list[str] | None = None, ascii_words: tuple[str, ...] = (), taking_neighbours: tuple[str, ...] = ()
+) -> str:
     """SQL text for all matches inside one text, as one array of (s, e, v, category, confidence, validated, ord).
 
     The guards are looked up once a text and leave the rules that could match. Their patterns stand in one CASE; walking
     the matches, cutting, checking and naming them is written once and driven by the rule's number r. Only the rules of
     ``categories`` are built (all without it; those in ``ascii_words`` with word characters of ASCII), and for phones those that keep a phone from starting inside them. A
-    result never depends on how texts are cut, as they are not.
+    result never depends on how texts are cut, as they are not. Categories in ``taking_neighbours`` have their free-standing
+    pattern alone, with its neighbours taken; as phones there, nothing keeps them from starting inside other numbers.
     """
-    wanted = None if categories is None else {*categories, *(P.PHONE_BLOCKERS if "phone" in categories else ())}
-    rules = {i: r for i, r in enumerate(RULES) if wanted is None or r.category in wanted}
+    blocked = "phone" not in taking_neighbours
+    wanted = None if categories is None else {*categories, *(P.PHONE_BLOCKERS if blocked and "phone" in categories else ())}
+    rules = {i: r for i, r in enumerate(RULES) if (wanted is None or r.category in wanted) and not (r.labelled and r.category in taking_neighbours)}
     none = "CAST(array() AS array<struct<s:int,e:int,v:string,category:string,confidence:double,validated:boolean,ord:int>>)"
     if not rules:
         return none
     on_card = f"(hd AND {card_named_sql(text, 'fw')})" if any(r.guard == "card" for r in rules.values()) else "false"
     tests = [f"CASE WHEN {on_card if r.guard == 'card' else r.guard} THEN {i} END" for i, r in rules.items()]
     could = f"filter(array({', '.join(tests)}), r -> r IS NOT NULL)"
-    marked = "CASE r " + " ".join(f"WHEN {i} THEN {_marked_rule_sql(text, r, r.category in ascii_words)}" for i, r in rules.items()) + " END"
+    marked = "CASE r " + " ".join(f"WHEN {i} THEN {_marked_rule_sql(text, r, r.category in ascii_words, r.category in taking_neighbours)}" for i, r in rules.items()) + " END"
     spans = T.spans_sql(marked)
     iban = [i for i, r in rules.items() if r.check == "iban"]
     if iban:
@@ -121,7 +127,7 @@ def _scan_sql(text: str, categories: list[str] | None = None, ascii_words: tuple
         f"'confidence', {sure}, 'validated', coalesce(y.ok, false), 'ord', r))"
     )
     body = f"flatten(transform({could}, r -> {tagged}))"
-    if any(r.category == "phone" for r in rules.values()):
+    if blocked and any(r.category == "phone" for r in rules.values()):
         # a phone number does not start inside a card, IBAN or security number
         blocker = "b.category IN (" + ", ".join(f"'{c}'" for c in P.PHONE_BLOCKERS) + ")"
         last = len(RULES) - 1  # the labelled pattern for phones is another rule
@@ -137,17 +143,19 @@ def card_named_sql(text: str, folded: str) -> str:
 
 def find_matches(
     docs: DataFrame, key: list[str] | None = None, text: str = "text", categories: list[str] | None = None,
-    distinct_texts: bool = False, ascii_words: tuple[str, ...] = (),
+    distinct_texts: bool = False, ascii_words: tuple[str, ...] = (), taking_neighbours: tuple[str, ...] = (),
 ) -> DataFrame:
     """Every match of every pattern: (key, category, start, end, value, confidence, validated).
 
     The scan is map-only; only matches are shuffled, to merge those that several patterns report. ``categories`` builds
     the patterns of these alone. ``distinct_texts`` scans each distinct text once and joins the result back. Categories
-    in ``ascii_words`` are read as engines without Unicode classes read them: an accented letter ends a word.
+    in ``ascii_words`` are read as engines without Unicode classes read them: an accented letter ends a word. Those in
+    ``taking_neighbours`` (of ``P.TAKING_NEIGHBOURS``) are read as engines without look-arounds read them: of two numbers one
+    character apart the second lacks that character.
     """
     key = key or ["doc_id"]
     clean = docs.where(F.col(text).isNotNull()).select(*key, T.clean_text(F.col(text)).alias("text"))
-    scan = F.expr(_scan_sql("text", categories, ascii_words))
+    scan = F.expr(_scan_sql("text", categories, ascii_words, taking_neighbours))
     if distinct_texts:
         keyed = clean.withColumn("digest", F.sha2("text", 256))
         once = keyed.groupBy("digest").agg(F.first("text").alias("text"))
