@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from privatrail.dims import policy as D
-from privatrail.functions.text import FLAGS, fold_case_sql, guards_sql, match_spans_sql
+from privatrail.functions.text import FLAGS, fold_case_sql, guards_sql, match_spans_sql, rows_with
 from privatrail.functions.validators import bind, quoted
 from privatrail.operators.pii import redact
 
@@ -28,11 +28,13 @@ def _is_heading(p: Column) -> Column:
     return (F.length(p) < 90) & ~p.rlike("[.!?;]") & (F.endswith(p, F.lit(":")) | (words <= 5))
 
 
-def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def sentences(docs: DataFrame, key: str = "doc_id", could: list[D.Guard] | None = None, every_text: bool = False) -> DataFrame:
     """(key, pos, sentence, heading): the sentences of whole texts, line by line, each with its running heading.
 
     Map-only: a text's lines are divided into sections at its headings inside the row, and the sections exploded.
-    ``pos`` is the line times 2^32 plus the place in it, so it orders any text.
+    ``pos`` is the line times 2^32 plus the place in it, so it orders any text. With ``could`` only
+    lines that hold all that one of these guards asks for are cut, the others have no sentences here; ``every_text`` then
+    leaves each text that has a sentence one at least.
     """
     lines = F.filter(
         F.transform(F.split("text", "\n+"), lambda x, i: F.struct(i.alias("line"), _trimmed(x).alias("p"))), lambda s: s["p"] != ""
@@ -46,14 +48,28 @@ def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         ),
     )
     out = docs.select(key, lines.alias("_lines")).select(key, "_lines", heads.alias("_heads"))
-    out = out.select(key, F.explode(section).alias("s")).select(key, "s.heading", F.explode("s.lines").alias("l"))
-    cut = F.regexp_replace("l.p", r"([.!?])\s+", "$1" + CUT)
-    turns = F.contains(F.col("l.p"), F.lit(";"))
+    if every_text:
+        # a line that does not begin with a semicolon has a sentence
+        out = out.withColumn("_proof", F.get(F.filter("_lines", lambda s: ~F.startswith(s["p"], F.lit(";"))), 0)["line"])
+    kept = ["_proof"] if every_text else []
+    out = out.select(key, *kept, F.explode(section).alias("s")).select(key, *kept, "s.heading", F.explode("s.lines").alias("l"))
+    out = out.select(key, *kept, "heading", "l.line", "l.p")
+    if could is not None:
+        words = [w for g in could for w in min(g, key=len)]
+        wanted = F.expr(bind(fold_case_sql("p"), "low", " OR ".join(f"({guards_sql('low', g)})" for g in could)))
+        if every_text:
+            proof = F.startswith("p", F.lit(";")) | F.coalesce(F.col("line") == F.col("_proof"), F.lit(False))
+            out = rows_with(out.select(key, "heading", "line", "p", proof.alias("_kept")), "p", words, "_kept")
+            out = out.where(F.col("_kept") | wanted)
+        else:
+            out = rows_with(out, "p", words).where(wanted)
+    cut = F.regexp_replace("p", r"([.!?])\s+", "$1" + CUT)
+    turns = F.contains(F.col("p"), F.lit(";"))
     for word in ("but", "however", "nevertheless"):
-        turns = turns | F.contains(F.col("l.p"), F.lit(word))
+        turns = turns | F.contains(F.col("p"), F.lit(word))
     cut = F.when(turns, F.regexp_replace(cut, r";\s*|\s+(?:but|however|nevertheless)\s+", CUT)).otherwise(cut)
     parts = F.filter(F.transform(F.split(cut, CUT), lambda s: F.trim(s)), lambda s: s != "")
-    out = out.select(key, "heading", F.col("l.line").alias("line"), F.posexplode(parts).alias("part", "sentence"))
+    out = out.select(key, "heading", "line", F.posexplode(parts).alias("part", "sentence"))
     return out.select(key, (F.shiftleft(F.col("line").cast("long"), 32) + F.col("part")).alias("pos"), "sentence", "heading")
 
 
@@ -63,22 +79,31 @@ def _claim_sql(rule: D.ClauseRule) -> str:
     return claim + (f" AND NOT sentence RLIKE {quoted(any_of(rule.negative))}" if rule.negative else "")
 
 
-def clause_claims(sents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos, clause, confidence, sentence, heading): sentences that really are a clause."""
+def _clause_rules(clauses: list[str] | None) -> list[D.ClauseRule]:
+    return [r for r in D.CLAUSES if clauses is None or r.name in clauses]
+
+
+def claim_guards(clauses: list[str] | None = None) -> list[D.Guard]:
+    """What a line must hold for a sentence of it to be one of ``clauses`` (of all without it)."""
+    return [r.guard for r in _clause_rules(clauses)]
+
+
+def clause_claims(sents: DataFrame, key: str = "doc_id", clauses: list[str] | None = None) -> DataFrame:
+    """(key, pos, clause, confidence, sentence, heading): sentences that really are one of ``clauses`` (of all without it)."""
     found = []
-    for rule in D.CLAUSES:
+    for rule in _clause_rules(clauses):
         scoped = " OR ".join(f"contains(lower(heading), {quoted(word.lower())})" for word in rule.scope) or "false"
         found.append(f"CASE WHEN {_claim_sql(rule)} THEN named_struct('clause', {quoted(rule.name)}, 'confidence', CASE WHEN {scoped} THEN 0.96D ELSE 0.9D END) END")
-    clauses = F.expr(bind(fold_case_sql("sentence"), "low", f"array_compact(array({', '.join(found)}))"))
+    met = F.expr(bind(fold_case_sql("sentence"), "low", f"array_compact(array({', '.join(found)}))"))
     # outer: a plain explode would have the optimizer test the array first, and so match every pattern twice
-    met = sents.select(key, "pos", "sentence", "heading", F.explode_outer(clauses).alias("c"))
-    return met.where(F.col("c").isNotNull()).select(key, "pos", "c.clause", "c.confidence", "sentence", "heading")
+    out = sents.select(key, "pos", "sentence", "heading", F.explode_outer(met).alias("c"))
+    return out.where(F.col("c").isNotNull()).select(key, "pos", "c.clause", "c.confidence", "sentence", "heading")
 
 
 def best_clauses(claims: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One sentence per document and clause: the most confident, of those the first."""
+    """One sentence per document and clause: the most confident, of those the first. Only given columns are carried."""
     best = F.min_by(
-        F.struct("pos", "confidence", "sentence", "heading"), F.struct((-F.col("confidence")).alias("c"), F.col("pos").alias("p"))
+        F.struct(*[c for c in claims.columns if c not in (key, "clause")]), F.struct((-F.col("confidence")).alias("c"), F.col("pos").alias("p"))
     )
     return claims.groupBy(key, "clause").agg(best.alias("b")).select(key, "clause", "b.*")
 
@@ -217,21 +242,32 @@ def rights_and_contacts(sents: DataFrame, key: str = "doc_id") -> DataFrame:
     return out
 
 
-def retention(sents: DataFrame, clauses: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Retention class (the last statement wins, a clause beats both) and stated period."""
+def retention_guards() -> list[D.Guard]:
+    """What a line must hold for a sentence of it to say how long data is kept."""
+    return [D.PERIOD_GUARD, D.UNTIL_DELETION_GUARD, *claim_guards([D.KEPT_CLAUSE])]
+
+
+def retention(sents: DataFrame, clauses: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Retention class (the last statement wins, a clause beats both) and stated period. Without ``clauses`` the clause is
+    looked for in the same pass."""
     # most sentences lack the words and end at the guards
     period = f"CASE WHEN {guards_sql('low', D.PERIOD_GUARD)} THEN regexp_extract(low, {quoted('(?Ud)' + D.PERIOD)}, 1) ELSE '' END"
     until = f"{guards_sql('low', D.UNTIL_DELETION_GUARD)} AND low RLIKE {quoted('(?Ud)' + D.UNTIL_DELETION)}"
+    claim = bind(fold_case_sql("sentence"), "low", _claim_sql(_clause_rules([D.KEPT_CLAUSE])[0])) if clauses is None else "false"
     read = F.expr(bind("lower(sentence)", "low", f"named_struct('period', {period}, 'until', {until})"))
-    sents = sents.select(key, "pos", read.alias("r")).select(key, "pos", F.col("r.period").alias("period"), F.col("r.until").alias("until"))
+    sents = sents.select(key, "pos", read.alias("r"), F.expr(claim).alias("kept"))
+    sents = sents.select(key, "pos", "kept", F.col("r.period").alias("period"), F.col("r.until").alias("until"))
     period = F.col("period")
     kind = F.when(F.col("until"), "until_deletion").when(period != "", "stated_period")
     g = sents.groupBy(key).agg(
         F.max_by(kind, F.when(kind.isNotNull(), F.col("pos"))).alias("kind"),
         F.max_by(F.when(period != "", period), F.when(period != "", F.col("pos"))).alias("period"),
+        F.bool_or("kept").alias("kept"),
     )
-    kept = clauses.where("clause = 'retention_after_deletion'").select(key).distinct().withColumn("kept", F.lit(True))
-    return g.join(kept, key, "left").select(
+    if clauses is not None:
+        claimed = clauses.where(F.col("clause") == D.KEPT_CLAUSE).select(key).distinct().withColumn("kept", F.lit(True))
+        g = g.drop("kept").join(claimed, key, "left")
+    return g.select(
         key, F.when(F.col("kept"), "after_deletion").otherwise(F.coalesce("kind", F.lit("unspecified"))).alias("retention"), "period"
     )
 

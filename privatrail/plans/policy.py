@@ -82,8 +82,17 @@ def _sents(spark, sf):
     return L.sentences(_docs(spark, sf))
 
 
+def _claims(spark, sf, clauses=None):
+    return L.clause_claims(L.sentences(_docs(spark, sf), could=L.claim_guards(clauses)), clauses=clauses)
+
+
 def _best(spark, sf):
-    return L.best_clauses(L.clause_claims(_sents(spark, sf)))
+    return L.best_clauses(_claims(spark, sf))
+
+
+def _clauses(spark, sf):
+    """The clauses of each text, whichever sentence says them best."""
+    return _claims(spark, sf).select("doc_id", "clause").distinct()
 
 
 @query("l01_sentences", _sql("SELECT doc_id, pos, sha256(sentence) AS sentence, heading FROM sent"))
@@ -93,12 +102,12 @@ def l01(spark, sf):
 
 @query("l02_clause_claims", _sql("SELECT doc_id, pos, clause, confidence FROM claims"))
 def l02(spark, sf):
-    return L.clause_claims(_sents(spark, sf)).select("doc_id", "pos", "clause", "confidence")
+    return _claims(spark, sf).select("doc_id", "pos", "clause", "confidence")
 
 
 @query("l03_best_clauses", _sql("SELECT doc_id, clause, pos, confidence FROM best"))
 def l03(spark, sf):
-    return _best(spark, sf).select("doc_id", "clause", "pos", "confidence")
+    return L.best_clauses(_claims(spark, sf).select("doc_id", "clause", "pos", "confidence"))
 
 
 @query("l03_citations")
@@ -114,7 +123,7 @@ def l03_citations(spark, sf):
     FROM policy_texts d LEFT JOIN (SELECT doc_id, list(clause) AS c FROM best GROUP BY doc_id) b USING (doc_id)"""),
 )
 def l04(spark, sf):
-    out = L.terms_summary(_docs(spark, sf), _best(spark, sf))
+    out = L.terms_summary(_docs(spark, sf), _clauses(spark, sf))
     return out.select("doc_id", "digest", "missing", F.array_join("clauses", ",").alias("clauses"), F.array_join("ordinary", ",").alias("ordinary"))
 
 
@@ -153,7 +162,7 @@ def l07(spark, sf):
     LEFT JOIN (SELECT doc_id FROM best WHERE clause = 'retention_after_deletion') b ON b.doc_id = s.doc_id GROUP BY s.doc_id"""),
 )
 def l08(spark, sf):
-    return L.retention(_sents(spark, sf), _best(spark, sf))
+    return L.retention(L.sentences(_docs(spark, sf), could=L.retention_guards(), every_text=True))
 
 
 @query(
@@ -172,7 +181,7 @@ def l09(spark, sf):
     FROM best JOIN policy_texts USING (doc_id) GROUP BY site"""),
 )
 def l10(spark, sf):
-    by_site = _best(spark, sf).select("doc_id", "clause").join(_docs(spark, sf).select("doc_id", "site"), "doc_id")
+    by_site = _clauses(spark, sf).join(_docs(spark, sf).select("doc_id", "site"), "doc_id")
     return L.merge_site_profiles(by_site).withColumn("clauses", F.array_join("clauses", ","))
 
 
@@ -194,7 +203,7 @@ MATERIAL = [(r.name, r.material) for r in K.CLAUSES]
 )
 def l12(spark, sf):
     dim = F.broadcast(dimension(spark, MATERIAL, "clause, material"))
-    b = _best(spark, sf).select("doc_id", "clause").join(_docs(spark, sf).select("doc_id", "source"), "doc_id").join(dim, "clause")
+    b = _clauses(spark, sf).join(_docs(spark, sf).select("doc_id", "source"), "doc_id").join(dim, "clause")
     return b.groupBy("source", "material").agg(F.count("*").alias("clauses"), F.count_distinct("doc_id").alias("docs"))
 
 
@@ -203,7 +212,7 @@ def l12(spark, sf):
     _sql("SELECT *, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM (SELECT count(CASE WHEN e AND o THEN 1 END) AS tp, count(CASE WHEN NOT e AND o THEN 1 END) AS fp, count(CASE WHEN e AND NOT o THEN 1 END) AS fn FROM (SELECT l.quality = 1 AS e, b.doc_id IS NOT NULL AS o FROM labels l LEFT JOIN (SELECT DISTINCT doc_id FROM best WHERE clause = 'data_sale') b USING (doc_id)) x) y"),
 )
 def l13(spark, sf):
-    seen = _best(spark, sf).where("clause = 'data_sale'").select("doc_id").distinct().withColumn("hit", F.lit(True))
+    seen = _claims(spark, sf, ["data_sale"]).select("doc_id").distinct().withColumn("hit", F.lit(True))
     gold = read_table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("expected"))
     return L.micro_f1(gold.join(seen, "doc_id", "left").withColumn("observed", F.col("hit").isNotNull()))
 

@@ -66,6 +66,21 @@ def test_guards_fold_letters_as_the_patterns_do(spark):
     assert one == apart and {(1, "affiliates", "recipient"), (2, "data_brokers", "recipient")} <= one
 
 
+def test_lines_that_could_hold_no_clause_are_not_cut(spark, sf):
+    docs = model(spark, sf, "policy_texts").select("doc_id", "text")
+    odd = [";", "; but ;", ";;\nplain words", "We may ſell perſonal data. More. And more.\n;", "DATA İS SOLD; WE KEEP DATA 30 DAYS", "  ", None, "Sale\nData ıs sold.\nnothing here"]
+    docs = docs.unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    whole, few = L.sentences(docs), L.sentences(docs, could=L.claim_guards())
+    assert sorted(L.clause_claims(few).collect()) == sorted(L.clause_claims(whole).collect())
+    assert few.count() < whole.count() / 4
+    one = L.clause_claims(L.sentences(docs, could=L.claim_guards(["data_sale"])), clauses=["data_sale"])
+    assert sorted(one.collect()) == sorted(L.clause_claims(whole).where("clause = 'data_sale'").collect())
+    apart = {tuple(r) for r in L.retention(whole, L.clause_claims(whole)).collect()}
+    kept = L.sentences(docs, could=L.retention_guards(), every_text=True)
+    assert {tuple(r) for r in L.retention(kept).collect()} == apart and kept.count() < whole.count() / 4
+    assert {r[0] for r in apart if r[0] < 0} == {-2, -3, -4, -5, -8}
+
+
 def test_collection_and_labels(spark):
     docs = _docs(
         spark,
