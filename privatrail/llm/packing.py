@@ -2,9 +2,9 @@
 
 Documents longer than a sequence are cut from the back into full pieces, which are sequences of their own; the rest are
 items. Items are dealt over blocks of about BLOCK_ITEMS by a hash, and each block evolves on several islands: an
-individual is a set of bins, its seed a best fit of the items by falling size with a little noise. Crossover injects
-whole well-filled bins of one parent into another, drops the bins that hold an injected item, and puts their displaced
-items where they fit best. After each epoch an island's best individual migrates to the next island of its block. A
+individual is a set of bins, its seed a best fit of the items in nearly random order. Crossover injects bins of one parent's
+fuller half into another, drops the bins that hold an injected item and the emptiest, and makes new bins of their
+displaced items, each the largest and those that fill it best. After each epoch an island's best individual migrates to the next island of its block. A
 block is done when it has no more bins than its tokens need. Bins that stay badly filled are opened again, and their
 items packed once more over all blocks.
 
@@ -30,7 +30,11 @@ from privatrail.llm.common import cut
 
 CAPACITY = 2048
 BLOCK_ITEMS = 4096
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 3, 6
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 16
+#: Items among which a crossover looks for those that fill a bin.
+CHOICE = 96
+#: Of the order in which seeds are fitted: what is good about a packing has to come out of the crossovers.
+NOISE = 100.0
 #: Bins filled less than this are packed again over all blocks.
 OPEN_BELOW = 0.97
 SPECIAL = "<|endoftext|>"
@@ -130,16 +134,49 @@ def _seeded(sizes: list[int], capacity: int, rng: random.Random, noise: float) -
     return out
 
 
+def fullest(sizes: list[int], items: list[int], room: int) -> list[int]:
+    """Of the items those that fill the room best: sums that can be reached are the bits of a number."""
+    reach = [1]
+    within = (1 << (room + 1)) - 1
+    for i in items:
+        reach.append((reach[-1] | reach[-1] << sizes[i]) & within)
+        if reach[-1] >> room:
+            break
+    total = reach[-1].bit_length() - 1
+    chosen = []
+    for k in range(len(reach) - 1, 0, -1):
+        if not reach[k - 1] >> total & 1:
+            chosen.append(items[k - 1])
+            total -= sizes[items[k - 1]]
+    return chosen
+
+
+def refill(out: Bins, items: list[int], rng: random.Random) -> None:
+    """New bins, each round the largest item left and what fills it best among some others; when these no longer fill a bin,
+    the rest goes where it fits best."""
+    left = sorted(items, key=lambda i: out.sizes[i])
+    while left:
+        first = left.pop()
+        at = rng.sample(range(len(left)), min(CHOICE, len(left)))
+        chosen = fullest(out.sizes, [left[k] for k in at], out.capacity - out.sizes[first])
+        if out.capacity - out.sizes[first] - sum(out.sizes[i] for i in chosen) > out.capacity // 64:
+            left.append(first)
+            break
+        out.add([first, *chosen])
+        gone = set(chosen)
+        left = [i for i in left if i not in gone]
+    out.best_fit(left[::-1])
+
+
 def crossover(a: Bins, b: Bins, rng: random.Random) -> Bins:
-    """Well-filled bins of b go whole into a; a's bins that share an item with them are opened again."""
-    good = [k for k in range(len(b.held)) if b.free[k] <= b.capacity // 64]
-    rng.shuffle(good)
-    injected = [list(b.held[k]) for k in good[: max(1, len(good) // 4)]]
+    """Bins of b's fuller half go whole into a; a's bins that share an item with them are opened again, and its emptiest."""
+    good = sorted(range(len(b.held)), key=lambda k: b.free[k])[: -(-len(b.held) // 2)]
+    injected = [list(b.held[k]) for k in rng.sample(good, -(-len(good) // 2))]
     taken = {i for items in injected for i in items}
     out = Bins(a.sizes, a.capacity)
     displaced: list[int] = []
     # the emptiest bins are opened too: their items may fit into gaps
-    worst = set(sorted(range(len(a.held)), key=lambda k: -a.free[k])[: max(1, len(a.held) // 50)])
+    worst = set(sorted((k for k in range(len(a.held)) if a.free[k]), key=lambda k: -a.free[k])[: max(1, len(a.held) // 8)])
     for k, items in enumerate(a.held):
         if k in worst or not taken.isdisjoint(items):
             displaced += [i for i in items if i not in taken]
@@ -147,7 +184,7 @@ def crossover(a: Bins, b: Bins, rng: random.Random) -> Bins:
             out.add(list(items))
     for items in injected:
         out.add(items)
-    out.best_fit(sorted(displaced, key=lambda i: -a.sizes[i]))
+    refill(out, displaced, rng)
     return out
 
 
@@ -165,13 +202,15 @@ def evolve(sizes: list[int], capacity: int, seed: int, guests: list[list[int]])
             guest.add(items)
         people.append(guest)
     while len(people) < POPULATION:
-        people.append(_seeded(sizes, capacity, rng, 0.0 if not people else 0.15))
-        if len(people[-1].held) <= least:
-            return people[-1]
-    for _ in range(GENERATIONS):
+        people.append(_seeded(sizes, capacity, rng, NOISE))
+    for generation in range(GENERATIONS):
         people.sort(key=Bins.fitness, reverse=True)
         if len(people[0].held) <= least:
             break
+        if generation == GENERATIONS // 4:
+            # where crossovers alone have not reached the bound, a packing by falling size joins: the result is never worse
+            people[-1] = _seeded(sizes, capacity, rng, 0.0)
+            people.sort(key=Bins.fitness, reverse=True)
         a, b = rng.sample(people, 2)
         child = crossover(a, b, rng)
         if child.fitness() > people[-1].fitness():

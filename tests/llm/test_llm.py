@@ -391,6 +391,23 @@ def test_crossover_keeps_every_item_once():
         assert all(f == 1000 - sum(sizes[i] for i in items) >= 0 for items, f in zip(a.held, a.free, strict=True))
 
 
+def test_crossovers_make_the_packing(monkeypatch):
+    rng = random.Random(3)
+    three = [x for _ in range(400) for a, b in [(rng.randint(500, 760), rng.randint(500, 760))] for x in (a, b, 2048 - a - b)]
+    given = [min(2047, int(rng.lognormvariate(6.2, 0.9)) + 1) for _ in range(1200)]
+    seeds = {n: len(packing._seeded(sizes, 2048, rng, 0.0).held) for n, sizes in (("three", three), ("given", given))}
+    got = {n: packing.evolve(sizes, 2048, 5, []) for n, sizes in (("three", three), ("given", given))}
+    assert sorted(i for items in got["three"].held for i in items) == list(range(1200)) and min(got["three"].free) >= 0
+    # of items that come in threes a best fit by falling size leaves a fifteenth more bins than the bound of 400
+    assert len(got["three"].held) < 0.97 * seeds["three"] and len(got["given"].held) <= seeds["given"]
+    ran = []
+    monkeypatch.setattr(packing, "crossover", lambda a, b, r, f=packing.crossover: ran.append(1) or f(a, b, r))
+    packing.evolve(given, 2048, 5, [])
+    assert ran
+    monkeypatch.setattr(packing, "GENERATIONS", 0)
+    assert len(packing.evolve(three, 2048, 5, []).held) > len(got["three"].held)
+
+
 def five_words(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in text or ""))
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
