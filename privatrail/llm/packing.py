@@ -9,7 +9,8 @@ block is done when it has no more bins than its tokens need. Bins that stay badl
 items packed once more over all blocks.
 
 Ids are those of the public `tokenizers` library. `tiktoken` gives the same ids from the same vocabulary (compared in
-the tests) about four times as fast and is used for all texts but those that hold the vocabulary's special token.
+the tests) about four times as fast and is used for all texts but those that hold the vocabulary's special token. Words
+that repeat among a task's documents are encoded once a group.
 A null text is empty: one end token. Ids and rows may repeat; every row is packed.
 """
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +40,92 @@ NOISE = 100.0
 #: Bins filled less than this are packed again over all blocks.
 OPEN_BELOW = 0.97
 SPECIAL = "<|endoftext|>"
+#: Bytes of texts that are encoded together (a longer text alone).
+GROUP_BYTES = 1 << 24
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _fast_coder(ranks_path: str, pattern: str):
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+def _sure() -> np.ndarray:
+    """Of each byte, whether a character that begins with it cannot be white space (of any kind known to Unicode)."""
+    sure = np.arange(256) > 0x20
+    sure[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+    return sure
+
+
+SURE = _sure()
+
+
+def _sure_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the characters that end before the places are surely not white space: ASCII, or of such a first byte."""
+    last = data[at - 1]
+    return SURE[last] & ((last < 0x80) | SURE[data[np.maximum(at - 2, 0)]] & SURE[data[np.maximum(at - 3, 0)]])
+
+
+class _FastCoder:
+    """Ids of many texts at once. Texts are cut at single blanks between characters that are surely not white space: every
+    match of the pattern ends there. Each distinct piece of a group is encoded once, all of them in one call."""
+
+    def __init__(self, ranks_path: str, pattern: str):
+        import tiktoken
+
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.n_bytes[rank] = len(token)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.coder.encode_ordinary(text), "<u4")
+
+    def _pieces(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row; where those of each piece start, and how many they are."""
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1]
+        data = np.frombuffer(pieces.buffers()[2], np.uint8)
+        first, end = offsets[:-1], offsets[1:]
+        # these can be joined, as they would be cut again at the same places
+        plain = (data[first] == 0x20) & (end - first > 1) & SURE[data[np.minimum(first + 1, len(data) - 1)]] & _sure_before(data, end)
+        ends = np.cumsum((end - first)[plain])
+        joined = pieces.filter(pa.array(plain)).buffers()[2].to_pybytes()[: ends[-1]] if len(ends) else b""
+        ids = self._ids(joined.decode())
+        after = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
+        others = [self._ids(pieces[i].as_py()) for i in np.flatnonzero(~plain).tolist()]
+        counts = np.zeros(len(pieces), np.int64)
+        counts[plain] = np.diff(after, prepend=0)
+        counts[~plain] = [len(x) for x in others]
+        starts = np.zeros(len(pieces), np.int64)
+        starts[plain] = after - counts[plain]
+        starts[~plain] = len(ids) + np.cumsum(counts[~plain]) - counts[~plain]
+        return np.concatenate([ids, *others]), starts, counts
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order. texts: large strings without nulls."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        a = 0
+        while a < len(texts):  # groups bound the memory
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + GROUP_BYTES, "right")) - 1)
+            yield from self._group(texts.buffers()[2], offsets[a : b + 1])
+            a = b
+
+    def _group(self, buffer: pa.Buffer, offsets: np.ndarray) -> list[np.ndarray]:
+        low, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+        if not size:
+            return [np.zeros(0, "<u4")] * (len(offsets) - 1)
+        data = np.frombuffer(buffer, np.uint8, size, low)
+        at = np.flatnonzero(data[1:-1] == 0x20) + 1
+        cut_at = np.zeros(size + 1, bool)
+        cut_at[at[_sure_before(data, at) & SURE[data[at + 1]]]] = True
+        cut_at[offsets - low] = True
+        cuts = np.flatnonzero(cut_at)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), buffer.slice(low, size)])
+        coded = pieces.dictionary_encode()
+        ids, starts, counts = self._pieces(coded.dictionary)
+        which = coded.indices.to_numpy()
+        many = counts[which]
+        ends = np.cumsum(many)
+        ids = ids[np.repeat((starts[which] - ends + many).astype(np.int32), many) + np.arange(ends[-1], dtype=np.int32)]
+        bounds = np.append(0, ends)[np.searchsorted(cuts, offsets - low)].tolist()
+        return [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _exact_coder(json_path: str):
@@ -60,18 +139,18 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, pattern: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # made for the task alone, and the large one only where a text needs it: workers live on with what they hold
-        exact, fast = None, _fast_coder(ranks_path, pattern)
+        exact, fast = None, _FastCoder(ranks_path, pattern)
         end = np.zeros(1, "<u4")
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                value = value.as_py() or ""
-                if SPECIAL in value:
+            values = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+            special = pc.match_substring(values, SPECIAL)
+            coded = fast.encode(pc.if_else(special, "", values))
+            for doc_id, value, odd, ids in zip(batch.column(0).to_pylist(), values, special.to_pylist(), coded, strict=True):
+                if odd:
                     exact = exact or _exact_coder(json_path)
-                    ids = exact.encode(value, add_special_tokens=False).ids
-                else:
-                    ids = fast.encode_to_numpy(value, allowed_special=set(), disallowed_special=())
-                ids = np.concatenate([np.asarray(ids).astype("<u4"), end])
+                    ids = np.array(exact.encode(value.as_py(), add_special_tokens=False).ids, "<u4")
+                ids = np.concatenate([ids, end])
                 n, a = len(ids), 0
                 b = n % capacity or capacity
                 for piece in range(-(-n // capacity)):

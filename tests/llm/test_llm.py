@@ -381,6 +381,27 @@ def test_packing(spark, sf):
     assert packing.pack(packing.token_pieces(empty(spark), *paths)).count() == 0
 
 
+def test_packing_encodes_each_piece_once(monkeypatch):
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    fast = packing._FastCoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    white = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isspace()] + ["\u200b", "\u180e", "\ufeff"]
+    signs = [*white, *[" "] * 40, *"ab'sZ09.,\té»©’”中Ünḯ😀\x7fÂÀáâã", "the", "'ll", " word", "été"]
+    odd = ["".join(rng.choices(signs, k=rng.choice([0, 1, 2, 3, 20, 80]))) for _ in range(600)]
+    want = [exact.encode(t, add_special_tokens=False).ids for t in odd]
+    for size in (1, 50, 1 << 24):
+        monkeypatch.setattr(packing, "GROUP_BYTES", size)
+        assert [x.tolist() for x in fast.encode(pa.array(odd, pa.large_string()))] == want
+    assert [x.tolist() for x in fast.encode(pa.array(odd, pa.large_string())[7:300])] == want[7:300]
+    words = ["w" + str(i) for i in range(300)]
+    many = [" ".join(rng.choices(words, k=400)) for _ in range(100)]
+    seen = []
+    monkeypatch.setattr(fast, "_ids", lambda t, f=fast._ids: seen.append(len(t)) or f(t))
+    got = list(fast.encode(pa.array(many, pa.large_string())))
+    assert [x.tolist() for x in got] == [exact.encode(t, add_special_tokens=False).ids for t in many]
+    assert sum(seen) < sum(map(len, many)) / 50
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(6)
     sizes = [rng.randrange(1, 500) for _ in range(400)]
