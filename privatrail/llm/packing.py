@@ -40,8 +40,9 @@ NOISE = 100.0
 #: Bins filled less than this are packed again over all blocks.
 OPEN_BELOW = 0.97
 SPECIAL = "<|endoftext|>"
-#: Bytes of texts that are encoded together (a longer text alone).
-GROUP_BYTES = 1 << 24
+#: Bytes of texts that are encoded together (a longer text alone), and documents that are taken at a time.
+GROUP_BYTES = 1 << 21
+GROUP_ROWS = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -141,7 +142,7 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, pattern: str,
         # made for the task alone, and the large one only where a text needs it: workers live on with what they hold
         exact, fast = None, _FastCoder(ranks_path, pattern)
         end = np.zeros(1, "<u4")
-        for batch in batches:
+        for batch in (b.slice(k, GROUP_ROWS) for b in batches for k in range(0, b.num_rows, GROUP_ROWS)):
             rows: list[tuple] = []
             values = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
             special = pc.match_substring(values, SPECIAL)
