@@ -9,6 +9,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from privatrail.llm import chunk_fingerprints, cover_tree, host_suffix, language, line_runs, merge_replay, near_texts, packing, prefix_free, simhash_trie, splitters
+from privatrail.llm.common import shared_folder
 from privatrail.llm.components import components
 from privatrail.llm.queries import QUERIES
 
@@ -625,6 +627,54 @@ def test_vectors_of_very_many_lengths(spark, monkeypatch):
             assert got[i][0] == near[k].sum() - 1
 
 
+def disk_used(spark):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    shared = Path(shared_folder(spark).removeprefix("file:")).rglob("*")
+    return sum(held.apply(i).length() for i in range(held.size())) + sum(p.stat().st_size for p in shared if p.is_file())
+
+
+def vectors_of(spark, ids, m):
+    rows = list(zip(ids, m.tolist(), strict=True))
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6).localCheckpoint()
+
+
+def links_brute(ids, m):
+    u = m.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near, none = u @ u.T >= 0.9, 1 << 40  # a null id gives no name to a component
+    label, last = np.array([none if i is None else i for i in ids]), None
+    while last is None or (label != last).any():
+        last, label = label, np.where(near, label, none).min(axis=1)
+    links = near.sum(axis=1) - 1
+    assert (links > 0).sum() > 9
+    return sorted(str((i, int(n), int(c) if c < none else None, None if i is None else bool(i == c))) for i, n, c in zip(ids, links, label, strict=True))
+
+
+def test_leaves_that_all_meet_take_disk_by_their_points(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "LEAF", 32)
+    monkeypatch.setattr(cover_tree, "BLOCK", 64 << 10, raising=False)
+    monkeypatch.setattr(cover_tree, "ASSIGN_ROWS", 500)
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(2400, 32)).astype(np.float32)  # spread evenly: no bound keeps two leaves apart
+    m[400:600] = m[7] + rng.normal(size=(200, 32)) * 0.2 * np.linalg.norm(m[7]) / 6  # near each other, some pairs on either side
+    m[600:700], m[700:720] = m[8], m[9] * 3  # copies, and copies of another norm
+    df = vectors_of(spark, range(len(m)), m)
+    before = disk_used(spark)
+    got = cover_tree.link(df).collect()
+    assert disk_used(spark) - before < 12 * m.nbytes
+    assert links_brute(range(len(m)), m) == sorted(str((r.vec_id, r.n_links, r.component_id, r.kept)) for r in got)
+
+
+def test_vectors_under_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "LEAF", 8)
+    rng = np.random.default_rng(5)
+    m = np.repeat(rng.normal(size=(12, 6)), 5, axis=0).astype(np.float32)
+    m[20:] += rng.normal(size=(40, 6)).astype(np.float32) * 0.03
+    ids = [None if i % 5 == 0 or 50 <= i < 55 else 7 if i in (31, 32, 41) else i for i in range(len(m))]
+    got = cover_tree.link(vectors_of(spark, ids, m)).collect()
+    assert links_brute(ids, m) == sorted(str((r.vec_id, r.n_links, r.component_id, r.kept)) for r in got)
+
+
 def test_lines_beside_clashing_columns(spark):
     rows = [(i, f"a line that many documents share\nown {i}") for i in range(4)]
     df = frame(spark, rows)
